@@ -11,6 +11,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed-point luma weights of the two common gray conversions
 # (blue, green, red), their shift and their rounding term.
@@ -104,7 +105,7 @@ def _each(function, weights, height, width, channels, data) -> pd.Series:
     return pd.Series(values, dtype=object)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def blur_score(
     height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series
 ) -> pd.Series:
@@ -112,7 +113,7 @@ def blur_score(
     return _each(laplacian_variance, BLUR_WEIGHTS, height, width, channels, data).astype(float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def gray_variance(
     height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series
 ) -> pd.Series:
@@ -122,7 +123,7 @@ def gray_variance(
     ).astype(float)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def phash(
     height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series
 ) -> pd.Series:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _matrix(column: pa.ListArray, dim: int, rows: np.ndarray) -> np.ndarray:
@@ -14,7 +15,7 @@ def _matrix(column: pa.ListArray, dim: int, rows: np.ndarray) -> np.ndarray:
     return flat[starts[:, None] + np.arange(dim)]
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def cosine_similarity(left: pa.Array, right: pa.Array) -> pa.Array:
     """Cosine of two vectors; null where it cannot be computed.
 

@@ -84,7 +84,8 @@ def with_record_defaults(
     The id is a UUID derived from ``identity``, not a random one: a task that is
     run again after a lost executor gives the same id.
     """
-    digest = F.md5(F.concat_ws("\u0001", *[F.coalesce(c, F.lit("")) for c in identity]))
+    known = [F.coalesce(c, F.lit("")) for c in identity if c in df.columns]
+    digest = F.md5(F.concat_ws("\u0001", *known))
     parts = [F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     defaults = {
         "id": F.concat_ws("-", *parts),

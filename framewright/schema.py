@@ -22,7 +22,7 @@ RECORD = T.StructType(
         T.StructField("height", T.IntegerType()),
         T.StructField("file_size_bytes", T.LongType()),
         T.StructField("format", T.StringType()),
-        T.StructField("tags", T.ArrayType(T.StringType(), False)),
+        T.StructField("tags", T.ArrayType(T.StringType())),
         T.StructField("description", T.StringType()),
         T.StructField("blur_score", T.DoubleType()),
         T.StructField("phash", T.StringType()),

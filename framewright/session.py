@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,24 @@ def build_session(app_name: str = "framewright", master: str | None = None, **co
     return builder.getOrCreate()
 
 
+def ship_packages(spark: SparkSession, *folders: str) -> None:
+    """Send Python packages to the workers, once per Spark application."""
+    context = spark.sparkContext
+    for folder in (os.path.dirname(os.path.abspath(__file__)), *folders):
+        folder = os.path.abspath(folder)
+        name = f"{os.path.basename(folder)}.zip"
+        if name in context._python_includes:
+            continue
+        archive = os.path.join(tempfile.mkdtemp(prefix="framewright-"), name)
+        with zipfile.ZipFile(archive, "w") as out:
+            for root, _, files in os.walk(folder):
+                for file in files:
+                    if file.endswith(".py"):
+                        path = os.path.join(root, file)
+                        out.write(path, os.path.relpath(path, os.path.dirname(folder)))
+        context.addPyFile(archive)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach: ``spark.checkpoint.dir``.
 

@@ -109,6 +109,27 @@ def touch_files(paths: DataFrame) -> int:
     return paths.select("path").mapInPandas(_touch, "path string").count()
 
 
+def _stat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        lengths = []
+        for path in batch["path"]:
+            system, name = _file_system(path)
+            info = system.get_file_info(name)
+            lengths.append(info.size if info.is_file else None)
+        yield batch[["path"]].assign(length=pd.array(lengths, dtype="Int64"))
+
+
+def stat_files(paths: DataFrame) -> DataFrame:
+    """(path, length) of the files that exist among the given paths.
+
+    Unlike a folder listing, which Spark limits to files with content, this also
+    sees empty files.
+    """
+    return paths.select("path").mapInPandas(_stat, "path string, length bigint").where(
+        "length is not null"
+    )
+
+
 def make_dirs(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         fs, target = hadoop_path(spark, path)

@@ -10,7 +10,10 @@ from framewright.functions.text import normalize_path, suffix
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, length) of the files below a folder; no content is read."""
+    """(path, length) of the files below a folder; no content is read.
+
+    Spark leaves out empty files; ``sinks.files.stat_files`` sees them.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")

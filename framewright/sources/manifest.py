@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from framewright.operators.joins import remove_many, removed_count
 from framewright.operators.ordering import last_wins
 from framewright.schema import MANIFEST, ORDINAL
-from framewright.session import hadoop_path
+from framewright.session import hadoop_path, materialize
 
 
 class Manifest:
@@ -88,9 +88,9 @@ class Manifest:
         through an anti-join, which broadcasts the ids of a small batch.
         """
         table = self.read()
-        newest = last_wins(batch)
+        newest = materialize(last_wins(batch), "batch")
         top = table.agg(F.coalesce(F.max(ORDINAL) + 1, F.lit(0))).first()[0]
-        low = batch.agg(F.coalesce(F.min(ORDINAL), F.lit(0))).first()[0]
+        low = newest.agg(F.coalesce(F.min(ORDINAL), F.lit(0))).first()[0]
         moved = newest.withColumn(ORDINAL, F.col(ORDINAL) + (top - low))
         self.write(remove_many(table, newest).unionByName(moved.select(*table.columns)))
 
