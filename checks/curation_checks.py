@@ -346,9 +346,11 @@ def search_all_sources(spark, sf_dir):
 
 
 def hashed(spark, sf_dir) -> DataFrame:
-    return images(spark, sf_dir).select(
+    """Hashes of all documents, written once: the removal reads them three times."""
+    rows = images(spark, sf_dir).select(
         "ordinal", pixels.phash("height", "width", "nChannels", "data").alias("phash")
     )
+    return materialize(rows, "hashed")
 
 
 FIRSTS = "firsts AS (SELECT min(ordinal) AS ordinal, bits FROM hashes GROUP BY bits)"
@@ -377,7 +379,7 @@ SELECT h.ordinal, k.ordinal IS NULL AS is_duplicate FROM hashes h LEFT JOIN kept
 )
 def near_duplicates_seeded(spark, sf_dir):
     """Hashes of the documents labelled toxic are known beforehand."""
-    rows = materialize(hashed(spark, sf_dir), "hashed")
+    rows = hashed(spark, sf_dir)
     labels = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("ordinal"))
     return mark_duplicates(rows, seeds=rows.join(labels, "ordinal", "left_semi")).select("ordinal", "is_duplicate")
 

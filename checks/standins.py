@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framewright.session import spread
+
 SIDE = 32
 
 
@@ -82,6 +85,11 @@ rec AS (
   FROM documents)"""
 
 
+@lru_cache(maxsize=1 << 18)
+def _cell(word: str) -> int:
+    return int(hashlib.md5(word.encode()).hexdigest()[:3], 16) >> 2
+
+
 @F.pandas_udf(T.BinaryType())
 def raster(texts: pd.Series) -> pd.Series:
     """32x32 gray pixels: words hashed to cells, scaled so that the fullest is 255."""
@@ -89,14 +97,15 @@ def raster(texts: pd.Series) -> pd.Series:
     for text in texts:
         cells = np.zeros(SIDE * SIDE, dtype=np.int64)
         for word, count in Counter(text.split(" ")).items():
-            cells[int(hashlib.md5(word.encode()).hexdigest()[:3], 16) >> 2] += count
+            cells[_cell(word)] += count
         images.append((255 * cells // cells.max()).astype(np.uint8).tobytes())
     return pd.Series(images)
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded pixels of every document, in the columns of Spark's image source."""
-    return table(spark, sf_dir, "documents").select(
+    documents = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text")
+    return spread(documents, "doc_id").select(
         F.col("doc_id").alias("ordinal"),
         F.concat(F.lit("raster/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("path"),
         F.col("n_chars").alias("length"),

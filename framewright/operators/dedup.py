@@ -17,13 +17,21 @@ How it runs, for any data skew:
    later rows near its kept ones are dropped by a semi-join, and the rest goes
    on. The group is gone after its first few members are kept, and its pairs
    are never produced.
+
+Hash tables are narrow (16 bytes a row) and written between steps, but each row
+meets 94 masks or more. So they are spread over tasks by the number of keys,
+not by bytes, and joins are never left to a size estimate that does not know
+about the masks.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+import numpy as np
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from framewright.functions.hashing import (
@@ -40,9 +48,42 @@ from framewright.session import materialize
 
 # A light bucket with more rows than this sends its rows to the deep cover.
 BUCKET_ROWS = 2048
-# Comparisons in one prefix: a floor, and an allowance per row that is left.
-MIN_COMPARISONS = 50_000_000
-COMPARISONS_PER_ROW = 1024
+# Comparisons in one prefix: a floor, an allowance per row that is left, and a
+# multiple of what unrelated hashes would need.
+MIN_COMPARISONS = 4_000_000
+COMPARISONS_PER_ROW = 128
+UNRELATED_FACTOR = 4.0
+
+_KEYS_PER_TASK = 2_000_000
+_BROADCAST_KEYS = 500_000  # about 20 MB as a hash relation
+_SAMPLE_ROWS = 1_000_000
+
+
+@dataclass
+class Hashes:
+    """A written table of (bits, ordinal) and its number of rows."""
+
+    table: DataFrame
+    rows: int
+
+    @classmethod
+    def write(cls, df: DataFrame, name: str) -> Hashes:
+        seen = Observation()
+        table = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+        return cls(table, seen.get["rows"])
+
+    def keys(self, masks: np.ndarray, fraction: float = 1.0) -> DataFrame:
+        """One row per mask: (mask number, masked hash) plus the row itself."""
+        table = self.table.sample(fraction, seed=7) if fraction < 1 else self.table
+        tasks = -(-int(self.rows * fraction * len(masks)) // _KEYS_PER_TASK)
+        smallest = min(self.rows, table.sparkSession.sparkContext.defaultParallelism)
+        table = table.repartition(max(tasks, smallest, 1), "bits")
+        if len(masks) <= 256:
+            # Compiled expressions; too many of them do not compile.
+            values = F.array(*[F.col("bits").bitwiseAND(F.lit(int(m))) for m in masks])
+        else:
+            values = F.transform(F.lit(masks), lambda mask: F.col("bits").bitwiseAND(mask))
+        return table.select(*table.columns, F.posexplode(values).alias("mask", "value"))
 
 
 def _check(threshold: int) -> None:
@@ -53,72 +94,78 @@ def _check(threshold: int) -> None:
         )
 
 
-def _keys(nodes: DataFrame, masks) -> DataFrame:
-    """One row per mask: (mask number, masked hash) plus the node's columns."""
-    masked = F.transform(
-        F.lit(masks),
-        lambda mask, number: F.struct(
-            number.alias("mask"), F.col("bits").bitwiseAND(mask).alias("value")
-        ),
-    )
-    return nodes.select("*", F.explode(masked).alias("key")).select(
-        *nodes.columns, "key.mask", "key.value"
+def _hashes(df: DataFrame, hash_col: str, order: str) -> Hashes:
+    """Distinct valid hashes with the lowest ordinal of each."""
+    valid = df.where(is_hash(F.col(hash_col))).select(
+        hash_bits(F.col(hash_col)).alias("bits"), F.col(order).alias(ORDINAL)
     )
+    return Hashes.write(valid.groupBy("bits").agg(F.min(ORDINAL).alias(ORDINAL)), "hashes")
+
 
+def _load(hashes: Hashes, masks: np.ndarray):
+    """(bucket sizes, largest bucket, comparisons) under a cover.
 
-def _pairs_within(nodes: DataFrame, masks, threshold: int, cold: DataFrame | None = None) -> DataFrame:
-    """Pairs a < b (by order) within the threshold, from one cover."""
-    keys = _keys(nodes, masks)
-    if cold is not None:
-        keys = keys.join(cold, ["mask", "value"], "left_anti")
+    Large tables are judged by a sample. This only chooses between exact plans.
+    """
+    fraction = min(1.0, _SAMPLE_ROWS / max(hashes.rows, 1))
+    counts = hashes.keys(masks, fraction).groupBy("mask", "value").count().where("count > 1")
+    sizes = counts.select("mask", "value", (F.col("count") / fraction).alias("size"))
+    pairs = F.col("size") * (F.col("size") - 1 / fraction) / 2
+    largest, work = sizes.agg(F.max("size"), F.sum(pairs)).first()
+    return sizes, largest or 0.0, work or 0.0
+
+
+def _unrelated_work(rows: int, masks: np.ndarray) -> float:
+    """Comparisons that as many random hashes would need."""
+    chance = sum(2.0 ** -bin(int(m) & (1 << 64) - 1).count("1") for m in masks)
+    return rows * (rows - 1) / 2 * chance
+
+
+def _pairs_within(hashes: Hashes, masks, threshold: int, crowded: DataFrame | None = None):
+    """Pairs a < b (by order) within the threshold that share a bucket."""
+    keys = hashes.keys(masks)
+    if crowded is not None:
+        keys = keys.join(crowded, ["mask", "value"], "left_anti")
     left = keys.select("mask", "value", F.col(ORDINAL).alias("a"), F.col("bits").alias("x"))
     right = keys.select(
         F.col("mask").alias("m"), F.col("value").alias("v"),
         F.col(ORDINAL).alias("b"), F.col("bits").alias("y"),
     )
-    near = left.join(
-        right,
+    return left.join(
+        right.hint("merge"),
         (F.col("mask") == F.col("m"))
         & (F.col("value") == F.col("v"))
         & (F.col("a") < F.col("b"))
         & (hamming(F.col("x"), F.col("y")) <= threshold),
-    )
-    return near.select("a", "b")
+    ).select("a", "b")
 
 
-def _load(nodes: DataFrame, masks, bucket_rows: int):
-    """(bucket counts, rows in the largest bucket, comparisons) under a cover."""
-    counts = _keys(nodes, masks).groupBy("mask", "value").count().where("count > 1")
-    pairs = F.col("count").cast("double") * (F.col("count") - 1) / 2
-    largest, work = counts.agg(F.max("count"), F.sum(pairs)).first()
-    return counts, largest or 0, work or 0.0
+def _crowd(hashes: Hashes, masks, crowded: DataFrame) -> Hashes:
+    """Rows that sit in a crowded bucket."""
+    keys = hashes.keys(masks).join(crowded, ["mask", "value"], "left_semi")
+    return Hashes.write(keys.select(*hashes.table.columns).distinct(), "crowd")
 
 
 class _Plan:
     """Which cover serves which rows, and what comparing them costs."""
 
-    def __init__(self, nodes: DataFrame, threshold: int, bucket_rows: int):
-        self.nodes, self.threshold = nodes, threshold
+    def __init__(self, hashes: Hashes, threshold: int, bucket_rows: int):
+        self.hashes, self.threshold = hashes, threshold
         self.light, self.deep = light_cover(threshold), deep_cover(threshold)
         self.crowded = self.crowd = None
-        counts, largest, self.work = _load(nodes, self.light, bucket_rows)
+        sizes, largest, self.work = _load(hashes, self.light)
+        self.unrelated = _unrelated_work(hashes.rows, self.light)
         if largest > bucket_rows and len(self.deep) > len(self.light):
             self.crowded = materialize(
-                counts.where(F.col("count") > bucket_rows).select("mask", "value"), "crowded"
+                sizes.where(F.col("size") > bucket_rows).select("mask", "value"), "crowded"
             )
-            self.crowd = materialize(
-                _keys(nodes, self.light)
-                .join(self.crowded, ["mask", "value"], "left_semi")
-                .select(*nodes.columns)
-                .distinct(),
-                "crowd",
-            )
-            self.work = _load(self.crowd, self.deep, bucket_rows)[2]
-        elif largest <= bucket_rows:
-            self.work = 0.0  # bounded per row already
+            self.crowd = _crowd(hashes, self.light, self.crowded)
+            rest = sizes.where(F.col("size") <= bucket_rows)
+            light = rest.agg(F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()[0] or 0.0
+            self.work = light + _load(self.crowd, self.deep)[2]
 
     def pairs(self) -> DataFrame:
-        found = _pairs_within(self.nodes, self.light, self.threshold, self.crowded)
+        found = _pairs_within(self.hashes, self.light, self.threshold, self.crowded)
         if self.crowd is not None:
             # Both ends of a pair from a crowded bucket are in the crowd.
             found = found.unionByName(_pairs_within(self.crowd, self.deep, self.threshold))
@@ -139,137 +186,109 @@ def near_pairs(
     of near pairs, which is quadratic in a group of near-copies.
     """
     _check(threshold)
-    nodes = _nodes(df, hash_col, order)
-    return _Plan(nodes, threshold, bucket_rows).pairs()
+    return _Plan(_hashes(df, hash_col, order), threshold, bucket_rows).pairs()
 
 
-def _nodes(df: DataFrame, hash_col: str, order: str) -> DataFrame:
-    """Distinct valid hashes with the lowest ordinal of each, written once."""
-    valid = df.where(is_hash(F.col(hash_col))).select(
-        hash_bits(F.col(hash_col)).alias("bits"), F.col(order).alias(ORDINAL)
+def _near(hashes: Hashes, kept: Hashes, masks, threshold: int, crowded: DataFrame | None = None):
+    """Ordinals of the hashes that share a bucket with a kept one within the
+    threshold. A semi-join stops at the first match of a row."""
+    ours = hashes.keys(masks)
+    if crowded is not None:
+        ours = ours.join(crowded, ["mask", "value"], "left_anti")
+    theirs = kept.keys(masks).select(
+        F.col("mask").alias("m"), F.col("value").alias("v"), F.col("bits").alias("y")
     )
-    return materialize(valid.groupBy("bits").agg(F.min(ORDINAL).alias(ORDINAL)), "hashes")
+    small = kept.rows * len(masks) <= _BROADCAST_KEYS
+    return ours.join(
+        theirs.hint("broadcast" if small else "merge"),
+        (F.col("mask") == F.col("m"))
+        & (F.col("value") == F.col("v"))
+        & (hamming(F.col("bits"), F.col("y")) <= threshold),
+        "left_semi",
+    ).select(ORDINAL)
 
 
-def _not_near(nodes: DataFrame, kept: DataFrame, threshold: int, bucket_rows: int) -> DataFrame:
-    """Nodes that lie within the threshold of no kept hash.
+def _not_near(hashes: Hashes, kept: Hashes, threshold: int, bucket_rows: int) -> Hashes:
+    """Hashes that lie within the threshold of no kept one.
 
-    Semi-joins stop at the first match of a row, so many kept hashes near one
-    node cost nothing extra. Buckets crowded on both sides use the deep cover.
+    Buckets that are crowded on both sides use the deep cover.
     """
+    if hashes.rows == 0 or kept.rows == 0:
+        return hashes
     light, deep = light_cover(threshold), deep_cover(threshold)
-    other = kept.select(F.col("bits").alias("y"))
-    near = [_semi(nodes, other, light, threshold, None)]
-    if len(deep) > len(light):
-        ours = _keys(nodes, light).groupBy("mask", "value").agg(F.count("*").alias("n"))
-        theirs = _keys(kept.select("bits"), light).groupBy("mask", "value").agg(F.count("*").alias("k"))
+    crowded = None
+    if len(deep) > len(light) and kept.rows > bucket_rows:
+        sizes = [_load(side, light)[0] for side in (hashes, kept)]
+        both = sizes[0].join(sizes[1].withColumnRenamed("size", "other"), ["mask", "value"])
         crowded = materialize(
-            ours.join(theirs, ["mask", "value"])
-            .where(F.col("n").cast("double") * F.col("k") > float(bucket_rows) ** 2)
-            .select("mask", "value"),
+            both.where(F.col("size") * F.col("other") > float(bucket_rows) ** 2).select("mask", "value"),
             "crowded",
         )
-        if not crowded.isEmpty():
-            def crowd(rows):
-                return (
-                    _keys(rows, light)
-                    .join(crowded, ["mask", "value"], "left_semi")
-                    .select(*rows.columns)
-                    .distinct()
-                )
-
-            near = [
-                _semi(nodes, other, light, threshold, crowded),
-                _semi(crowd(nodes), crowd(kept.select("bits")).toDF("y"), deep, threshold, None),
-            ]
-    found = near[0] if len(near) == 1 else near[0].unionByName(near[1])
-    return nodes.join(found.distinct(), ORDINAL, "left_anti")
-
-
-def _semi(nodes, other, masks, threshold, crowded) -> DataFrame:
-    ours = _keys(nodes.select("bits", ORDINAL), masks)
-    theirs = _keys(other.withColumnRenamed("y", "bits"), masks).select(
-        F.col("mask").alias("m"), F.col("value").alias("v"), F.col("bits").alias("y")
-    )
+        if crowded.isEmpty():
+            crowded = None
+    found = _near(hashes, kept, light, threshold, crowded)
     if crowded is not None:
-        ours = ours.join(crowded, ["mask", "value"], "left_anti")
-    return ours.join(
-        theirs,
-        (F.col("mask") == F.col("m"))
-        & (F.col("value") == F.col("v"))
-        & (hamming(F.col("bits"), F.col("y")) <= threshold),
-        "left_semi",
-    ).select(ORDINAL)
+        found = found.unionByName(
+            _near(_crowd(hashes, light, crowded), _crowd(kept, light, crowded), deep, threshold)
+        )
+    return Hashes.write(hashes.table.join(found.distinct(), ORDINAL, "left_anti"), "hashes")
 
 
-def _resolve(pairs: DataFrame) -> DataFrame | None:
+def _resolve(pairs: DataFrame) -> list[DataFrame]:
     """Dropped ordinals of the greedy rule, given all near pairs a < b.
 
     Each round keeps the nodes without an undecided earlier neighbour and drops
     their neighbours. One job and one table per round; the pairs shrink.
     """
-    live, dropped = pairs, []
-    count = None
+    dropped: list[DataFrame] = []
+    state = pairs.select("a", "b", F.lit(False).alias("gone"))
     while True:
-        if count is None:
-            state = live.select("a", "b", F.lit(False).alias("gone"))
-        else:
-            roots = live.select("a").join(live.select(F.col("b").alias("a")), "a", "left_anti")
-            gone = live.join(roots, "a", "left_semi").select("b").distinct()
-            rest = live.join(gone, "b", "left_anti").join(
-                gone.select(F.col("b").alias("a")), "a", "left_anti"
-            )
-            state = rest.select("a", "b", F.lit(False).alias("gone")).unionByName(
-                gone.select(F.lit(None).cast("bigint").alias("a"), "b", F.lit(True).alias("gone"))
-            )
         seen = Observation()
         table = materialize(
             state.observe(seen, F.count_if(~F.col("gone")).alias("live")), "pairs"
         )
-        if count is not None:
-            dropped.append(table.where("gone").select(F.col("b").alias(ORDINAL)))
-        count = seen.get["live"]
-        if count == 0:
-            break
+        dropped.append(table.where("gone").select(F.col("b").alias(ORDINAL)))
+        if seen.get["live"] == 0:
+            return dropped[1:]
         live = table.where("not gone").select("a", "b")
-    result = None
-    for part in dropped:
-        result = part if result is None else result.unionByName(part)
-    return result
+        roots = live.select("a").join(live.select(F.col("b").alias("a")), "a", "left_anti")
+        gone = live.join(roots, "a", "left_semi").select("b").distinct()
+        rest = live.join(gone, "b", "left_anti").join(
+            gone.select(F.col("b").alias("a")), "a", "left_anti"
+        )
+        state = rest.select("a", "b", F.lit(False).alias("gone")).unionByName(
+            gone.select(F.lit(None).cast("bigint").alias("a"), "b", F.lit(True).alias("gone"))
+        )
 
 
 def _first_survivors(
-    nodes: DataFrame, threshold: int, bucket_rows: int, min_comparisons: int, per_row: int
+    hashes: Hashes, threshold: int, bucket_rows: int, min_comparisons: int, per_row: int
 ) -> DataFrame:
-    """Kept nodes of the greedy rule."""
+    """Kept ordinals of the greedy rule."""
     kept = []
-    while True:
-        rows = nodes.count()
-        if rows == 0:
-            break
-        head, tail = nodes, None
-        budget = max(float(min_comparisons), float(per_row) * rows)
+    while hashes.rows > 0:
+        head, tail = hashes, None
         plan = _Plan(head, threshold, bucket_rows)
-        size = rows
-        while plan.work > budget and size > 1:
+        budget = max(min_comparisons, per_row * hashes.rows, UNRELATED_FACTOR * plan.unrelated)
+        while plan.work > budget and head.rows > 1:
             # Work grows with the square of the prefix.
-            size = max(1, int(size * min(0.5, 0.8 * math.sqrt(budget / plan.work))))
-            cut = order_statistics(nodes, ORDINAL, [size - 1])[0]
-            head = nodes.where(F.col(ORDINAL) <= cut)
-            tail = nodes.where(F.col(ORDINAL) > cut)
+            size = max(1, int(head.rows * min(0.5, 0.8 * math.sqrt(budget / plan.work))))
+            cut = order_statistics(head.table, ORDINAL, [size - 1])[0]
+            head = Hashes(hashes.table.where(F.col(ORDINAL) <= cut), size)
+            tail = Hashes(hashes.table.where(F.col(ORDINAL) > cut), hashes.rows - size)
             plan = _Plan(head, threshold, bucket_rows)
+        survivors = head.table
         dropped = _resolve(plan.pairs())
-        survivors = head if dropped is None else head.join(dropped, ORDINAL, "left_anti")
+        if dropped:
+            survivors = survivors.join(reduce(DataFrame.unionByName, dropped), ORDINAL, "left_anti")
         if tail is None:
             kept.append(survivors)
             break
-        survivors = materialize(survivors, "kept")
-        kept.append(survivors)
-        nodes = materialize(_not_near(tail, survivors, threshold, bucket_rows), "hashes")
-    result = None
-    for part in kept:
-        result = part if result is None else result.unionByName(part)
-    return nodes if result is None else result
+        done = Hashes.write(survivors, "kept")
+        kept.append(done.table)
+        hashes = _not_near(tail, done, threshold, bucket_rows)
+    tables = kept or [hashes.table]
+    return reduce(DataFrame.unionByName, [t.select(ORDINAL) for t in tables])
 
 
 def duplicate_ordinals(
@@ -288,27 +307,23 @@ def duplicate_ordinals(
     each other. Null and malformed hashes pass and are not remembered.
     """
     _check(threshold)
-    nodes = _nodes(df, hash_col, order)
+    hashes = _hashes(df, hash_col, order)
     if seeds is not None:
-        known = materialize(
-            seeds.where(is_hash(F.col(hash_col)))
-            .select(hash_bits(F.col(hash_col)).alias("bits"))
-            .distinct(),
-            "seeds",
+        known = seeds.where(is_hash(F.col(hash_col))).select(
+            hash_bits(F.col(hash_col)).alias("bits")
         )
-        nodes = materialize(_not_near(nodes, known, threshold, bucket_rows), "hashes")
-    kept = _first_survivors(nodes, threshold, bucket_rows, min_comparisons, comparisons_per_row)
+        hashes = _not_near(hashes, Hashes.write(known.distinct(), "seeds"), threshold, bucket_rows)
+    kept = _first_survivors(hashes, threshold, bucket_rows, min_comparisons, comparisons_per_row)
     hashed = df.where(is_hash(F.col(hash_col))).select(F.col(order).alias(ORDINAL))
-    return hashed.join(kept.select(ORDINAL), ORDINAL, "left_anti").select(
-        F.col(ORDINAL).alias(order)
-    )
+    return hashed.join(kept, ORDINAL, "left_anti").select(F.col(ORDINAL).alias(order))
 
 
 def near_dedup(df: DataFrame, threshold: int = 10, seeds: DataFrame | None = None, **options) -> DataFrame:
     """The records that survive greedy near-duplicate removal.
 
     The wide rows meet only the (narrow, usually short) list of dropped
-    ordinals, which Spark broadcasts when its size allows.
+    ordinals, which Spark broadcasts when its size allows. ``df`` is read three
+    times: write it first if its hashes are costly.
     """
     order = options.get("order", ORDINAL)
     dropped = duplicate_ordinals(df, threshold, seeds, **options)

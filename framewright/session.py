@@ -81,6 +81,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give CPU-heavy work at least as many partitions as there are cores.
+
+    A scan of a few large row groups yields a few tasks only. Where the scan
+    already has enough of them, as with any large table, nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(FileSystem, Path) of a location, through the file systems Spark uses."""
     jvm = spark.sparkContext._jvm
