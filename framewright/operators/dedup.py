@@ -27,10 +27,12 @@ about the masks.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -234,31 +236,70 @@ def _not_near(hashes: Hashes, kept: Hashes, threshold: int, bucket_rows: int) ->
     return Hashes.write(hashes.table.join(found.distinct(), ORDINAL, "left_anti"), "hashes")
 
 
+def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Decide the nodes of one range of the order, in order.
+
+    Edges arrive sorted by (b, a), all edges of a node together. A node is
+    dropped if an earlier neighbour is kept, and kept if all are dropped. It
+    stays open (null) while a neighbour of another range decides.
+    """
+    verdicts: dict[int, bool | None] = {}
+    node, verdict = None, True
+
+    def decided(nodes):
+        kept = pd.array([verdicts[n] for n in nodes], dtype="boolean")
+        return pd.DataFrame({"node": pd.array(nodes, dtype="int64"), "kept": kept})
+
+    for batch in batches:
+        closed = []
+        for a, b, root in zip(batch["a"].tolist(), batch["b"].tolist(), batch["root"].tolist()):
+            if b != node:
+                if node is not None:
+                    verdicts[node] = verdict
+                    closed.append(node)
+                node, verdict = b, True
+            neighbour = True if root else verdicts.get(a)
+            if neighbour:
+                verdict = False
+            elif neighbour is None and verdict:
+                verdict = None
+        yield decided(closed)
+    if node is not None:
+        verdicts[node] = verdict
+        yield decided([node])
+
+
 def _resolve(pairs: DataFrame) -> list[DataFrame]:
     """Dropped ordinals of the greedy rule, given all near pairs a < b.
 
-    Each round keeps the nodes without an undecided earlier neighbour and drops
-    their neighbours. One job and one table per round; the pairs shrink.
+    The pairs are range-partitioned by b. Each round decides all that follows
+    within a range, so a chain of neighbours costs one round per range it
+    crosses, not one per link. Whatever a round decides is final, however the
+    ranges fall.
     """
     dropped: list[DataFrame] = []
-    state = pairs.select("a", "b", F.lit(False).alias("gone"))
+    live = materialize(pairs, "pairs")
     while True:
-        seen = Observation()
-        table = materialize(
-            state.observe(seen, F.count_if(~F.col("gone")).alias("live")), "pairs"
+        later = live.select(F.col("b").alias("node")).distinct()
+        marked = live.join(later, F.col("a") == F.col("node"), "left").select(
+            "a", "b", F.col("node").isNull().alias("root")
         )
-        dropped.append(table.where("gone").select(F.col("b").alias(ORDINAL)))
-        if seen.get["live"] == 0:
-            return dropped[1:]
-        live = table.where("not gone").select("a", "b")
-        roots = live.select("a").join(live.select(F.col("b").alias("a")), "a", "left_anti")
-        gone = live.join(roots, "a", "left_semi").select("b").distinct()
-        rest = live.join(gone, "b", "left_anti").join(
-            gone.select(F.col("b").alias("a")), "a", "left_anti"
+        seen = Observation()
+        swept = (
+            marked.repartitionByRange("b")
+            .sortWithinPartitions("b", "a")
+            .mapInPandas(_sweep, "node bigint, kept boolean")
         )
-        state = rest.select("a", "b", F.lit(False).alias("gone")).unionByName(
-            gone.select(F.lit(None).cast("bigint").alias("a"), "b", F.lit(True).alias("gone"))
+        table = materialize(
+            swept.observe(seen, F.count_if(F.col("kept").isNull()).alias("open")), "decided"
         )
+        gone = table.where("not kept").select("node")
+        dropped.append(gone.withColumnRenamed("node", ORDINAL))
+        if seen.get["open"] == 0:
+            return dropped
+        done = table.where("kept is not null").select("node")
+        rest = live.join(done, F.col("b") == F.col("node"), "left_anti")
+        live = materialize(rest.join(gone, F.col("a") == F.col("node"), "left_anti"), "pairs")
 
 
 def _first_survivors(

@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,15 +103,33 @@ def test_one_hash_holds_most_rows(spark):
     assert kept.where(F.col("phash") == H).count() == 1
 
 
-def test_long_chain(spark):
-    """Each hash is near its neighbours only, like frames of a slow pan."""
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_long_chain(spark, coalesce):
+    """Each hash is near its neighbours only, like frames of a slow pan; the chain
+    lies in one range of the order, or crosses several."""
     value, rows = 0, []
     rng = random.Random(3)
     for i in range(40):
         rows.append((i, f"{value:016x}"))
         for bit in rng.sample(range(64), 7):
             value ^= 1 << bit
-    assert dropped(spark, rows) == greedy(rows, 10)
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, coalesce)
+    try:
+        assert dropped(spark, rows) == greedy(rows, 10)
+    finally:
+        spark.conf.unset(setting)
+
+
+def test_sweep_across_batches():
+    from framewright.operators.dedup import _sweep
+
+    rows = [(1, 2, True), (2, 3, False), (3, 4, False), (2, 4, False), (9, 10, False), (1, 11, True), (9, 11, False)]
+    for size in (1, 2, 3, 7):
+        batches = (pd.DataFrame(rows[i : i + size], columns=["a", "b", "root"]) for i in range(0, 7, size))
+        result = pd.concat(list(_sweep(batches)))
+        kept = {n: None if pd.isna(k) else bool(k) for n, k in zip(result.node, result.kept)}
+        assert kept == {2: False, 3: True, 4: False, 10: None, 11: False}
 
 
 def test_pairs_and_marks(spark):
