@@ -82,7 +82,7 @@ class Hashes:
         table = table.repartition(max(tasks, smallest, 1), "bits")
         if len(masks) <= 256:
             # Compiled expressions; too many of them do not compile.
-            values = F.array(*[F.col("bits").bitwiseAND(F.lit(int(m))) for m in masks])
+            values = F.expr("array(" + ", ".join(f"bits & {int(m)}L" for m in masks) + ")")
         else:
             values = F.transform(F.lit(masks), lambda mask: F.col("bits").bitwiseAND(mask))
         return table.select(*table.columns, F.posexplode(values).alias("mask", "value"))

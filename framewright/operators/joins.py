@@ -26,8 +26,8 @@ def resume_join(
     """
     if not skip_existing:
         return manifest.limit(0), candidates
-    first = first_wins(manifest, PAIR)
-    done = has_file(first, files)
+    known = manifest.join(candidates.select(*PAIR), list(PAIR), "left_semi")
+    done = has_file(first_wins(known, PAIR), files)
     order = candidates.select(*PAIR, F.col(ORDINAL).alias("__ordinal"))
     existing = done.join(order, list(PAIR)).select(
         *[F.col(c) if c != ORDINAL else F.col("__ordinal").alias(ORDINAL) for c in manifest.columns]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions import pixels
-from framewright.functions.text import truthy
+from framewright.functions.text import spread_missing, truthy
 from framewright.operators.dedup import duplicate_ordinals
 from framewright.operators.gates import (
     CODE,
@@ -31,22 +31,54 @@ from framewright.schema import (
 )
 from framewright.session import materialize
 
-SIGNALS = ("blur_score", "phash")
+FETCH_CODES = ("no_adapter", "not_landed")
 
 
-def image_signals_where(df: DataFrame, wanted, *names: str) -> DataFrame:
-    """Compute missing signals from pixels, only where ``wanted`` holds.
+def landed_signals(
+    images: DataFrame,
+    min_sharpness: float | None = 100.0,
+    quality: Mapping | None = None,
+    with_hash: bool = True,
+) -> DataFrame:
+    """Signals of landed files as narrow rows: the pixels stay where they are read.
 
-    Rows that are not wanted hand null pixels to the Python worker: nothing is
-    decoded, shipped or computed for them, and no second pass is needed.
+    Cheap tests come first. A file that fails on its size or dimensions hands no
+    pixels to the sharpness function, and one that is not sharp none to the hash:
+    null goes to the Python worker, and nothing is decoded or shipped. Signals
+    that are columns already are used as they are.
     """
-    functions = {"blur_score": pixels.blur_score, "phash": pixels.phash}
-    for name in names:
-        use = wanted & F.col(name).isNull()
-        data = F.when(use, F.col("data"))
-        value = functions[name](F.col("img_height"), F.col("img_width"), F.col("nChannels"), data)
-        df = df.withColumn(name, F.coalesce(name, value))
-    return df
+    columns = set(images.columns)
+    df = images
+    for name, kind in (("blur_score", "double"), ("phash", "string")):
+        if name not in columns:
+            df = df.withColumn(name, F.lit(None).cast(kind))
+    good = F.lit(True)
+    if quality is not None:
+        rules = header_rules(F.col("length"), F.col("width"), F.col("height"), **quality)
+        for _, fails, _ in rules:
+            good = good & ~F.coalesce(fails, F.lit(False))
+    if "data" in columns:
+        shape = [F.col(c) for c in ("height", "width", "nChannels")]
+
+        def measured(name, function, wanted):
+            data = F.when(wanted & F.col(name).isNull(), F.col("data"))
+            return F.coalesce(F.col(name), function(*shape, data))
+
+        if quality is not None:
+            df = df.withColumn("blur_score", measured("blur_score", pixels.blur_score, good))
+            if min_sharpness is not None:
+                good = good & F.coalesce(F.col("blur_score") >= min_sharpness, F.lit(True))
+        if with_hash:
+            df = df.withColumn("phash", measured("phash", pixels.phash, good))
+    return df.select(
+        F.col("path").alias("__path"),
+        F.col("length").alias("landed_length"),
+        F.col("width").alias("img_width"),
+        F.col("height").alias("img_height"),
+        F.col("blur_score").alias("img_blur_score"),
+        F.col("phash").alias("img_phash"),
+        *[c for c in ("embedding",) if c in columns],
+    )
 
 
 def curate(
@@ -72,26 +104,20 @@ def curate(
     ``dedup_threshold=None`` the removal of duplicates. ``measured_size`` stores
     the decoded dimensions in the record.
     """
-    existing, todo = resume_join(candidates, manifest, images, skip_existing)
+    existing, todo = resume_join(candidates, manifest, images.select("path"), skip_existing)
     columns = list(MANIFEST.names)
-    extra = [c for c in ("embedding",) if c in images.columns]
-    has_pixels = "data" in images.columns
-    landed = images.select(
-        F.col("path").alias("__path"),
-        F.col("length").alias("landed_length"),
-        F.col("width").alias("img_width"),
-        F.col("height").alias("img_height"),
-        *(["nChannels", "data"] if has_pixels else []),
-        *[F.col(c).alias(f"img_{c}") for c in SIGNALS if c in images.columns],
-        *extra,
+    options = dict(quality or {})
+    sharp = options.pop("min_sharpness", 100.0)
+    landed = landed_signals(
+        images, sharp, None if quality is None else options, dedup_threshold is not None
     )
     adapter = source_for(F.col("source"), list(sources))
-    joined = todo.join(landed, F.col("local_path") == F.col("__path"), "left").withColumns(
+    path = spread_missing(F.col("local_path"), F.col(ORDINAL))
+    joined = todo.join(landed, path == F.col("__path"), "left").withColumns(
         {
             "file_size_bytes": F.coalesce("landed_length", "file_size_bytes"),
-            **{
-                c: F.coalesce(f"img_{c}", c) for c in SIGNALS if c in images.columns
-            },
+            "blur_score": F.coalesce("img_blur_score", "blur_score"),
+            "phash": F.coalesce("img_phash", "phash"),
         }
     )
     fetch = [
@@ -103,8 +129,6 @@ def curate(
                      F.coalesce(truthy(F.col("download_url")), F.lit("(no url)"))),
         ),
     ]
-    options = dict(quality or {})
-    sharp = options.pop("min_sharpness", 100.0)
     cheap = []
     if quality is not None:
         cheap = header_rules(
@@ -112,14 +136,11 @@ def curate(
         )
     staged = apply_rules(joined, fetch + cheap)
     if quality is not None:
-        if has_pixels:
-            staged = image_signals_where(staged, passed(), "blur_score")
         staged = _and_then(staged, sharpness_rule(F.col("blur_score"), sharp))
-    prefix = {"no_adapter": "", "not_landed": ""}
     staged = staged.withColumn(
         REASON,
         F.when(passed(), "")
-        .when(F.col(CODE).isin(*prefix), F.col(REASON))
+        .when(F.col(CODE).isin(*FETCH_CODES), F.col(REASON))
         .otherwise(F.concat(F.lit("quality: "), F.col(REASON))),
     )
     if queries is not None:
@@ -137,15 +158,13 @@ def curate(
                 CODE: F.when(F.col("__code") != "", F.col("__code")).otherwise(F.col(CODE)),
             }
         )
-    if dedup_threshold is not None and has_pixels:
-        staged = image_signals_where(staged, passed(), "phash")
     if measured_size:
         staged = staged.withColumns(
             {"width": F.coalesce("img_width", "width"), "height": F.coalesce("img_height", "height")}
         )
     outcome = (
         F.when(passed(), ACCEPTED)
-        .when(F.col(CODE).isin("no_adapter", "not_landed"), FAILED_DOWNLOAD)
+        .when(F.col(CODE).isin(*FETCH_CODES), FAILED_DOWNLOAD)
         .otherwise(FAILED_QUALITY)
     )
     staged = staged.select(*columns, outcome.alias("outcome"), REASON)

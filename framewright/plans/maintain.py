@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.functions.text import base_name, image_path
+from framewright.functions.text import base_name, image_path, spread_missing
 from framewright.operators.dedup import duplicate_ordinals, near_dedup
-from framewright.operators.gates import mark_files, passed, quality_gate
+from framewright.operators.gates import has_file, passed, quality_gate
 from framewright.operators.ordering import resolve_name_collision
 from framewright.operators.sets import union_datasets
 from framewright.schema import MANIFEST, ORDINAL
@@ -42,7 +42,8 @@ def refilter_marks(
         F.col("height").alias("__height"),
         *[F.col(c).alias(f"__{c}") for c in extra],
     )
-    joined = records.join(listing, F.col("local_path") == F.col("__path"), "left").withColumns(
+    path = spread_missing(F.col("local_path"), F.col(ORDINAL))
+    joined = records.join(listing, path == F.col("__path"), "left").withColumns(
         {
             "file_exists": F.col("__path").isNotNull(),
             "__blur": F.coalesce("blur_score", *[f"__{c}" for c in extra if c == "blur_score"]),
@@ -99,9 +100,7 @@ def merge_records(
 
     Adds ``source_path``; ``local_path`` is the new one below images/.
     """
-    both = mark_files(union_datasets(a, b), files).where("file_exists").drop(
-        "file_exists", "file_length"
-    )
+    both = has_file(union_datasets(a, b), files)
     if dedup_threshold is not None:
         both = near_dedup(both, dedup_threshold)
     named = both.withColumn("file_name", base_name(F.col("local_path")))
@@ -130,8 +129,7 @@ def merge_datasets(
         copy_files(merged.select(F.col("source_path").alias("src"), target.alias("dst")))
     out.upsert(merged.withColumn("local_path", target).select(*MANIFEST.names))
     total = first.count() + second.count()
-    listed = mark_files(first, files).where("file_exists").count()
-    listed += mark_files(second, files).where("file_exists").count()
+    listed = has_file(first, files).count() + has_file(second, files).count()
     accepted = merged.count()
     return MergeCounts(accepted, listed - accepted, total - listed)
 

@@ -86,6 +86,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
     A scan of a few large row groups yields a few tasks only. Where the scan
     already has enough of them, as with any large table, nothing is shuffled.
+    ``df`` should be a plain scan: asking for its partitions plans it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -57,7 +57,10 @@ def copy_files(plan: DataFrame) -> DataFrame:
     over the cluster, since its rows are tiny but their files are not.
     """
     spark = plan.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, plan.rdd.getNumPartitions())
+    # An explicit number: adaptive execution would judge the plan by its bytes.
+    tasks = max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
     done = (
         plan.select("src", "dst")
         .repartition(tasks, "dst")

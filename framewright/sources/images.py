@@ -27,22 +27,22 @@ def read_image_files(spark: SparkSession, path: str, pattern: str = "*") -> Data
     """Every file with its size and decoded pixels: path, length, height, width,
     nChannels, data. What cannot be decoded has null pixels.
 
-    The two readers scan the same files; the join key is unique.
+    One scan: the size comes from the file metadata, so pixels are never joined.
     """
-    decoded = (
+    files = (
         spark.read.format("image")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
         .load(path)
-        .select(
-            normalize_path(F.col("image.origin")).alias("path"),
-            *[
-                F.when(F.col("image.width") > 0, F.col(f"image.{c}")).alias(c)
-                for c in ("height", "width", "nChannels", "data")
-            ],
-        )
     )
-    return list_files(spark, path, pattern).join(decoded, "path", "left")
+    return files.select(
+        normalize_path(F.col("_metadata.file_path")).alias("path"),
+        F.col("_metadata.file_size").alias("length"),
+        *[
+            F.when(F.col("image.width") > 0, F.col(f"image.{c}")).alias(c)
+            for c in ("height", "width", "nChannels", "data")
+        ],
+    )
 
 
 def image_signals(images: DataFrame, keep: tuple[str, ...] = ("path",)) -> DataFrame:
