@@ -683,3 +683,75 @@ def merged_datasets(spark, sf_dir):
         F.col("local_path").alias("path"), F.lit(1).alias("length")
     ).distinct()
     return merge_records(a, b, listing).select("id", "local_path")
+
+
+@check(
+    f"WITH {RECORDS} SELECT id, query, row_number() OVER (ORDER BY query, ordinal) - 1 AS place FROM rec"
+)
+def accumulated_queries(spark, sf_dir):
+    """One search after another into one manifest: each appends to the order."""
+    manifest = Manifest(spark, scratch_path(spark, "manifest"))
+    rows = records(spark, sf_dir)
+    for query in ("de", "en", "es", "fr"):
+        manifest.upsert(rows.where(F.col("query") == query))
+    placed = ordering.with_ordinal(manifest.read().withColumnRenamed("ordinal", "order"), "order", name="place")
+    return placed.select("id", "query", "place")
+
+
+@check("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def deleted_files(spark, sf_dir):
+    """Files of labelled documents are deleted; the others stay."""
+    from checks.sources_checks import png_files
+    from framewright.sinks.files import delete_files
+    from framewright.sources.images import list_files
+
+    folder = scratch_path(spark, "png")
+    paths = png_files(spark, sf_dir, folder).withColumn(
+        "doc_id", F.regexp_extract("path", r"(\d+)\.png$", 1).cast("bigint")
+    )
+    delete_files(paths.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi"))
+    return list_files(spark, folder, "*.png").select(
+        F.regexp_extract("path", r"(\d+)\.png$", 1).cast("bigint").alias("doc_id")
+    )
+
+
+@check(
+    f"""
+WITH {RECORDS}, {split_sql('rec', 'ordinal', 0.1, 0.0, ('train', 'validation', 'test'))}
+SELECT id, split FROM parted WHERE {LISTED}"""
+)
+def export_by_name(spark, sf_dir):
+    from framewright.plans.maintain import export
+
+    out = scratch_path(spark, "export")
+    export(_with_own_path(records(spark, sf_dir)), "parquet", out, _files(spark, sf_dir))
+    return spark.read.parquet(out).select("id", "split")
+
+
+@check(
+    f"""
+WITH {RECORDS} SELECT
+  count(*) FILTER (WHERE width >= 300 AND height >= 200 AND greatest(width, height)::DOUBLE / least(width, height) <= 4) AS kept,
+  count(*) FILTER (WHERE NOT (width >= 300 AND height >= 200 AND greatest(width, height)::DOUBLE / least(width, height) <= 4))
+    AS removed, (SELECT count(*) FROM rec) AS rows_after FROM rec"""
+)
+def refilter_preview(spark, sf_dir):
+    """A dry run counts and changes nothing."""
+    manifest = Manifest(spark, scratch_path(spark, "manifest"))
+    rows = _with_own_path(records(spark, sf_dir))
+    manifest.write(rows)
+    listing = rows.select(F.col("local_path").alias("path"), F.lit(20000).alias("length"), "width", "height")
+    counts = refilter(manifest, listing, dry_run=True, min_width=300, min_height=200)
+    return manifest.read().agg(
+        F.lit(counts["kept"]).cast("bigint").alias("kept"),
+        F.lit(counts["removed"]).cast("bigint").alias("removed"),
+        F.count("*").alias("rows_after"),
+    )
+
+
+@check("SELECT DISTINCT o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'")
+def distinct_by_semi_join(spark, sf_dir):
+    """Each image once, whatever the number of its labels, without a DISTINCT."""
+    labelled = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    return orders.join(labelled, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
