@@ -333,13 +333,14 @@ WITH {RECORDS}, r AS (
   SELECT *, row_number() OVER (PARTITION BY query, source ORDER BY ordinal) AS rn FROM rec
   WHERE source IN ('src0', 'src1', 'src2'))
 SELECT id, 'found' AS dataset_name,
-  row_number() OVER (ORDER BY source, query, ordinal) - 1 AS ordinal
+  row_number() OVER (ORDER BY query = 'de', query, source, ordinal) - 1 AS ordinal
 FROM r WHERE rn <= 3 + CASE WHEN source <> 'src2' THEN 1 ELSE 0 END"""
 )
 def search_all_sources(spark, sf_dir):
     rows = records(spark, sf_dir).withColumnRenamed("ordinal", "rank")
     hits = {name: rows.where(F.col("source") == name) for name in ("src0", "src1", "src2")}
-    return search_all(hits, 11, "found").select("id", "dataset_name", "ordinal")
+    found = search_all(hits, 11, "found", queries=["en", "es", "fr"])
+    return found.select("id", "dataset_name", "ordinal")
 
 
 # Near-duplicates

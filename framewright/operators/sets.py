@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.operators.ordering import with_ordinal
@@ -34,9 +34,14 @@ def reorder(df: DataFrame, side: str = "side", order: str = ORDINAL) -> DataFram
     return df.withColumn(order, F.col(order) + shift)
 
 
-def union_sources(*parts: DataFrame, rank: str = "rank") -> DataFrame:
-    """Hits of all sources in source order, with a dense ordinal."""
-    return with_ordinal(concat(*parts), "side", rank).drop("side")
+def union_sources(
+    *parts: DataFrame, rank: str = "rank", before: tuple[str | Column, ...] = ()
+) -> DataFrame:
+    """Hits of all sources in source order, with a dense ordinal.
+
+    ``before`` names keys that come ahead of the source in the order.
+    """
+    return with_ordinal(concat(*parts), *before, "side", rank).drop("side")
 
 
 def union_datasets(a: DataFrame, b: DataFrame) -> DataFrame:

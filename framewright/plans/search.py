@@ -22,12 +22,18 @@ def explode_queries(df: DataFrame, column: str = "query", lower: bool = False) -
 
 
 def search_all(
-    hits: Mapping[str, DataFrame], count: int, dataset_name: str = "dataset", rank: str = "rank"
+    hits: Mapping[str, DataFrame],
+    count: int,
+    dataset_name: str = "dataset",
+    rank: str = "rank",
+    queries: Sequence[str] = (),
 ) -> DataFrame:
     """Records of all sources for every query: ``count`` per query, split evenly.
 
     ``hits`` maps source names, in order, to records with ``rank`` (place within
     source and query). A source with too few hits gives no share to the others.
+    The result is in the order of the queries (as listed, then by text), within
+    a query of the sources, within a source of the ranks.
     """
     if not hits:
         raise ValueError("No sources configured.")
@@ -35,12 +41,7 @@ def search_all(
         source_quota(df, list(hits), count, rank).where(F.col("source") == name)
         for name, df in hits.items()
     ]
-    return stamp(union_sources(*limited, rank=F.struct("query", rank)), dataset_name)
-
-
-def query_order(queries: Sequence[str]):
-    """Place of a record's query in the list of queries, as a sort key."""
-    order = F.lit(len(queries))
+    listed = F.lit(len(queries))
     for place, text in enumerate(queries):
-        order = F.when(F.col("query") == text, place).otherwise(order)
-    return order
+        listed = F.when(F.col("query") == text, place).otherwise(listed)
+    return stamp(union_sources(*limited, rank=rank, before=(listed, "query")), dataset_name)

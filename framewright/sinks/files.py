@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -18,9 +19,11 @@ SINGLE_FILE_ROWS = 1_000_000
 def _file_system(location: str):
     from pyarrow import fs
 
-    if "://" in location or location.startswith("file:"):
-        uri = location if "://" in location else "file://" + location[len("file:"):]
-        return fs.FileSystem.from_uri(uri)
+    if location.startswith("file:/") and "://" not in location:
+        location = location[len("file:"):]
+    if "://" in location:
+        # Hadoop's names of the S3 connector are unknown to Arrow.
+        return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", location))
     return fs.LocalFileSystem(), location
 
 

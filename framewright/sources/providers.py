@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from framewright.functions.licenses import resolve_license
 from framewright.functions.text import split_list, strip_html, truthy
 from framewright.operators.aggregates import with_record_defaults
+from framewright.operators.ordering import first_wins, with_position
 from framewright.schema import PEXELS_PAGE, PIXABAY_PAGE, UNSPLASH_PAGE, WIKIMEDIA_PAGE
 
 
@@ -188,8 +189,29 @@ def parse_pages(df: DataFrame, source: str, column: str = "page") -> DataFrame:
 
 
 def read_api_pages(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """Pages landed as files of JSON, one page per line."""
-    return _own_query(spark.read.schema(PAGE_SCHEMAS[source]).json(path), source)
+    """Pages landed as files of JSON, one page per line.
+
+    ``place`` keeps the order of the pages: file name, block, line.
+    """
+    pages = spark.read.schema(PAGE_SCHEMAS[source]).json(path)
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    return _own_query(pages.withColumn("place", place), source)
+
+
+def rank_hits(records: DataFrame) -> DataFrame:
+    """Replace the place of a hit (page, then place in the page) by ``rank``, dense
+    per query and source. A hit that a later page repeats counts once."""
+    once = first_wins(
+        records.withColumn("place", F.struct("place", "rank_in_page")),
+        ["query", "source", "source_id"],
+        "place",
+    )
+    ranked = with_position(once, ["place"], within=["query", "source"], name="rank")
+    return ranked.drop("place", "rank_in_page")
 
 
 def read_records(pages: DataFrame, source: str, query: str | None = None, **options) -> DataFrame:

@@ -386,6 +386,31 @@ def test_wikimedia_pages(spark):
     assert {r.source_id for r in page(spark, "wikimedia", body, strict=True)} == {"100", "300"}
 
 
+def test_ranked_pages_to_candidates(spark, tmp_path):
+    """Two landed pages, the second repeating a hit, searched together with a second source."""
+    from framewright.plans.search import search_all
+    from framewright.sources.providers import rank_hits, read_api_pages
+
+    def photos(*ids):
+        return json.dumps({"photos": [{**PEXELS["photos"][0], "id": i} for i in ids]})
+
+    (tmp_path / "pexels").mkdir()
+    (tmp_path / "pexels" / "page-0001.json").write_text(photos(9, 4))
+    (tmp_path / "pexels" / "page-0002.json").write_text(photos(4, 7, 1) + "\n" + photos(2))
+    (tmp_path / "unsplash").mkdir()
+    (tmp_path / "unsplash" / "page-0001.json").write_text(json.dumps(UNSPLASH))
+    hits = {
+        s: rank_hits(read_records(read_api_pages(spark, str(tmp_path / s), s), s, "dogs"))
+        for s in ("pexels", "unsplash")
+    }
+    ranks = {r.source_id: r.rank for r in hits["pexels"].collect()}
+    assert ranks == {"9": 0, "4": 1, "7": 2, "1": 3, "2": 4}
+    found = search_all(hits, 7, "named").orderBy("ordinal").collect()
+    assert [(r.source, r.source_id) for r in found] == [
+        ("pexels", "9"), ("pexels", "4"), ("pexels", "7"), ("pexels", "1"), ("unsplash", "ph001"),
+    ]
+
+
 def test_registered_source(spark):
     def reader(pages):
         return pages.select(F.explode("found").alias("source_id"), "query")

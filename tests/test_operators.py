@@ -191,6 +191,14 @@ def test_json_round_trip(frame):
     assert back.drop("ordinal").first() == df.drop("ordinal").first()
 
 
+def test_marked_files(spark, frame):
+    files = spark.createDataFrame([("file:/x/a.png", 5)], "path string, length bigint")
+    df = frame({"id": "a", "local_path": "/x/a.png"}, {"id": "b", "local_path": "/x/b.png"}, {"id": "c"})
+    rows = {r.id: (r.file_exists, r.file_length) for r in gates.mark_files(df, files).collect()}
+    assert rows == {"a": (True, 5), "b": (False, None), "c": (False, None)}
+    assert [r.id for r in gates.has_file(df, files).collect()] == ["a"]
+
+
 def test_union_keeps_order(frame):
     a = frame({"id": "a0", "ordinal": 4}, {"id": "a1", "ordinal": 9})
     b = frame({"id": "b0", "ordinal": 0}, {"id": "b1", "ordinal": 5})
