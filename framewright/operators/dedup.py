@@ -58,7 +58,7 @@ UNRELATED_FACTOR = 4.0
 
 _KEYS_PER_TASK = 2_000_000
 _BROADCAST_KEYS = 500_000  # about 20 MB as a hash relation
-_SAMPLE_ROWS = 1_000_000
+_STATISTICS_KEYS_PER_CORE = 2_500_000
 
 
 @dataclass
@@ -109,7 +109,9 @@ def _load(hashes: Hashes, masks: np.ndarray):
 
     Large tables are judged by a sample. This only chooses between exact plans.
     """
-    fraction = min(1.0, _SAMPLE_ROWS / max(hashes.rows, 1))
+    cores = hashes.table.sparkSession.sparkContext.defaultParallelism
+    keys = max(hashes.rows * len(masks), 1)
+    fraction = min(1.0, _STATISTICS_KEYS_PER_CORE * cores / keys)
     counts = hashes.keys(masks, fraction).groupBy("mask", "value").count().where("count > 1")
     sizes = counts.select("mask", "value", (F.col("count") / fraction).alias("size"))
     pairs = F.col("size") * (F.col("size") - 1 / fraction) / 2

@@ -41,7 +41,9 @@ def search_all(
         source_quota(df, list(hits), count, rank).where(F.col("source") == name)
         for name, df in hits.items()
     ]
-    listed = F.lit(len(queries))
-    for place, text in enumerate(queries):
-        listed = F.when(F.col("query") == text, place).otherwise(listed)
-    return stamp(union_sources(*limited, rank=rank, before=(listed, "query")), dataset_name)
+    before: tuple = ("query",)
+    if queries:
+        places = F.create_map(*[F.lit(v) for pair in enumerate(queries) for v in reversed(pair)])
+        listed = F.coalesce(F.try_element_at(places, F.col("query")), F.lit(len(queries)))
+        before = (listed, "query")
+    return stamp(union_sources(*limited, rank=rank, before=before), dataset_name)
