@@ -6,7 +6,7 @@ from framewright.plans.curate import curate
 from framewright.plans.maintain import export, merge_datasets, refilter
 from framewright.plans.search import search_all
 from framewright.schema import MANIFEST, RECORD
-from framewright.session import build_session
+from framewright.session import build_session, clean_scratch
 from framewright.sources.manifest import Manifest
 
 __all__ = [
@@ -14,6 +14,7 @@ __all__ = [
     "RECORD",
     "Manifest",
     "build_session",
+    "clean_scratch",
     "curate",
     "duplicate_ordinals",
     "export",

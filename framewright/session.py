@@ -65,8 +65,21 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+_RUN = uuid.uuid4().hex
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/framewright/{uuid.uuid4().hex}/{name}"
+    """A new place below this application's part of the shared folder."""
+    return f"{shared_dir(spark)}/framewright/{_RUN}/{uuid.uuid4().hex}/{name}"
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables.
+
+    Call it once results are stored: lazy results still read from them.
+    """
+    fs, root = hadoop_path(spark, f"{shared_dir(spark)}/framewright/{_RUN}")
+    fs.delete(root, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -215,3 +215,17 @@ def test_search_all(spark, frame):
     assert [r.id for r in found] == ["b0", "b1", "a0"] and found[0].dataset_name == "named"
     with pytest.raises(ValueError):
         search_all({}, 3)
+
+
+def test_scratch_is_shared_and_cleaned(spark, monkeypatch):
+    import os
+
+    from framewright import session
+
+    monkeypatch.setattr(session, "_RUN", "run-of-a-test")
+    table = session.materialize(spark.range(5).toDF("x"), "numbers")
+    assert table.count() == 5
+    root = session.shared_dir(spark).removeprefix("file:") + "/framewright/run-of-a-test"
+    assert os.path.isdir(root)
+    session.clean_scratch(spark)
+    assert not os.path.exists(root)
