@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.functions.text import truthy
 from framewright.operators.ordering import frequency_order
 from framewright.schema import FAILED_DOWNLOAD, FAILED_QUALITY, ORDINAL, OUTCOMES, RECORD_COLUMNS
 
