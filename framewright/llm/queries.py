@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from framewright.llm.common import table
+from framewright.llm.mixing import mix_sources
 from framewright.llm.packing import pack_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +32,42 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents")).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query(r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS k
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r
+  FROM d GROUP BY source
+), w AS (
+  SELECT *, CASE r % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0 ELSE 2.0 END AS weight,
+         source_size * 2.0::DOUBLE AS cap FROM s
+), f AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (
+               ORDER BY cap / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+            / sum(weight) OVER (ORDER BY cap / weight, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w
+), t AS (
+  SELECT source, source_size, least(weight * (
+           SELECT first(level ORDER BY cap / weight, r) FROM f WHERE level * weight <= cap), cap) AS target
+  FROM f
+), e AS (
+  SELECT *, floor(target / greatest(source_size, 1))::BIGINT AS whole,
+         floor(target)::BIGINT - floor(target / greatest(source_size, 1))::BIGINT * source_size AS extra FROM t
+), p AS (
+  SELECT d.*, e.source_size, e.target, e.whole, e.extra,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+         sum(d.size) OVER (PARTITION BY d.source, d.k) AS peers
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+)
+SELECT doc_id, source, size, source_size, target,
+       (whole * size + CASE WHEN size = 0 THEN 0 WHEN upto <= extra THEN size
+          WHEN upto - peers < extra THEN floor((extra - upto + peers) * size / peers) ELSE 0 END)::BIGINT AS taken
+FROM p
+""")
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mix_sources(table(spark, sf_dir, "documents"))
