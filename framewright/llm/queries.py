@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from framewright.llm.common import table
+from framewright.llm.common import fold, table
+from framewright.llm.language import identify_languages, train_languages
 from framewright.llm.mixing import mix_sources
 from framewright.llm.packing import pack_documents
 
@@ -71,3 +73,13 @@ FROM p
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three of four folds."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 4) == 2)
+    model = train_languages(docs.where(~F.col("held_out")))
+    return identify_languages(docs.select("doc_id", "held_out", "text"), model).select(
+        "doc_id", "held_out", "lang_pred", "score", "rejected"
+    )
