@@ -11,6 +11,7 @@ from framewright.llm.common import fold, table
 from framewright.llm.language import identify_languages, train_languages
 from framewright.llm.mixing import mix_sources
 from framewright.llm.packing import pack_documents
+from framewright.llm.quality import score_quality, train_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +84,18 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs.select("doc_id", "held_out", "text"), model).select(
         "doc_id", "held_out", "lang_pred", "score", "rejected"
     )
+
+
+@query()
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels of two of three folds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    taught = docs.join(labels.where(fold("doc_id", 3) != 1), "doc_id")
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    return score_quality(docs, train_quality(taught)).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
