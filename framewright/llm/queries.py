@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from framewright.llm.common import fold, table
 from framewright.llm.language import identify_languages, train_languages
 from framewright.llm.mixing import mix_sources
+from framewright.llm.near_dedup import near_duplicate_classes
 from framewright.llm.packing import pack_documents
 from framewright.llm.quality import score_quality, train_quality
 
@@ -99,3 +100,9 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query()
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
