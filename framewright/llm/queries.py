@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright.llm.bit_sliced import top_k_products
 from framewright.llm.common import fold, table
+from framewright.llm.cross_polytope import nearest_neighbours
 from framewright.llm.language import identify_languages, train_languages
 from framewright.llm.mixing import mix_sources
 from framewright.llm.near_dedup import near_duplicate_classes
@@ -106,3 +108,30 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+@query(
+    """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+)
+def op9_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every query vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k_products(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+@query()
+def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every query vector, as found."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 50 == 0))
