@@ -15,6 +15,7 @@ from framewright.llm.mixing import mix_sources
 from framewright.llm.near_dedup import near_duplicate_classes
 from framewright.llm.packing import pack_documents
 from framewright.llm.quality import score_quality, train_quality
+from framewright.llm.site_templates import extract_main_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +136,9 @@ def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest rows of every query vector, as found."""
     vectors = table(spark, sf_dir, "embeddings")
     return nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+@query()
+def op7_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_main_text(table(spark, sf_dir, "pages"))
