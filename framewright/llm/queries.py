@@ -16,6 +16,7 @@ from framewright.llm.near_dedup import near_duplicate_classes
 from framewright.llm.packing import pack_documents
 from framewright.llm.quality import score_quality, train_quality
 from framewright.llm.site_templates import extract_main_text
+from framewright.llm.url_model import Rule, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +143,10 @@ def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op3_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    rules = [Rule("net/", False), Rule("example.net/en/", True), Rule("example.com/de/", False), Rule("org/fr/", True)]
+    return judge_urls(table(spark, sf_dir, "pages"), rules)
