@@ -11,6 +11,7 @@ from framewright.llm.bit_sliced import top_k_products
 from framewright.llm.common import fold, table
 from framewright.llm.cross_polytope import nearest_neighbours
 from framewright.llm.language import identify_languages, train_languages
+from framewright.llm.licence_scan import scan_licences
 from framewright.llm.mixing import mix_sources
 from framewright.llm.near_dedup import near_duplicate_classes
 from framewright.llm.packing import pack_documents
@@ -150,3 +151,9 @@ def op3_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL."""
     rules = [Rule("net/", False), Rule("example.net/en/", True), Rule("example.com/de/", False), Rule("org/fr/", True)]
     return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+@query()
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every document."""
+    return scan_licences(table(spark, sf_dir, "documents"))
