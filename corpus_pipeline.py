@@ -1,25 +1,64 @@
-"""Corpus preparation: the stages in order, over the documents table."""
+"""Corpus preparation: five stages over the documents table.
+
+Each stage takes what the one before kept, as written and read again, and returns the
+columns of documents; the last returns sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from framewright.llm.language import identify_languages, train_languages
+from framewright.llm.mixing import mixed_documents
+from framewright.llm.near_dedup import drop_near_duplicates
 from framewright.llm.packing import pack_documents
+from framewright.llm.quality import score_quality, train_quality
 from framewright.session import materialize
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of power-of-two lengths."""
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents near enough to a centroid of some language; texts without a letter go."""
+    told = identify_languages(docs, train_languages(docs), prefix="_")
+    return told.where(~F.col("_rejected")).select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are likelier good than bad, as the labels mark them."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("_quality"))
+    model = train_quality(docs.select("doc_id", "text").join(labels, "doc_id"), label_column="_quality")
+    return score_quality(docs, model, score_column="_score").where(F.col("_score") >= 0.5).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return drop_near_duplicates(docs).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixed_documents(docs, length_column="n_chars")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of power-of-two lengths."""
     return pack_documents(docs)
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("language_id", language_id),
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 
+#: Trained models and tokens are beyond SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each reads what the one before has written."""
+    """All stages; each reads what the one before has written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)

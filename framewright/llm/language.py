@@ -110,7 +110,7 @@ def train_languages(
     id_column: str = "doc_id",
     per_language: int = 300,
     clusters: int = 4,
-    slack: float = 0.5,
+    slack: float = 0.2,
     seed: int = 5,
 ) -> LanguageModel:
     """Learn centroids from the labelled rows of ``docs``.
