@@ -9,8 +9,9 @@ inside a diagonal band matches make up at least 0.8 of all shingles of both.
 
 Similar documents form classes, the connected components. Within a bucket of
 candidates no list of pairs is made: one leader is compared with all members,
-and members that are in one component already need no further look. Leaders that
-have met every other component of a bucket leave it, until one component is left.
+and members that are in one component already need no further look. Members with too
+many shingles of their own for any partner are left out. Leaders that have met every
+other component of a bucket leave it, until one component is left.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ SHINGLE = 5
 FUNCTIONS, PER_BAND = 32, 2
 #: Bits of a shingle's place in the numbers that are compared.
 PLACE_BITS = 26
-#: Leaders that a bucket with several components sends out in one round.
-LEADERS = 8
+#: A bucket with several components sends out this many times the leaders of the round before.
+MORE_LEADERS = 6
 SLICE_CHARS = 400_000
 CACHED_WORDS = 300_000
 _WORD = re.compile(r"\w+")
@@ -127,6 +128,12 @@ def sketch(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return bands.view(np.int64), counts
 
 
+def labelled(words: np.ndarray) -> np.ndarray:
+    """A text's shingles as numbers, equal ones told apart by their occurrence."""
+    found = shingles(np.pad(words, (0, max(0, SHINGLE - len(words)))))
+    return _mix(found + occurrences(found) * _A)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
     """Share of shingles that an alignment matches: matched / (all - matched).
 
@@ -135,12 +142,10 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
     shingle's place differs by no more than the unmatched shingles in the texts, so
     that matches outside this band are left out without loss.
     """
-    x, y = (shingles(np.pad(w, (0, max(0, SHINGLE - len(w))))) for w in (a, b))
+    x, y = labelled(a), labelled(b)
     total = len(x) + len(y)
     if min(len(x), len(y)) < least * max(len(x), len(y)):
         return 0.0
-    x = _mix(x + occurrences(x) * _A)
-    y = _mix(y + occurrences(y) * _A)
     _, at, to = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     band = int(total * (1 - least) / (1 + least)) + 1
     near = np.abs(at - to) <= band
@@ -274,36 +279,76 @@ def _bucket_members(nodes: DataFrame) -> DataFrame:
     return rows.join(shared, "key", "left_semi")
 
 
-def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with their component, of the buckets that hold more than one component."""
-    told = members.join(labels, "node")
-    open_keys = told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    return told.join(open_keys.select("key"), "key", "left_semi")
+def _open_members(members: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component."""
+    open_keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    return members.join(open_keys.select("key"), "key", "left_semi")
+
+
+def _own_shingles(words: DataFrame) -> DataFrame:
+    """Per node the number of its shingles that no other of these nodes has; none: no row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [labelled(np.frombuffer(w, np.uint16)) for w in batch["words"]]
+            counts = [len(x) for x in found]
+            keys = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            yield pd.DataFrame({"shingle": keys.view(np.int64), "node": np.repeat(batch["node"].to_numpy(), counts)})
+
+    rows = words.mapInPandas(run, "shingle long, node string")
+    alone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    return alone.groupBy("node").agg(F.count("*").alias("own"))
+
+
+def _hopeful(open_rows: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """Open members with ``common``, their shingles that others have, without hopeless ones.
+
+    No partner can match a shingle that only one node has, and a partner in the bucket
+    has at least as many shingles as the bucket's smallest member. A node whose
+    common shingles can't reach ``least`` even so has no link here: leaving it out
+    loses nothing.
+    """
+    inside = open_rows.select("node").distinct()
+    own = materialize(_own_shingles(words.join(inside, "node", "left_semi")), "own")
+    common = F.col("shingles") - F.coalesce("own", F.lit(0))
+    told = open_rows.join(own, "node", "left").select("key", "node", "shingles", "comp", common.alias("common"))
+    smallest = told.groupBy("key").agg(F.min("shingles").alias("smallest"))
+    best = F.col("common") / (F.greatest("smallest", "common") + F.col("shingles") - F.col("common"))
+    kept = told.join(smallest, "key").where(best >= least - 1e-9).drop("smallest")
+    return materialize(_open_members(kept), "hopeful")
 
 
 def _linked(words: DataFrame, members: DataFrame, least: float) -> DataFrame:
-    """Components of nodes: leaders of each bucket meet its members until one component is left."""
-    labels = members.select("node", F.col("node").alias("comp")).distinct()
-    labels = materialize(labels, "labels")
-    open_rows = members.withColumn("comp", F.col("node"))
-    leaders_of_round = 1  # at first every node is a component: one leader reaches most of them
-    tested = None
+    """Components of nodes: leaders of each bucket meet its members until one component is left.
+
+    The first leader of a bucket is any member. Later ones are those whose shingles are the
+    least their own, which are likely near to most others. A leader meets all members of other
+    components that could be similar to it, and then leaves the bucket for good. Each round
+    sends more leaders out, for those that are left have few members they could be similar to.
+    """
+    labels = materialize(members.select("node", F.col("node").alias("comp")).distinct(), "labels")
+    rows = members.withColumn("comp", F.col("node")).withColumn("common", F.col("shingles"))
+    turns, tested = 1, None
     while True:
-        sizes = open_rows.groupBy("key", "comp").agg(
-            F.count("*").alias("n"), F.min(F.struct("node", "shingles")).alias("least")
-        )
-        order = W.partitionBy("key").orderBy("n", F.col("least.node"))
-        leaders = (
-            sizes.withColumn("_turn", F.row_number().over(order))
-            .where(F.col("_turn") <= leaders_of_round)
-            .select("key", F.col("least.node").alias("a"), F.col("least.shingles").alias("a_n"), F.col("comp").alias("a_comp"))
+        order = W.partitionBy("key").orderBy(F.desc(F.col("common") / F.col("shingles")), "node")
+        leaders = materialize(
+            rows.withColumn("_turn", F.row_number().over(order))
+            .where(F.col("_turn") <= turns)
+            .select(
+                "key",
+                F.col("node").alias("a"),
+                F.col("shingles").alias("a_n"),
+                F.col("common").alias("a_common"),
+                F.col("comp").alias("a_comp"),
+            ),
+            "leaders",
         )
-        leaders = materialize(leaders, "leaders")
-        fits = F.least("a_n", "shingles") >= least * F.greatest("a_n", "shingles")
+        most = F.least("a_common", "common")
+        could = most >= (least - 1e-9) * (F.col("a_n") + F.col("shingles") - most)
         pairs = (
-            open_rows.join(leaders, "key")
-            .where((F.col("comp") != F.col("a_comp")) & fits)
-            .select("a", F.col("node").alias("b"))
+            rows.join(leaders, "key")
+            .where((F.col("comp") != F.col("a_comp")) & could)
+            .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
             .distinct()
         )
         if tested is not None:
@@ -311,15 +356,16 @@ def _linked(words: DataFrame, members: DataFrame, least: float) -> DataFrame:
         pairs = materialize(pairs, "pairs")
         edges = materialize(_similar(pairs, words, least), "edges")
         labels = _merge(labels, edges)
-        tested = pairs if tested is None else materialize(tested.union(pairs), "tested")
-        # A leader has met all other components of its bucket: it stays only in its label.
-        left = open_rows.select("key", "node", "shingles").join(
+        left = rows.select("key", "node", "shingles").join(
             leaders.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti"
         )
-        open_rows = materialize(_open_members(left, labels), "open")
-        if open_rows.isEmpty():
+        rows = materialize(_open_members(left.join(labels, "node")), "open")
+        if not rows.isEmpty():
+            rows = _hopeful(rows, words, least)
+        if rows.isEmpty():
             return labels
-        leaders_of_round = LEADERS
+        tested = pairs if tested is None else materialize(tested.union(pairs), "tested")
+        turns *= MORE_LEADERS
 
 
 def near_duplicate_classes(
