@@ -16,6 +16,7 @@ from framewright.plans.search import search_all
 from framewright.session import materialize, scratch_path
 from framewright.sinks import layouts
 from framewright.sinks.files import stat_files
+from framewright.sources.index import search_index
 from framewright.sources.manifest import Manifest
 
 # Quality
@@ -102,9 +103,16 @@ def files_present(spark, sf_dir):
     return gates.has_file(_with_own_path(records(spark, sf_dir)), _files(spark, sf_dir)).select("id")
 
 
-@check(f"WITH {RECORDS} SELECT id, url FROM rec WHERE url <> ''")
+@check(f"WITH {RECORDS} SELECT id, url FROM rec WHERE url <> '' AND ordinal % 3 <> 0")
 def nonempty_urls(spark, sf_dir):
-    return records(spark, sf_dir).where("url <> ''").select("id", "url")
+    """A search leaves out images without a URL: every third has none."""
+    rows = records(spark, sf_dir)
+    url = F.when(F.col("ordinal") % 3 == 0, "").otherwise(F.col("url"))
+    images = rows.select(F.col("id").alias("image_id"), url.alias("original_url"))
+    labels = rows.select(F.col("id").alias("image_id"), F.lit("/m/1").alias("label_name"))
+    classes = spark.createDataFrame([("/m/1", "Thing")], "label_name string, display_name string")
+    found = search_index(classes, images, labels, "thing")
+    return found.select(F.col("image_id").alias("id"), F.col("original_url").alias("url"))
 
 
 @check(f"WITH {RECORDS} SELECT id FROM rec WHERE source IN ('src1', 'src2')")
@@ -542,7 +550,7 @@ def coco_export(spark, sf_dir):
     )
     parts = None
     for split in ("train", "val", "test"):
-        part = spark.read.schema(schema).json(f"{out}/annotations/{split}.json").select(
+        part = spark.read.schema(schema).option("multiLine", True).json(f"{out}/annotations/{split}.json").select(
             F.lit(split).alias("split"), F.explode("images").alias("image")
         )
         parts = part if parts is None else parts.unionByName(part)
@@ -753,6 +761,11 @@ def refilter_preview(spark, sf_dir):
 @check("SELECT DISTINCT o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'")
 def distinct_by_semi_join(spark, sf_dir):
     """Each image once, whatever the number of its labels, without a DISTINCT."""
-    labelled = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    return orders.join(labelled, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
+    labels = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("image_id"), F.col("l_returnflag").alias("label_name")
+    )
+    images = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("image_id"), F.lit("u").alias("original_url")
+    )
+    classes = spark.createDataFrame([("R", "Returned"), ("N", "New")], "label_name string, display_name string")
+    return search_index(classes, images, labels, "return").select(F.col("image_id").alias("o_orderkey"))

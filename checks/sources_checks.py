@@ -537,15 +537,17 @@ def manifest_scan(spark, sf_dir):
 WITH {RECORDS}
 SELECT 'source' AS looked_up, id FROM rec WHERE source = 'src1'
 UNION ALL SELECT 'id', id FROM rec WHERE id = 'doc-7'
-UNION ALL SELECT 'pair', id FROM rec WHERE source = 'src1' AND source_id = '7'"""
+UNION ALL SELECT 'pair', id FROM rec
+WHERE (source, source_id) = (SELECT (source, source_id) FROM rec ORDER BY ordinal LIMIT 1)"""
 )
 def manifest_lookup(spark, sf_dir):
     manifest = Manifest(spark, scratch_path(spark, "manifest"))
     manifest.write(records(spark, sf_dir))
+    first = manifest.read().orderBy("ordinal").first()
     keys = {
         "source": {"source": "src1"},
         "id": {"id": "doc-7"},
-        "pair": {"source": "src1", "source_id": "7"},
+        "pair": {"source": first["source"], "source_id": first["source_id"]},
     }
     parts = [
         manifest.lookup(**k).select(F.lit(name).alias("looked_up"), "id") for name, k in keys.items()
@@ -600,7 +602,9 @@ def manifest_remove(spark, sf_dir):
 
 @check(f"WITH {RECORDS} SELECT count(*) AS n FROM rec")
 def manifest_count(spark, sf_dir):
-    return records(spark, sf_dir).agg(F.count("*").alias("n"))
+    manifest = Manifest(spark, scratch_path(spark, "manifest"))
+    manifest.write(records(spark, sf_dir))
+    return records(spark, sf_dir).agg(F.lit(manifest.count()).cast("bigint").alias("n"))
 
 
 # Image files

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.operators.ordering import frequency_order
@@ -75,6 +75,25 @@ def export_projection_coco(id_key: str = "record_id"):
     )
 
 
+def derived_id(text: Column) -> Column:
+    """A UUID that follows from a text."""
+    digest = F.md5(text)
+    parts = [F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return F.concat_ws("-", *parts)
+
+
+def distinct_ids(df: DataFrame, order: str = ORDINAL) -> DataFrame:
+    """The first row of an id keeps it; later ones get an id derived from it and their order.
+
+    Ids follow from what a record is, so datasets of one query share them; where
+    such datasets meet, every record stays.
+    """
+    firsts = df.groupBy("id").agg(F.min(order).alias(order)).select(order, F.lit(True).alias("__first"))
+    new = derived_id(F.concat_ws("\u0001", F.coalesce("id", F.lit("")), F.col(order).cast("string")))
+    joined = df.join(firsts, order, "left")
+    return joined.withColumn("id", F.when(F.col("__first"), F.col("id")).otherwise(new)).select(*df.columns)
+
+
 def with_record_defaults(
     df: DataFrame, identity: tuple[str, ...] = ("source", "source_id", "query")
 ) -> DataFrame:
@@ -84,10 +103,8 @@ def with_record_defaults(
     run again after a lost executor gives the same id.
     """
     known = [F.coalesce(c, F.lit("")) for c in identity if c in df.columns]
-    digest = F.md5(F.concat_ws("\u0001", *known))
-    parts = [F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     defaults = {
-        "id": F.concat_ws("-", *parts),
+        "id": derived_id(F.concat_ws("\u0001", *known)),
         "local_path": F.lit(None).cast("string"),
         "file_size_bytes": F.lit(0).cast("bigint"),
         "format": F.lit(""),

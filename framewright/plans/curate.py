@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions import pixels
-from framewright.functions.text import spread_missing, truthy
+from framewright.functions.text import normalize_path, spread_missing, truthy
 from framewright.operators.dedup import duplicate_ordinals
 from framewright.operators.gates import (
     CODE,
@@ -71,7 +71,7 @@ def landed_signals(
         if with_hash:
             df = df.withColumn("phash", measured("phash", pixels.phash, good))
     return df.select(
-        F.col("path").alias("__path"),
+        normalize_path(F.col("path")).alias("__path"),
         F.col("length").alias("landed_length"),
         F.col("width").alias("img_width"),
         F.col("height").alias("img_height"),
@@ -101,7 +101,8 @@ def curate(
     known already (width, height, blur_score, phash). ``embedding`` in it is
     needed when ``queries`` is given. Candidates name their file in
     ``local_path``. ``quality=None`` leaves the quality gate out, and
-    ``dedup_threshold=None`` the removal of duplicates. ``measured_size`` stores
+    ``dedup_threshold=None`` the removal of duplicates. A candidate that an earlier one
+    of the run, with the same source and source_id, was accepted for is resumed from it. ``measured_size`` stores
     the decoded dimensions in the record.
     """
     existing, todo = resume_join(candidates, manifest, images.select("path"), skip_existing)
@@ -112,7 +113,7 @@ def curate(
         images, sharp, None if quality is None else options, dedup_threshold is not None
     )
     adapter = source_for(F.col("source"), list(sources))
-    path = spread_missing(F.col("local_path"), F.col(ORDINAL))
+    path = spread_missing(normalize_path(F.col("local_path")), F.col(ORDINAL))
     joined = todo.join(landed, path == F.col("__path"), "left").withColumns(
         {
             "file_size_bytes": F.coalesce("landed_length", "file_size_bytes"),
@@ -168,9 +169,9 @@ def curate(
         .otherwise(FAILED_QUALITY)
     )
     staged = staged.select(*columns, outcome.alias("outcome"), REASON)
+    # The pixels are read once; all that follows works on what is written here.
+    staged = materialize(staged, "signals")
     if dedup_threshold is not None:
-        # The pixels are read once; the hash rounds work on what was written here.
-        staged = materialize(staged, "signals")
         survivors = staged.where(F.col("outcome") == ACCEPTED)
         # A row that is fetched again is not a duplicate of itself.
         own = todo.select("source", "source_id")
@@ -186,10 +187,31 @@ def curate(
                 F.concat(F.lit("near-duplicate detected (phash="), F.col("phash"), F.lit(")")),
             ).otherwise(F.col(REASON)).alias(REASON),
         )
+    if skip_existing:
+        staged = _resumed_in_run(materialize(staged, "outcomes"))
     resumed = existing.select(*columns, F.lit(SKIPPED).alias("outcome"), F.lit("").alias(REASON))
     return staged.unionByName(resumed)
 
 
+def _resumed_in_run(staged: DataFrame) -> DataFrame:
+    """Skip candidates whose (source, source_id) was accepted earlier in the run."""
+    keys = ["source", "source_id"]
+    firsts = (
+        staged.where((F.col("outcome") == ACCEPTED) & F.col("source").isNotNull() & F.col("source_id").isNotNull())
+        .groupBy(*keys)
+        .agg(F.min(ORDINAL).alias("__first"))
+    )
+    keyed = spread_missing(F.col("source_id"), F.col(ORDINAL))
+    firsts = firsts.select(F.col("source").alias("__source"), F.col("source_id").alias("__id"), "__first")
+    joined = staged.join(firsts, (F.col("source") == F.col("__source")) & (keyed == F.col("__id")), "left")
+    again = F.col(ORDINAL) > F.col("__first")
+    return joined.select(
+        *MANIFEST.names,
+        F.when(again, SKIPPED).otherwise(F.col("outcome")).alias("outcome"),
+        F.when(again, "").otherwise(F.col(REASON)).alias(REASON),
+    )
+
+
 def _and_then(df: DataFrame, rules) -> DataFrame:
     """Apply further rules to the rows that have passed so far."""
     code, reason = F.col(CODE), F.col(REASON)

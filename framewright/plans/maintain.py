@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.functions.text import base_name, image_path, spread_missing
+from framewright.functions.text import base_name, image_path, normalize_path, spread_missing
+from framewright.operators.aggregates import distinct_ids
 from framewright.operators.dedup import duplicate_ordinals, near_dedup
 from framewright.operators.gates import has_file, passed, quality_gate
 from framewright.operators.ordering import resolve_name_collision
@@ -36,13 +37,13 @@ def refilter_marks(
     """
     extra = [c for c in ("blur_score", "phash") if c in images.columns]
     listing = images.select(
-        F.col("path").alias("__path"),
+        normalize_path(F.col("path")).alias("__path"),
         F.col("length").alias("__length"),
         F.col("width").alias("__width"),
         F.col("height").alias("__height"),
         *[F.col(c).alias(f"__{c}") for c in extra],
     )
-    path = spread_missing(F.col("local_path"), F.col(ORDINAL))
+    path = spread_missing(normalize_path(F.col("local_path")), F.col(ORDINAL))
     joined = records.join(listing, path == F.col("__path"), "left").withColumns(
         {
             "file_exists": F.col("__path").isNotNull(),
@@ -96,14 +97,14 @@ def refilter(
 def merge_records(
     a: DataFrame, b: DataFrame, files: DataFrame, dedup_threshold: int | None = 10
 ) -> DataFrame:
-    """A then B: files that exist, near-duplicates removed (A wins), distinct names.
+    """A then B: files that exist, near-duplicates removed (A wins), distinct ids and names.
 
-    Adds ``source_path``; ``local_path`` is the new one below images/.
+    A record keeps its id unless an earlier one has it. Adds ``source_path``; ``local_path`` is the new one below images/.
     """
     both = has_file(union_datasets(a, b), files)
     if dedup_threshold is not None:
         both = near_dedup(both, dedup_threshold)
-    named = both.withColumn("file_name", base_name(F.col("local_path")))
+    named = distinct_ids(both).withColumn("file_name", base_name(F.col("local_path")))
     renamed = resolve_name_collision(named)
     return renamed.withColumn("source_path", F.col("local_path")).withColumn(
         "local_path", image_path(F.col("file_name"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -53,13 +54,17 @@ def ship_packages(spark: SparkSession, *folders: str) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach: ``spark.checkpoint.dir``.
 
-    Only where nothing is set (a local run, a test) is a temporary folder used.
+    Where nothing is set, a local run gets a temporary folder. On a cluster that would be
+    another folder on each machine, so there it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="framewright-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
 from collections.abc import Iterator
@@ -13,18 +14,36 @@ from pyspark.sql import functions as F
 from framewright.operators.gates import has_file
 from framewright.session import hadoop_path
 
-SINGLE_FILE_ROWS = 1_000_000
+
+@functools.lru_cache(maxsize=64)
+def _opened(root: str):
+    """File system and base path of a scheme and bucket, opened once in each worker."""
+    from pyarrow import fs
+
+    # Hadoop's names of the S3 connector are unknown to Arrow.
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", root))
 
 
 def _file_system(location: str):
     from pyarrow import fs
 
-    if location.startswith("file:/") and "://" not in location:
-        location = location[len("file:"):]
-    if "://" in location:
-        # Hadoop's names of the S3 connector are unknown to Arrow.
-        return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", location))
-    return fs.LocalFileSystem(), location
+    location = re.sub("^file:/+", "/", location)
+    found = re.match("([A-Za-z][A-Za-z0-9+.-]*://[^/]*)(/.*)?$", location, re.DOTALL)
+    if found is None:
+        return fs.LocalFileSystem(), location
+    system, base = _opened(found[1])
+    return system, base.rstrip("/") + (found[2] or "")
+
+
+def _spread_files(plan: DataFrame, key: str) -> DataFrame:
+    """Rows of files over the whole cluster.
+
+    The number is explicit: adaptive execution would judge the plan by its bytes,
+    which are few, while each row stands for work on a file.
+    """
+    spark = plan.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return plan.repartition(tasks, key)
 
 
 def _copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -60,14 +79,8 @@ def copy_files(plan: DataFrame) -> DataFrame:
     over the cluster, since its rows are tiny but their files are not.
     """
     spark = plan.sparkSession
-    # An explicit number: adaptive execution would judge the plan by its bytes.
-    tasks = max(
-        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    )
-    done = (
-        plan.select("src", "dst")
-        .repartition(tasks, "dst")
-        .mapInPandas(_copy, "src string, dst string, state string")
+    done = _spread_files(plan.select("src", "dst"), "dst").mapInPandas(
+        _copy, "src string, dst string, state string"
     )
     state = F.when(F.startswith("state", F.lit("failed")), "failed").otherwise(F.col("state"))
     rows = done.groupBy(state.alias("state")).agg(
@@ -96,7 +109,7 @@ def _remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def delete_files(paths: DataFrame) -> int:
     """Delete the files of a ``path`` column; returns how many were there."""
-    done = paths.select("path").mapInPandas(_remove, "path string, gone boolean")
+    done = _spread_files(paths.select("path"), "path").mapInPandas(_remove, "path string, gone boolean")
     return done.where("gone").count()
 
 
@@ -112,7 +125,7 @@ def _touch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def touch_files(paths: DataFrame) -> int:
     """Create an empty file per ``path``; returns how many."""
-    return paths.select("path").mapInPandas(_touch, "path string").count()
+    return _spread_files(paths.select("path"), "path").mapInPandas(_touch, "path string").count()
 
 
 def _stat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,7 +144,7 @@ def stat_files(paths: DataFrame) -> DataFrame:
     Unlike a folder listing, which Spark limits to files with content, this also
     sees empty files.
     """
-    return paths.select("path").mapInPandas(_stat, "path string, length bigint").where(
+    return _spread_files(paths.select("path"), "path").mapInPandas(_stat, "path string, length bigint").where(
         "length is not null"
     )
 
@@ -150,22 +163,31 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     stream.close()
 
 
-def to_single_file(df: DataFrame, path: str, write, order: str | None) -> None:
-    """Write through one task and give its only part file the final name."""
+def to_single_file(df: DataFrame, path: str, write, order: str, head: str = "", tail: str = "") -> None:
+    """Rows in order as one file of any length: ``head``, the rows, ``tail``.
+
+    The rows are sorted and written as part files by the cluster, whose names
+    follow the order. Their bytes are then joined through the file system, part after
+    part, so that nothing is held in memory; the file gets its name when it is complete.
+    """
     spark = df.sparkSession
-    if df.limit(SINGLE_FILE_ROWS + 1).count() > SINGLE_FILE_ROWS:
-        raise ValueError(
-            f"more than {SINGLE_FILE_ROWS} rows do not belong in one file; leave single_file off"
-        )
-    folder = f"{path}.parts-{uuid.uuid4().hex}"
-    one = df.coalesce(1)
-    write(one.sortWithinPartitions(order) if order else one, folder)
+    folder, partial = f"{path}.parts-{uuid.uuid4().hex}", f"{path}.partial-{uuid.uuid4().hex}"
+    write(df.orderBy(order), folder)
     fs, source = hadoop_path(spark, folder)
-    parts = [s.getPath() for s in fs.listStatus(source) if s.getPath().getName().startswith("part-")]
+    jvm = spark.sparkContext._jvm
+    names = sorted(s.getPath().getName() for s in fs.listStatus(source))
+    stream = fs.create(hadoop_path(spark, partial)[1], True)
+    stream.write(bytearray(head, "utf-8"))
+    for name in names:
+        if name.startswith("part-"):
+            part = fs.open(jvm.org.apache.hadoop.fs.Path(folder, name))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, stream, 1 << 20, False)
+            part.close()
+    stream.write(bytearray(tail, "utf-8"))
+    stream.close()
     target = hadoop_path(spark, path)[1]
     fs.delete(target, True)
-    if parts:
-        fs.rename(parts[0], target)
+    fs.rename(hadoop_path(spark, partial)[1], target)
     fs.delete(source, True)
 
 

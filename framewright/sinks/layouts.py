@@ -28,9 +28,6 @@ from framewright.sinks.files import (
     write_text,
 )
 
-# A COCO object holds at most this many images; more go to further objects.
-COCO_OBJECT_IMAGES = 50_000
-
 
 def _copies(records: DataFrame, out: str, *folders: str | Column) -> DataFrame:
     parts = [F.lit(f) if isinstance(f, str) else f for f in folders]
@@ -41,7 +38,7 @@ def _copies(records: DataFrame, out: str, *folders: str | Column) -> DataFrame:
 
 
 def _write_lines(lines: DataFrame, path: str, single_file: bool) -> None:
-    """Text lines of (ordinal, value), in order within each part file."""
+    """Text lines of (ordinal, value), in order within and across the part files."""
 
     def write(df, target):
         df.select("value").write.mode("overwrite").text(target)
@@ -49,7 +46,7 @@ def _write_lines(lines: DataFrame, path: str, single_file: bool) -> None:
     if single_file:
         to_single_file(lines, path, write, ORDINAL)
     else:
-        write(lines.sortWithinPartitions(ORDINAL), path)
+        write(lines.orderBy(ORDINAL), path)
 
 
 def write_raw(
@@ -119,13 +116,14 @@ def coco_objects(
     test_split: float = 0.0,
     description: str = "dataset",
     id_key: str = "record_id",
-    object_images: int = COCO_OBJECT_IMAGES,
+    object_images: int = 50_000,
 ) -> DataFrame:
     """COCO objects as JSON text: (split, part, value).
 
     Image ids count within the split before files are checked, so they can have
-    gaps. Each object holds the images of one id range of a bounded length, and
-    is complete by itself; a split of up to ``object_images`` images has one.
+    gaps. Each object holds the images of one id range of ``object_images``, and is
+    complete by itself: a table of objects for readers in Spark. ``write_coco`` writes
+    one object for each split, whatever its size.
     """
     if val_split > 0 or test_split > 0:
         records = assign_split(records, val_split, test_split)
@@ -172,11 +170,11 @@ def write_coco(
     description: str = "dataset",
     id_key: str = "record_id",
     copy: bool = True,
-    single_file: bool = False,
 ) -> None:
     """images/ and annotations/<split>.json (instances.json without splits).
 
-    A split without images still gets an annotation object.
+    Each file is one object with all images of its split in order, at any size; a
+    split without images gets an object too.
     """
     spark = records.sparkSession
     splits = ["instances"]
@@ -184,26 +182,29 @@ def write_coco(
         splits = ["train", "val"] + (["test"] if test_split > 0 else [])
     folders = [f"{out}/images" if s == "instances" else f"{out}/images/{s}" for s in splits]
     make_dirs(spark, f"{out}/annotations", *folders)
+    placed, folder = records.withColumn("split", F.lit("instances")), ("images",)
+    if splits != ["instances"]:
+        placed, folder = assign_split(records, val_split, test_split), ("images", F.col("split"))
+    valid = materialize(with_image_file(coco_image_id(placed), files), "coco")
     if copy:
-        placed = records
-        folder: tuple = ("images",)
-        if splits != ["instances"]:
-            placed = assign_split(records, val_split, test_split)
-            folder = ("images", F.col("split"))
-        copy_files(_copies(with_image_file(placed, files), out, *folder))
-    objects = materialize(
-        coco_objects(records, files, val_split, test_split, description, id_key), "coco"
-    )
-    present = {r["split"] for r in objects.select("split").distinct().collect()}
+        copy_files(_copies(valid, out, *folder))
+    image = F.to_json(export_projection_coco(id_key), {"ignoreNullFields": "false"})
+    firsts = {r["split"]: r["first"] for r in valid.groupBy("split").agg(F.min("image_id").alias("first")).collect()}
+    shell = spark.range(1).select(_coco_json(F.array().cast("array<string>"), description)).first()[0]
+    head, tail = shell.split('"images":[]')
     for split in splits:
-        target = f"{out}/annotations/{split}.json"
-        lines = objects.where(F.col("split") == split).select(F.col("part").alias(ORDINAL), "value")
-        if split not in present:
-            empty = _coco_json(F.array().cast("array<string>"), description)
-            lines = spark.range(1).select(F.lit(0).alias(ORDINAL), empty.alias("value"))
-        if single_file and lines.count() > 1:
-            raise ValueError(f"{split}: more than {COCO_OBJECT_IMAGES} images; leave single_file off")
-        _write_lines(lines, target, single_file)
+        comma = F.when(F.col("image_id") > firsts.get(split, 0), ",").otherwise("")
+        lines = valid.where(F.col("split") == split).select(
+            F.col("image_id").alias(ORDINAL), F.concat(comma, image).alias("value")
+        )
+        to_single_file(
+            lines,
+            f"{out}/annotations/{split}.json",
+            lambda df, target: df.select("value").write.mode("overwrite").text(target),
+            ORDINAL,
+            head=head + '"images":[\n',
+            tail="]" + tail + "\n",
+        )
 
 
 def write_parquet_dataset(
@@ -248,12 +249,13 @@ def write_report(records: DataFrame, path: str, single_file: bool = False) -> No
 def _write_csv(rows: DataFrame, path: str, single_file: bool) -> None:
     def write(df, target):
         writer = df.drop(ORDINAL).write.mode("overwrite")
-        writer.option("header", True).option("escape", '"').option("emptyValue", "").csv(target)
+        writer.option("header", not single_file).option("escape", '"').option("emptyValue", "").csv(target)
 
     if single_file:
-        to_single_file(rows, path, write, ORDINAL)
+        names = [c for c in rows.columns if c != ORDINAL]
+        to_single_file(rows, path, write, ORDINAL, head=",".join(names) + "\n")
     else:
-        write(rows.sortWithinPartitions(ORDINAL), path)
+        write(rows.orderBy(ORDINAL), path)
 
 
 def write_failures(outcomes: DataFrame, path: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions.licenses import license_from_url
@@ -10,6 +10,8 @@ from framewright.operators.aggregates import with_record_defaults
 from framewright.operators.ordering import first_wins
 from framewright.schema import CLASSES
 
+BUCKET, LABEL_BUCKETS = "label_bucket", 64
+
 # Column names of the image table's CSV and ours.
 IMAGE_COLUMNS = {
     "ImageID": "image_id",
@@ -72,6 +74,10 @@ def _first_line(rows: DataFrame, keys: list[str]) -> DataFrame:
     return first_wins(rows.withColumn("place", place), keys, "place").drop("place")
 
 
+def _label_bucket() -> Column:
+    return F.pmod(F.xxhash64("label_name"), F.lit(LABEL_BUCKETS)).cast("int")
+
+
 def class_search(classes: DataFrame, text: str) -> DataFrame:
     """Classes whose name contains the text, whatever the case.
 
@@ -94,8 +100,9 @@ def search_index(
     label pairs, which then select images. Neither side is hinted; the matched
     classes are broadcast while they are small.
     """
-    matched = class_search(classes, text).select("label_name")
-    hits = image_labels.join(matched, "label_name", "left_semi").select("image_id")
+    keys = [c for c in (BUCKET, "label_name") if c in image_labels.columns and c in classes.columns]
+    matched = class_search(classes, text).select(*keys)
+    hits = image_labels.join(matched, keys, "left_semi").select("image_id")
     found = images.where(F.col("original_url") != "").join(hits, "image_id", "left_semi")
     return found if count is None else found.orderBy("image_id").limit(count)
 
@@ -133,14 +140,16 @@ def normalize_index(images: DataFrame, query: str, strict: bool = False) -> Data
 def write_index(
     classes: DataFrame, images: DataFrame, image_labels: DataFrame, path: str
 ) -> None:
-    """One-time Parquet form of the index; label pairs are clustered by label, so
-    that a search skips the row groups of other labels."""
-    classes.write.parquet(f"{path}/classes")
+    """One-time Parquet form of the index. Label pairs lie in folders by a hash of their
+    label, and classes carry the same number, so that a search reads only the folders
+    of the labels it has found (pruned at run time)."""
+    classes.withColumn(BUCKET, _label_bucket()).write.parquet(f"{path}/classes")
     images.write.parquet(f"{path}/images")
     # Range partitioning by both columns splits a label of any size.
-    image_labels.repartitionByRange("label_name", "image_id").sortWithinPartitions(
-        "label_name", "image_id"
-    ).write.parquet(f"{path}/image_labels")
+    placed = image_labels.withColumn(BUCKET, _label_bucket())
+    placed.repartitionByRange(BUCKET, "label_name", "image_id").sortWithinPartitions(
+        BUCKET, "label_name", "image_id"
+    ).write.partitionBy(BUCKET).parquet(f"{path}/image_labels")
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -1,13 +1,18 @@
 """The manifest: a Parquet table of records, kept as whole versions.
 
-A write never touches the version that is being read. Spark's commit marker
-makes a version visible, so a failed or repeated job leaves no half table.
+A write never touches the version that is being read. Rows are written to a folder
+of their own, which becomes the next version once its number is claimed, so a failed
+or repeated job leaves no half table and two writers never take one number. A change
+that another writer has overtaken is made again from the newer version.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +22,10 @@ from framewright.schema import MANIFEST, ORDINAL
 from framewright.session import hadoop_path, materialize
 
 
+#: How long a claimed version may take to appear before its writer counts as dead.
+CLAIM_SECONDS = 60
+
+
 class Manifest:
     """Upsert by id, look-up by source and (source, source_id)."""
 
@@ -47,9 +56,53 @@ class Manifest:
             .alias(f.name)
             for f in MANIFEST.fields
         ]
-        number = (self.versions() or [0])[-1] + 1
-        # Overwrite removes what a failed attempt at this version left behind.
-        records.select(*columns).write.mode("overwrite").parquet(f"{self.path}/v{number:08d}")
+        staged = self._stage(records.select(*columns))
+        while not self._commit(staged, self._latest()):
+            pass
+
+    def _latest(self) -> int:
+        return (self.versions() or [0])[-1]
+
+    def _stage(self, records: DataFrame) -> str:
+        """Write rows to a folder of their own, clustered for look-ups by source and source_id."""
+        staged = f"{self.path}/staged-{uuid.uuid4().hex}"
+        clustered = records.repartitionByRange("source", "source_id", "id")
+        clustered.sortWithinPartitions("source", "source_id").write.parquet(staged)
+        return staged
+
+    def _commit(self, staged: str, base: int) -> bool:
+        """Make a staged folder the version after ``base``; false if another writer has it.
+
+        Creating the claim is the one step that a single writer can win. A claim without
+        its version stands for a writer that is about to rename its folder, or died there.
+        """
+        number = base + 1
+        fs, claim = hadoop_path(self.spark, f"{self.path}/claim-{number:08d}")
+        try:
+            fs.create(claim, False).close()
+        except Py4JJavaError as error:
+            if not fs.exists(claim):
+                raise error
+            for _ in range(CLAIM_SECONDS):
+                if self._latest() > base:
+                    return False
+                time.sleep(1)
+            # The writer that claimed this version is dead: its claim is taken back.
+            fs.delete(claim, False)
+            return False
+        folder = hadoop_path(self.spark, f"{self.path}/v{number:08d}")[1]
+        fs.delete(folder, True)
+        return bool(fs.rename(hadoop_path(self.spark, staged)[1], folder))
+
+    def _replace(self, change) -> None:
+        """Write ``change(table)`` as the next version, again from the newer table on a conflict."""
+        while True:
+            base = self._latest()
+            staged = self._stage(change(self.read()))
+            if self._commit(staged, base):
+                return
+            fs, folder = hadoop_path(self.spark, staged)
+            fs.delete(folder, True)
 
     def vacuum(self, keep: int = 2) -> None:
         """Delete all but the last versions."""
@@ -87,19 +140,21 @@ class Manifest:
         The table itself is not shuffled by a grouping: replaced ids leave it
         through an anti-join, which broadcasts the ids of a small batch.
         """
-        table = self.read()
         newest = materialize(last_wins(batch), "batch")
-        top = table.agg(F.coalesce(F.max(ORDINAL) + 1, F.lit(0))).first()[0]
         low = newest.agg(F.coalesce(F.min(ORDINAL), F.lit(0))).first()[0]
-        moved = newest.withColumn(ORDINAL, F.col(ORDINAL) + (top - low))
-        self.write(remove_many(table, newest).unionByName(moved.select(*table.columns)))
+
+        def change(table: DataFrame) -> DataFrame:
+            top = table.agg(F.coalesce(F.max(ORDINAL) + 1, F.lit(0))).first()[0]
+            moved = newest.withColumn(ORDINAL, F.col(ORDINAL) + (top - low))
+            return remove_many(table, newest).unionByName(moved.select(*table.columns))
+
+        self._replace(change)
 
     def remove_many(self, ids: DataFrame) -> int:
         """Delete by id; returns how many rows went."""
-        table = self.read()
-        removed = removed_count(table, ids)
+        removed = removed_count(self.read(), ids)
         if removed:
-            self.write(remove_many(table, ids))
+            self._replace(lambda table: remove_many(table, ids))
         return removed
 
 

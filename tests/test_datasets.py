@@ -267,7 +267,7 @@ def test_yolo_without_test_split(dataset):
 
 def test_coco(dataset):
     records, files, out = dataset
-    layouts.write_coco(records, out, files, single_file=True)
+    layouts.write_coco(records, out, files)
     data = json.load(open(f"{out}/annotations/instances.json"))
     assert set(data) == {"info", "licenses", "images", "annotations", "categories"}
     assert [x["id"] for x in data["images"]] == [1, 2, 3, 5, 6, 7, 8, 9, 10]
@@ -276,7 +276,7 @@ def test_coco(dataset):
 
 def test_coco_splits_and_parts(dataset, spark):
     records, files, out = dataset
-    layouts.write_coco(records, out, files, 0.2, 0.1, single_file=True, copy=False)
+    layouts.write_coco(records, out, files, 0.2, 0.1, copy=False)
     ids = {s: [x["id"] for x in json.load(open(f"{out}/annotations/{s}.json"))["images"]] for s in ("train", "val", "test")}
     assert ids == {"train": [1, 2, 3, 5, 6, 7], "val": [1, 2], "test": [1]}
     parts = layouts.coco_objects(records, files, object_images=4).orderBy("part").collect()
@@ -285,7 +285,7 @@ def test_coco_splits_and_parts(dataset, spark):
 
 def test_coco_of_nothing(dataset):
     records, files, out = dataset
-    layouts.write_coco(records.limit(0), out, files, 0.1, single_file=True, copy=False)
+    layouts.write_coco(records.limit(0), out, files, 0.1, copy=False)
     assert json.load(open(f"{out}/annotations/val.json"))["images"] == []
 
 

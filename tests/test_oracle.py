@@ -23,7 +23,7 @@ def comparable(value):
     return round(value, 6) if isinstance(value, float) else value
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(name, spark, duck):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
