@@ -9,9 +9,10 @@ inside a diagonal band matches make up at least 0.8 of all shingles of both.
 
 Similar documents form classes, the connected components. Within a bucket of
 candidates no list of pairs is made: one leader is compared with all members,
-and members that are in one component already need no further look. Members with too
-many shingles of their own for any partner are left out. Leaders that have met every
-other component of a bucket leave it, until one component is left.
+and members that are in one component already need no further look. Pairs that share a
+rare shingle are few and meet directly; members with too few other shingles for
+any partner are then left out. Leaders that have met every other component of a bucket
+leave it, until one component is left.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ FUNCTIONS, PER_BAND = 32, 2
 #: Bits of a shingle's place in the numbers that are compared.
 PLACE_BITS = 26
 #: A bucket with several components sends out this many times the leaders of the round before.
-MORE_LEADERS = 6
+MORE_LEADERS = 16
+#: Shingles of no more nodes than this are rare: the pairs that they make are few, and are listed.
+RARE = 8
 SLICE_CHARS = 400_000
 CACHED_WORDS = 300_000
 _WORD = re.compile(r"\w+")
@@ -228,10 +231,7 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct(),
         "links",
     )
-    labels = materialize(
-        both.groupBy("node").agg(F.min("next").alias("low")).select("node", F.least("node", "low").alias("comp")),
-        "labels",
-    )
+    labels = both.groupBy("node").agg(F.min("next").alias("low")).select("node", F.least("node", "low").alias("comp"))
     while True:
         around = (
             both.join(labels.select(F.col("node").alias("next"), "comp"), "next")
@@ -285,50 +285,77 @@ def _open_members(members: DataFrame) -> DataFrame:
     return members.join(open_keys.select("key"), "key", "left_semi")
 
 
-def _own_shingles(words: DataFrame) -> DataFrame:
-    """Per node the number of its shingles that no other of these nodes has; none: no row."""
+def _shingle_rows(words: DataFrame) -> DataFrame:
+    """(shingle, node) of all nodes, equal shingles of a node told apart."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [labelled(np.frombuffer(w, np.uint16)) for w in batch["words"]]
-            counts = [len(x) for x in found]
             keys = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            yield pd.DataFrame({"shingle": keys.view(np.int64), "node": np.repeat(batch["node"].to_numpy(), counts)})
+            nodes = np.repeat(batch["node"].to_numpy(), [len(x) for x in found])
+            yield pd.DataFrame({"shingle": keys.view(np.int64), "node": nodes})
 
-    rows = words.mapInPandas(run, "shingle long, node string")
-    alone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-    return alone.groupBy("node").agg(F.count("*").alias("own"))
+    return words.mapInPandas(run, "shingle long, node string")
 
 
-def _hopeful(open_rows: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """Open members with ``common``, their shingles that others have, without hopeless ones.
+def _rare(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Shingles that at most RARE of these nodes have: their number per node, and the pairs they make.
 
-    No partner can match a shingle that only one node has, and a partner in the bucket
-    has at least as many shingles as the bucket's smallest member. A node whose
-    common shingles can't reach ``least`` even so has no link here: leaving it out
-    loses nothing.
+    The pairs (a, b, shared) are those of nodes with a rare shingle in common, and how many. Shingles with
+    the same nodes, as one edit leaves several, are put together before their pairs are made.
     """
-    inside = open_rows.select("node").distinct()
-    own = materialize(_own_shingles(words.join(inside, "node", "left_semi")), "own")
-    common = F.col("shingles") - F.coalesce("own", F.lit(0))
-    told = open_rows.join(own, "node", "left").select("key", "node", "shingles", "comp", common.alias("common"))
-    smallest = told.groupBy("key").agg(F.min("shingles").alias("smallest"))
+    rows = materialize(_shingle_rows(words), "shingles")
+    few = rows.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= RARE)
+    rare = materialize(rows.join(few, "shingle").select("shingle", "n", "node"), "rare")
+    numbers = rare.groupBy("node").agg(F.count("*").alias("rare"))
+    sets = (
+        rare.where("n > 1")
+        .groupBy("shingle")
+        .agg(F.sort_array(F.collect_list("node")).alias("nodes"))  # RARE nodes at most
+        .groupBy("nodes")
+        .agg(F.count("*").alias("w"))
+    )
+    first = sets.select("nodes", "w", F.posexplode("nodes").alias("at", "a"))
+    pairs = first.select("a", "w", F.explode(F.slice("nodes", F.col("at") + 2, RARE)).alias("b"))
+    return numbers, pairs.groupBy("a", "b").agg(F.sum("w").alias("shared"))
+
+
+def _rare_links(pairs: DataFrame, nodes: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """Links between nodes with rare shingles in common, where numbers alone don't rule them out."""
+    of = lambda side: nodes.select(
+        F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("shingles", "common", "comp")]
+    )
+    most = F.least("a_common", "b_common") + F.col("shared")
+    could = most >= (least - 1e-9) * (F.col("a_shingles") + F.col("b_shingles") - most)
+    told = pairs.join(of("a"), "a").join(of("b"), "b")
+    return _similar(told.where((F.col("a_comp") != F.col("b_comp")) & could).select("a", "b"), words, least)
+
+
+def _prune(rows: DataFrame, least: float) -> DataFrame:
+    """Members of open buckets that could still have a link there.
+
+    All pairs with rare shingles in common have been met, so that a node can share only its
+    ``common`` shingles with any other, and a partner has at least as many shingles as the
+    bucket's smallest member. Where that can't reach ``least``, leaving the node out loses nothing.
+    """
+    smallest = rows.groupBy("key").agg(F.min("shingles").alias("smallest"))
     best = F.col("common") / (F.greatest("smallest", "common") + F.col("shingles") - F.col("common"))
-    kept = told.join(smallest, "key").where(best >= least - 1e-9).drop("smallest")
-    return materialize(_open_members(kept), "hopeful")
+    kept = rows.join(smallest, "key").where(best >= least - 1e-9).drop("smallest")
+    return materialize(_open_members(kept), "open")
 
 
 def _linked(words: DataFrame, members: DataFrame, least: float) -> DataFrame:
     """Components of nodes: leaders of each bucket meet its members until one component is left.
 
-    The first leader of a bucket is any member. Later ones are those whose shingles are the
-    least their own, which are likely near to most others. A leader meets all members of other
+    The first leader of a bucket is any member, which joins most of a group. Then all pairs with rare
+    shingles in common meet, whatever their buckets. Further leaders are those with the largest share of
+    shingles that are not rare, which are likely near to most others. A leader meets all members of other
     components that could be similar to it, and then leaves the bucket for good. Each round
     sends more leaders out, for those that are left have few members they could be similar to.
     """
     labels = materialize(members.select("node", F.col("node").alias("comp")).distinct(), "labels")
     rows = members.withColumn("comp", F.col("node")).withColumn("common", F.col("shingles"))
-    turns, tested = 1, None
+    turns = 1
     while True:
         order = W.partitionBy("key").orderBy(F.desc(F.col("common") / F.col("shingles")), "node")
         leaders = materialize(
@@ -351,20 +378,26 @@ def _linked(words: DataFrame, members: DataFrame, least: float) -> DataFrame:
             .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
             .distinct()
         )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        edges = materialize(_similar(pairs, words, least), "edges")
-        labels = _merge(labels, edges)
-        left = rows.select("key", "node", "shingles").join(
+        labels = _merge(labels, _similar(pairs, words, least))
+        left = rows.select("key", "node", "shingles", "common").join(
             leaders.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti"
         )
         rows = materialize(_open_members(left.join(labels, "node")), "open")
-        if not rows.isEmpty():
-            rows = _hopeful(rows, words, least)
         if rows.isEmpty():
             return labels
-        tested = pairs if tested is None else materialize(tested.union(pairs), "tested")
+        if turns == 1:
+            inside = rows.select("node", "shingles").distinct()
+            numbers, pairs = _rare(words.join(inside, "node", "left_semi"))
+            nodes = inside.join(numbers, "node", "left").join(labels, "node").select(
+                "node", "shingles", "comp", (F.col("shingles") - F.coalesce("rare", F.lit(0))).alias("common")
+            )
+            nodes = materialize(nodes, "common")
+            labels = _merge(labels, _rare_links(pairs, nodes, words, least))
+            rows = rows.select("key", "node", "shingles").join(nodes.select("node", "common"), "node")
+            rows = rows.join(labels, "node")
+        rows = _prune(rows, least)
+        if rows.isEmpty():
+            return labels
         turns *= MORE_LEADERS
 
 
