@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.common import prepare
+from framewright.session import materialize
 
 #: Elements that never hold the main text.
 FURNITURE = frozenset(
@@ -32,6 +33,8 @@ FURNITURE_WORDS = frozenset(
 )
 #: Elements whose subtrees are the page's own, however often they recur.
 MAIN = frozenset(("article", "main"))
+#: A host with one in so many pages is dealt out to several tasks.
+SALTS = 1000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that begin and end a block of text.
 BLOCKS = frozenset(
@@ -230,7 +233,8 @@ def extract_main_text(
                 hosts.extend([name] * len(own))
             yield pd.DataFrame({"_host": hosts, "key": pd.Series(found, dtype="int64")})
 
-    sizes = rows.groupBy("_host").agg(F.count("*").alias("pages"))
+    sizes = materialize(rows.groupBy("_host").agg(F.count("*").alias("pages")), "hosts")
+    total = sizes.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
     counted = rows.select("_host", "_html").mapInPandas(keys, "_host string, key long").groupBy("_host", "key").count()
     templates = (
         counted.where(F.col("count") >= min_pages)
@@ -239,6 +243,17 @@ def extract_main_text(
         .groupBy("_host")
         .agg(F.collect_list("key").alias("_template"))
     )
+    # Hosts with a thousandth of all pages, at most SALTS of them, are dealt out to as many pieces
+    # as they have thousandths; their templates go to each piece, at most 2 * SALTS rows in all.
+    large = sizes.where(F.col("pages") * SALTS >= total).select(
+        "_host", F.ceil(F.col("pages") * SALTS / max(total, 1)).cast("int").alias("_pieces")
+    )
+    piece = F.pmod(F.xxhash64(id_column, url_column, "_html"), F.coalesce("_pieces", F.lit(1)))
+    rows = rows.join(F.broadcast(large), "_host", "left").withColumn("_piece", piece.cast("int")).drop("_pieces")
+    pieces = F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)
+    templates = (
+        templates.join(F.broadcast(large), "_host", "left").withColumn("_piece", F.explode(pieces)).drop("_pieces")
+    )
 
     @F.pandas_udf("string")
     def text(html: pd.Series, template: pd.Series) -> pd.Series:
@@ -249,7 +264,7 @@ def extract_main_text(
             out.append(main_text(root, set() if found is None else set(found.tolist())))
         return pd.Series(out, dtype=object)
 
-    told = rows.join(templates, "_host", "left").select(
+    told = rows.join(templates, ["_host", "_piece"], "left").select(
         id_column, url_column, text("_html", "_template").alias("text")
     )
     return told.withColumn("n_chars", F.char_length("text").cast("long"))
