@@ -59,6 +59,6 @@ def license_from_url(url: Column, strict: bool = False) -> Column:
     return (
         F.when(has("cc0") | has("publicdomain"), "CC0-1.0")
         .when(has("by/4.0"), "CC-BY-4.0")
-        .when(has("by/2.0") | has("by/2"), "CC-BY-2.0")
+        .when(has("by/2"), "CC-BY-2.0")
         .otherwise(F.lit(None).cast("string") if strict else F.lit("CC-BY-2.0"))
     )

@@ -17,6 +17,7 @@ from framewright.schema import ORDINAL
 
 CODE, REASON = "reason_code", "reason"
 
+# The codes, texts and default limits of the rules below are fixed values.
 Rule = tuple[str, Column, Column]
 
 
