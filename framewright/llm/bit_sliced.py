@@ -9,7 +9,6 @@ most significant slice downward, and ties at the boundary are resolved exactly.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
