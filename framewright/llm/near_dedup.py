@@ -1,11 +1,13 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
-A document is the sequence of its five-word shingles, equal ones told apart by
-their occurrence. Each of several hash functions picks the two smallest shingles
+A document is the sequence of its five-word shingles. Each of several hash
+functions picks the two smallest shingles, equal ones told apart by their occurrence,
 and keeps them in text order, so that equal sketch entries speak for equal
 order as well as equal content. Entries are banded; documents that share a band
 are candidates. A candidate pair is similar if the shingles that an alignment
-inside a diagonal band matches make up at least 0.8 of all shingles of both.
+inside a diagonal band matches, whichever occurrence they are, make up at least 0.8 of
+all shingles of both. No alignment matches more than the shingles with their occurrences
+that both have, so that counting these rules pairs out without loss.
 
 Similar documents form classes, the connected components. Within a bucket of
 candidates no list of pairs is made: one leader is compared with all members,
@@ -40,6 +42,8 @@ PLACE_BITS = 26
 MORE_LEADERS = 16
 #: Shingles of no more nodes than this are rare: the pairs that they make are few, and are listed.
 RARE = 8
+#: Equal places of two texts that are listed, and columns of the table that is used beyond them.
+MOST_PLACES, BLOCK_BITS = 10_000_000, 1 << 14
 SLICE_CHARS = 400_000
 CACHED_WORDS = 300_000
 _WORD = re.compile(r"\w+")
@@ -138,12 +142,13 @@ def labelled(words: np.ndarray) -> np.ndarray:
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
-    """Share of shingles that an alignment matches: matched / (all - matched).
+    """Share of shingles that an alignment of equal occurrences matches: matched / (all - matched).
 
     ``a`` and ``b`` are word numbers. Equal shingles of equal occurrence can be
     matched, in the same order in both. If the share is ``least`` or more, a matched
     shingle's place differs by no more than the unmatched shingles in the texts, so
-    that matches outside this band are left out without loss.
+    that matches outside this band are left out without loss. Where passages recur inside a
+    text this is less than ``alignment_share``, and never more.
     """
     x, y = labelled(a), labelled(b)
     total = len(x) + len(y)
@@ -165,6 +170,90 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
     return matched / max(total - matched, 1)
 
 
+def _bit_length(x: np.ndarray, y: np.ndarray) -> int:
+    """Length of the longest common subsequence, by the quadratic table in blocks of ``BLOCK_BITS`` columns."""
+    keys, carries, missing = y.tolist(), [0] * len(y), 0
+    for start in range(0, len(x), BLOCK_BITS):
+        block = x[start : start + BLOCK_BITS]
+        bits: dict[int, int] = {}
+        for key in np.intersect1d(block, y).tolist():
+            packed = np.packbits(block == np.uint64(key), bitorder="little")
+            bits[key] = int.from_bytes(packed.tobytes(), "little")
+        whole = (1 << len(block)) - 1
+        row = whole  # a bit is unset where the length rises
+        for j, key in enumerate(keys):
+            equal = row & bits.get(key, 0)
+            if equal or carries[j]:
+                added = row + equal + carries[j]
+                carries[j] = added >> len(block)
+                row = (added & whole) | (row - equal)
+        missing += row.bit_count()
+    return len(x) - missing
+
+
+def common_length(x: np.ndarray, y: np.ndarray, band: int) -> int:
+    """Length of the longest common subsequence, among those whose places differ by ``band`` at most.
+
+    The equal places are listed and their longest rising subsequence is taken; where repeats make
+    more equal places than rows of bits cost, the quadratic table is worked off as bits, without a band.
+    """
+    order = np.argsort(y, kind="stable")
+    ordered = y[order]
+    first, last = np.searchsorted(ordered, x), np.searchsorted(ordered, x, "right")
+    if int((last - first).sum()) > min(len(y) * (16 + len(x) // 1000), MOST_PLACES):
+        return _bit_length(x, y)
+    at = np.repeat(np.arange(len(x)), last - first)
+    to = order[np.arange(len(at)) - np.repeat(np.cumsum(last - first) - last, last - first)]
+    near = np.abs(at - to) <= band
+    at, to = at[near], to[near]
+    to = to[np.lexsort((-to, at))]  # the places of one shingle in falling order: only one of them can rise
+    if (np.diff(to) > 0).all():
+        return len(to)
+    tails: list[int] = []  # longest rising subsequence
+    for place in to.tolist():
+        k = bisect_left(tails, place)
+        tails[k : k + 1] = [place]
+    return len(tails)
+
+
+def alignment_share(a: np.ndarray, b: np.ndarray, least: float) -> float:
+    """Share of shingles that an alignment matches: matched / (all - matched).
+
+    ``a`` and ``b`` are word numbers. Equal shingles can be matched, whichever occurrence they
+    are, in the same order in both. If the share is ``least`` or more, a matched
+    shingle's place differs by no more than the unmatched shingles in the texts, so
+    that matches outside this band are left out without loss. What both texts begin and end with
+    is matched at once, which loses nothing either. A share under ``least`` can be told too low.
+    """
+    x, y = (shingles(np.pad(w, (0, max(0, SHINGLE - len(w))))) for w in (a, b))
+    total = len(x) + len(y)
+    if min(len(x), len(y)) < least * max(len(x), len(y)):
+        return 0.0
+    keys, times = np.unique(x, return_counts=True)
+    others, other_times = np.unique(y, return_counts=True)
+    _, at, to = np.intersect1d(keys, others, assume_unique=True, return_indices=True)
+    most = int(np.minimum(times[at], other_times[to]).sum())  # no order matches more
+    if most < (least - 1e-9) * (total - most):
+        return 0.0
+    band = int(total * (1 - least) / (1 + least)) + 1
+    short = min(len(x), len(y))
+    differ = np.flatnonzero(x[:short] != y[:short])
+    begin = int(differ[0]) if len(differ) else short
+    x, y = x[begin:], y[begin:]
+    short = min(len(x), len(y))
+    differ = np.flatnonzero(x[len(x) - short :][::-1] != y[len(y) - short :][::-1])
+    end = int(differ[0]) if len(differ) else short
+    matched = begin + end
+    if short > end:
+        matched += common_length(x[: len(x) - end], y[: len(y) - end], band)
+    return matched / max(total - matched, 1)
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether ``alignment_share`` reaches ``least``; most pairs that do are told by equal occurrences."""
+    return aligned(a, b, least) >= least or alignment_share(a, b, least) >= least
+
+
 def _sketches(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Per document: id, node (a digest of its words), shingles, bands, words (16 bits each).
 
@@ -209,7 +298,7 @@ def _similar(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = [
-                aligned(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), least) >= least
+                similar(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), least)
                 for x, y in zip(batch["words_a"], batch["words_b"], strict=True)
             ]
             yield batch.loc[keep, ["a", "b"]]
