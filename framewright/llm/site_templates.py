@@ -1,7 +1,7 @@
 """Main text of web pages by removing what a site repeats.
 
-Every element subtree outside a page's article is hashed and counted per host in
-Spark; subtrees that recur on many pages of their host are its template and are
+Every element subtree outside a page's article is hashed and counted per host, once for
+copies of a page, in Spark; subtrees that recur on many pages of their host are its template and are
 deleted, as are elements that name themselves as furniture (menus, forms, adverts,
 comments). What is left is read block by block.
 """
@@ -208,12 +208,12 @@ def extract_main_text(
 ) -> DataFrame:
     """page id, url, text and ``n_chars`` (code points) of every page.
 
-    A subtree outside the article is template if at least ``min_pages`` pages of its host, and
+    A subtree outside the article is template if at least ``min_pages`` distinct pages of its host, and
     ``min_share`` of them, have it. A host thus has at most 1 / ``min_share`` times as many templates as
     its pages have subtrees, so its list is bounded and goes with each page. Pages that
     have no host (null url, no ``://``) form one site.
 
-    Null html and pages without text give an empty text. Repeated rows count as pages and each give a
+    Null html and pages without text give an empty text. Copies of a page count as one page and each give a
     row; null ids and urls stay. Other columns play no part; an empty table gives no rows. Whole pages are read.
     """
     prepare(pages.sparkSession)
@@ -224,21 +224,27 @@ def extract_main_text(
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hosts, found = [], []
+            hosts, trees, found = [], [], []
             for name, html in zip(batch["_host"], batch["_html"], strict=True):
                 root = parse(html)
                 hash_subtrees(root)
                 own = template_candidates(root)
                 found.extend(own)
                 hosts.extend([name] * len(own))
-            yield pd.DataFrame({"_host": hosts, "key": pd.Series(found, dtype="int64")})
+                trees.extend([root.key] * len(own))
+            yield pd.DataFrame(
+                {"_host": hosts, "tree": pd.Series(trees, dtype="int64"), "key": pd.Series(found, dtype="int64")}
+            )
 
     sizes = materialize(rows.groupBy("_host").agg(F.count("*").alias("pages")), "hosts")
+    distinct = rows.groupBy("_host").agg(F.countDistinct(F.xxhash64("_html")).alias("pages"))
     total = sizes.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
-    counted = rows.select("_host", "_html").mapInPandas(keys, "_host string, key long").groupBy("_host", "key").count()
+    # copies of a page are one page: each subtree once per distinct tree of its host
+    held = rows.select("_host", "_html").mapInPandas(keys, "_host string, tree long, key long").distinct()
+    counted = held.groupBy("_host", "key").count()
     templates = (
         counted.where(F.col("count") >= min_pages)
-        .join(sizes.where(F.col("pages") >= min_pages), "_host")
+        .join(distinct.where(F.col("pages") >= min_pages), "_host")
         .where(F.col("count") >= F.lit(min_share) * F.col("pages"))
         .groupBy("_host")
         .agg(F.collect_list("key").alias("_template"))
