@@ -33,7 +33,7 @@ FURNITURE_WORDS = frozenset(
 )
 #: Elements whose subtrees are the page's own, however often they recur.
 MAIN = frozenset(("article", "main"))
-#: A host with one in so many pages is dealt out to several tasks.
+#: A page whose copies are one in so many rows is dealt out to several tasks.
 SALTS = 1000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that begin and end a block of text.
@@ -201,16 +201,14 @@ def main_text(root: Node, template: frozenset[int] | set[int]) -> str:
 def extract_main_text(
     pages: DataFrame,
     min_pages: int = 5,
-    min_share: float = 0.01,
     id_column: str = "page_id",
     url_column: str = "url",
     html_column: str = "html",
 ) -> DataFrame:
     """page id, url, text and ``n_chars`` (code points) of every page.
 
-    A subtree outside the article is template if at least ``min_pages`` distinct pages of its host, and
-    ``min_share`` of them, have it. A host thus has at most 1 / ``min_share`` times as many templates as
-    its pages have subtrees, so its list is bounded and goes with each page. Pages that
+    A subtree outside the article is template if at least ``min_pages`` distinct pages of its host have it,
+    however many pages the host has. A page meets only those of its own subtrees that recur. Pages that
     have no host (null url, no ``://``) form one site.
 
     Null html and pages without text give an empty text. Copies of a page count as one page and each give a
@@ -220,45 +218,52 @@ def extract_main_text(
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_column), r"^.*?://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(
         F.col(id_column), F.col(url_column), F.coalesce(F.col(html_column), F.lit("")).alias("_html"), host.alias("_host")
-    )
+    ).withColumn("_page", F.xxhash64("_html"))
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hosts, trees, found = [], [], []
-            for name, html in zip(batch["_host"], batch["_html"], strict=True):
+            hosts, pages, trees, found = [], [], [], []
+            for name, page, html in zip(batch["_host"], batch["_page"], batch["_html"], strict=True):
                 root = parse(html)
                 hash_subtrees(root)
                 own = template_candidates(root)
                 found.extend(own)
                 hosts.extend([name] * len(own))
+                pages.extend([page] * len(own))
                 trees.extend([root.key] * len(own))
-            yield pd.DataFrame(
-                {"_host": hosts, "tree": pd.Series(trees, dtype="int64"), "key": pd.Series(found, dtype="int64")}
-            )
+            numbers = {"_page": pages, "tree": trees, "key": found}
+            yield pd.DataFrame({"_host": hosts} | {k: pd.Series(v, dtype="int64") for k, v in numbers.items()})
 
-    sizes = materialize(rows.groupBy("_host").agg(F.count("*").alias("pages")), "hosts")
-    distinct = rows.groupBy("_host").agg(F.countDistinct(F.xxhash64("_html")).alias("pages"))
-    total = sizes.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
     # copies of a page are one page: each subtree once per distinct tree of its host
-    held = rows.select("_host", "_html").mapInPandas(keys, "_host string, tree long, key long").distinct()
-    counted = held.groupBy("_host", "key").count()
+    held = rows.select("_host", "_page", "_html").mapInPandas(keys, "_host string, _page long, tree long, key long")
+    held = materialize(held.distinct(), "subtrees")
+    recurring = (
+        held.select("_host", "tree", "key")
+        .distinct()
+        .groupBy("_host", "key")
+        .count()
+        .where(F.col("count") >= min_pages)
+        .select("_host", "key")
+    )
+    # each page with those of its own subtrees that recur
     templates = (
-        counted.where(F.col("count") >= min_pages)
-        .join(distinct.where(F.col("pages") >= min_pages), "_host")
-        .where(F.col("count") >= F.lit(min_share) * F.col("pages"))
-        .groupBy("_host")
-        .agg(F.collect_list("key").alias("_template"))
+        held.join(recurring, ["_host", "key"], "left_semi")
+        .groupBy("_host", "_page")
+        .agg(F.collect_set("key").alias("_template"))
     )
-    # Hosts with a thousandth of all pages, at most SALTS of them, are dealt out to as many pieces
+    # Pages with a thousandth of all rows as copies, at most SALTS of them, are dealt out to as many pieces
     # as they have thousandths; their templates go to each piece, at most 2 * SALTS rows in all.
-    large = sizes.where(F.col("pages") * SALTS >= total).select(
-        "_host", F.ceil(F.col("pages") * SALTS / max(total, 1)).cast("int").alias("_pieces")
+    sizes = materialize(rows.groupBy("_host", "_page").agg(F.count("*").alias("copies")), "copies")
+    total = sizes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    large = sizes.where((F.col("copies") * SALTS >= total) & (F.col("copies") > 1)).select(
+        "_host", "_page", F.ceil(F.col("copies") * SALTS / max(total, 1)).cast("int").alias("_pieces")
     )
-    piece = F.pmod(F.xxhash64(id_column, url_column, "_html"), F.coalesce("_pieces", F.lit(1)))
-    rows = rows.join(F.broadcast(large), "_host", "left").withColumn("_piece", piece.cast("int")).drop("_pieces")
+    of_page = ["_host", "_page"]
+    piece = F.pmod(F.xxhash64(id_column, url_column), F.coalesce("_pieces", F.lit(1)))
+    rows = rows.join(F.broadcast(large), of_page, "left").withColumn("_piece", piece.cast("int")).drop("_pieces")
     pieces = F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)
     templates = (
-        templates.join(F.broadcast(large), "_host", "left").withColumn("_piece", F.explode(pieces)).drop("_pieces")
+        templates.join(F.broadcast(large), of_page, "left").withColumn("_piece", F.explode(pieces)).drop("_pieces")
     )
 
     @F.pandas_udf("string")
@@ -270,7 +275,7 @@ def extract_main_text(
             out.append(main_text(root, set() if found is None else set(found.tolist())))
         return pd.Series(out, dtype=object)
 
-    told = rows.join(templates, ["_host", "_piece"], "left").select(
+    told = rows.join(templates, [*of_page, "_piece"], "left").select(
         id_column, url_column, text("_html", "_template").alias("text")
     )
     return told.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -15,3 +15,10 @@ def test_copies_keep_their_text(spark):
     told = texts_of(spark, rows)
     assert {told[i] for i in range(40)} == {"one story\nits end"}
     assert [told[100 + i] for i in range(8)] == [f"story {i}" for i in range(8)]
+
+
+def test_the_size_of_the_host_plays_no_part(spark):
+    page = "<div>{}<p>story {}</p></div>"
+    rows = [(i, f"http://a.example/{i}", page.format("<div>Notice</div>" if i < 6 else "", i)) for i in range(900)]
+    told = texts_of(spark, rows)
+    assert [told[i] for i in range(900)] == [f"story {i}" for i in range(900)]
