@@ -2,8 +2,8 @@
 
 A text becomes a unit vector of hashed letter n-grams weighted by TF-IDF; each
 language has several centroids, from spherical k-means, and the nearest one
-by cosine names the language. A text that is much farther from it than the
-language's own texts are is rejected.
+by cosine names the language. A text that is farther from it than the
+language's own texts of its length are is rejected.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from framewright.llm.common import prepare, text_slices, unit_hash
 BUCKETS = 4096
 #: Characters of texts turned into vectors at a time.
 SLICE_CHARS = 400_000
+#: Shortest texts, in n-grams, of the bands of length that have limits of their own.
+BANDS = np.array([0, 64, 128, 256, 512, 1024, 2048, 4096])
 _LETTER = regex.compile(r"\p{L}")
 #: ASCII other than letters becomes a blank; upper case is folded before.
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -42,6 +44,11 @@ def term_counts(texts: list[str]) -> np.ndarray:
     return counts
 
 
+def bands_of(counts: np.ndarray) -> np.ndarray:
+    """Place of each row's number of n-grams among ``BANDS``."""
+    return np.searchsorted(BANDS, counts.sum(axis=1), "right") - 1
+
+
 def has_letter(text: str | None) -> bool:
     return text is not None and _LETTER.search(text) is not None
 
@@ -52,7 +59,7 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Centroids with their languages, IDF weights, and the least cosine accepted per centroid."""
+    """Centroids with their languages, IDF weights, and the least cosine accepted per centroid and band."""
 
     languages: tuple[str, ...]
     of: np.ndarray
@@ -65,10 +72,11 @@ class LanguageModel:
 
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place of the language, cosine with its nearest centroid, whether rejected."""
-        cosines = self.vectors(term_counts(texts)) @ self.centroids.T
+        counts = term_counts(texts)
+        cosines = self.vectors(counts) @ self.centroids.T
         best = cosines.argmax(axis=1)
         cosine = np.clip(cosines[np.arange(len(best)), best], 0.0, 1.0)
-        return self.of[best], cosine, cosine < self.least[best]
+        return self.of[best], cosine, cosine < self.least[best, bands_of(counts)]
 
 
 def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -84,6 +92,23 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids
 
 
+def _limits(own: list[np.ndarray], others: list[np.ndarray], loose: float) -> np.ndarray:
+    """Least cosine accepted per band: halfway between a language's own low cosines and the others' high ones.
+
+    Where these cross, the own texts stay. The band of the shortest texts, and bands that none of the
+    language's own texts reach, have the limit of the band before, at first the ``loose`` one.
+    """
+    limits = [loose]
+    for mine, theirs in zip(own[1:], others[1:], strict=True):
+        if not len(mine):
+            limits.append(limits[-1])
+            continue
+        low = np.quantile(mine, 0.01)
+        high = np.quantile(theirs, 0.99) if len(theirs) else 0.5 * low
+        limits.append((low + high) / 2 if high < low else 0.95 * low)
+    return np.array(limits)
+
+
 def document_frequencies(docs: DataFrame, text_column: str) -> tuple[int, np.ndarray]:
     """Documents, and documents per term, over all rows; summed per task before a shuffle."""
 
@@ -117,8 +142,10 @@ def train_languages(
 
     Document frequencies count every labelled row. The clusters are fitted on a
     seeded sample of about ``per_language`` rows of each language (all of a rare one), the only
-    rows that reach the driver, as vectors of ``BUCKETS`` numbers. A centroid
-    accepts what is at least ``slack`` times as close as the first percentile of its sample.
+    rows that reach the driver, as vectors of ``BUCKETS`` numbers. Every third row of the sample is left out of
+    the clusters; cut to the shortest length of each of ``BANDS``, these rows set the least cosine of a language
+    between its own low ones and those of the other languages' rows (``_limits``). The shortest texts, which
+    show too little, need ``slack`` times the first percentile of the whole rows.
 
     Rows with a null language, or no letter in the text, teach nothing. Without
     any labelled row there are no languages, and every text is ``und``.
@@ -133,33 +160,51 @@ def train_languages(
     for language, size in sizes.items():
         share = F.when(F.col(lang_column) == language, F.lit(per_language / size)).otherwise(share)
     sample = known.where(unit_hash(seed, id_column) < share).select(
-        F.col(lang_column).cast("string").alias("lang"), F.col(text_column).alias("text")
+        F.col(lang_column).cast("string").alias("lang"),
+        F.col(text_column).alias("text"),
+        (unit_hash(seed + 1, id_column) < 1 / 3).alias("held"),
     )
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in text_slices(batches, "text", SLICE_CHARS):
-            counts = term_counts(part["text"].tolist())
-            yield pd.DataFrame({"lang": part["lang"].to_numpy(), "v": [row.tobytes() for row in counts]})
-
-    found = sample.mapInPandas(vectors, "lang string, v binary").collect() if sizes else []
+            whole = term_counts(part["text"].tolist())
+            held = part["held"].astype(bool)
+            out = [(lang, -2 if h else -1, row.tobytes()) for lang, h, row in zip(part["lang"], held, whole, strict=True)]
+            for lang, text in part.loc[held, ["lang", "text"]].itertuples(index=False):
+                raw = text.encode("utf-8", "replace")
+                for band in range(1, len(BANDS)):
+                    # n bytes, with a blank at each end, make 2 n + 1 n-grams
+                    piece = raw[: BANDS[band] // 2 + 2].decode("utf-8", "ignore")
+                    counts = term_counts([piece])
+                    if bands_of(counts)[0] == band:
+                        out.append((lang, band, counts[0].tobytes()))
+            yield pd.DataFrame(out, columns=["lang", "band", "v"])
+
+    found = sample.mapInPandas(vectors, "lang string, band int, v binary").collect() if sizes else []
     # rows come in any order: sort, so that the model is the same each time
-    found = sorted((r["lang"], bytes(r["v"])) for r in found)
-    languages = tuple(sorted({lang for lang, _ in found}))
+    found = sorted((r["lang"], r["band"], bytes(r["v"])) for r in found)
+    languages = tuple(sorted({lang for lang, _, _ in found}))
+    vector: dict[tuple[str, int], np.ndarray] = {}
+    for language in languages:
+        for band in (-2, -1, *range(1, len(BANDS))):
+            rows_of = [np.frombuffer(v, np.float32) for lang, b, v in found if lang == language and b == band]
+            vector[language, band] = unit_rows(np.log1p(np.stack(rows_of)) * idf) if rows_of else np.empty((0, BUCKETS), np.float32)
     centroids, of, least = [], [], []
     for place, language in enumerate(languages):
-        counts = np.stack([np.frombuffer(v, np.float32) for lang, v in found if lang == language])
-        x = unit_rows(np.log1p(counts) * idf)
-        own = _clusters(x, clusters)
-        cosines = x @ own.T
-        nearest = cosines.argmax(axis=1)
-        limit = slack * np.quantile(cosines.max(axis=1), 0.01)
-        for j in range(len(own)):
-            mine = cosines[nearest == j, j]
-            least.append(min(limit, slack * np.quantile(mine, 0.01)) if len(mine) else limit)
+        fitted, held = vector[language, -1], vector[language, -2]
+        few = len(fitted) < clusters
+        own = _clusters(np.concatenate([fitted, held]) if few else fitted, clusters)
+        nearest = lambda x: (x @ own.T).max(axis=1)  # noqa: B023, E731
+        loose = slack * np.quantile(nearest(np.concatenate([fitted, held])), 0.01)
+        mine, theirs = [np.empty(0)], [np.empty(0)]
+        for band in range(1, len(BANDS)):
+            mine.append(nearest(vector[language, band][: 0 if few else None]))
+            theirs.append(np.concatenate([nearest(vector[o, band]) for o in languages if o != language] or [np.empty(0)]))
+        least += [_limits(mine, theirs, loose)] * len(own)
         centroids.append(own)
         of += [place] * len(own)
     stacked = np.concatenate(centroids) if centroids else np.zeros((1, BUCKETS), np.float32)
-    return LanguageModel(languages, np.asarray(of or [0]), stacked.astype(np.float32), idf, np.asarray(least or [2.0]))
+    return LanguageModel(languages, np.asarray(of or [0]), stacked.astype(np.float32), idf, np.asarray(least or [np.full(len(BANDS), 2.0)]))
 
 
 def identify_languages(
