@@ -95,8 +95,6 @@ ORDINARY = [
     "Under the table there was a box.", "The work is done.", "This is a test of the new file system.", "",
 ]
 UNKNOWN = "unknown"
-#: A paragraph without any of these beginnings of words can be no notice of the families above.
-ANCHORS = r"(?i)licen[sc]|copyright|permission|permitted|rights reserved|spdx|unencumbered|proprietary|public domain|\bCC0|\bCC BY"
 LONGEST = 3
 
 
@@ -108,6 +106,21 @@ def ngrams(words: list[str], longest: int = LONGEST) -> set[str]:
     return {" ".join(words[i : i + n]) for n in range(1, longest + 1) for i in range(len(words) - n + 1)}
 
 
+def _anchors() -> str:
+    """A regular expression that finds every paragraph with a word pair of some template, as ``words_of`` tells words."""
+    seconds: dict[str, set[str]] = {}
+    for template in (t for all_t in TEMPLATES.values() for t in all_t):
+        words = words_of(template)
+        for first, second in zip(words, words[1:], strict=False):
+            seconds.setdefault(first, set()).add(second)
+    told = [f"{re.escape(a)}[^a-z0-9]+(?:{'|'.join(map(re.escape, sorted(b)))})" for a, b in sorted(seconds.items())]
+    return rf"(?i)(?<![a-z0-9.])(?:{'|'.join(told)})(?![a-z0-9])"
+
+
+#: A paragraph without any word pair of a template agrees with none.
+ANCHORS = _anchors()
+
+
 @functools.lru_cache(maxsize=1)
 def train(seed: int = 1, epochs: int = 60, rate: float = 0.5, decay: float = 1e-4) -> tuple[dict, dict, float]:
     """Weights by (n-gram, class), constants by class, and the least chance of a family.
@@ -176,6 +189,28 @@ def _ngrams(words: Column, sizes: range) -> Column:
     return F.array_distinct(F.concat(*grams))
 
 
+def _could_agree(text: Column, least: float) -> Column:
+    """Whether the words agree with some template, of whatever family, as ``scan_licences`` asks of the likeliest one's."""
+    own = _ngrams(_words(text), range(2, 3))
+    templates = []
+    for template in (t for all_t in TEMPLATES.values() for t in all_t):
+        words = words_of(template)
+        templates.append(sorted({" ".join(words[i : i + 2]) for i in range(len(words) - 1)}))
+    every = F.array(*[F.lit(p) for p in sorted({p for pairs in templates for p in pairs})])
+    told = F.array(*[F.array(*[F.lit(p) for p in pairs]) for pairs in templates])
+    # one struct, so that the paragraph's pairs are taken once
+    found = F.struct(F.array_intersect(own, every).alias("shared"), F.size(own).alias("n"))
+
+    def agrees(state: Column) -> Column:
+        return F.exists(
+            told,
+            lambda pairs: F.size(F.array_intersect(state["shared"], pairs))
+            >= F.lit(least) * F.least(F.size(pairs), F.greatest(state["n"], F.lit(3))),
+        )
+
+    return F.exists(F.array(found), lambda state: (F.size(state["shared"]) > 0) & agrees(state))
+
+
 def scan_licences(
     docs: DataFrame, least_agreement: float = 0.75, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -183,8 +218,8 @@ def scan_licences(
 
     Paragraphs are the lines of the whole text, numbered from 0. A notice is a paragraph whose likeliest class is a
     licence family with at least the calibrated chance, and whose words contain ``least_agreement`` of the word pairs of one
-    of the family's templates, or are contained in it that far. Paragraphs without any anchor word are
-    skipped, for no template could agree with them. Equal paragraphs are judged once.
+    of the family's templates, or are contained in it that far. Paragraphs that agree with no family's
+    template that far are left out before they are judged. Equal paragraphs are judged once.
 
     Null and empty texts have no notices. Repeated rows give their notices each; null ids stay; other columns play no part;
     an empty table gives no rows. Ties between classes go to the first by name.
@@ -193,8 +228,9 @@ def scan_licences(
     table, constants, limit = train()
     lines = (
         docs.select(F.col(id_column), F.posexplode(F.split(text_column, "\n")).alias("paragraph", "text"))
-        .where(F.col("text").rlike(ANCHORS))
+        .where(F.lower("text").rlike(ANCHORS))
         .withColumn("text", F.trim("text"))
+        .where(_could_agree(F.col("text"), least_agreement))
     )
     lines = materialize(lines, "lines")
     distinct = lines.select("text").distinct().withColumn("words", _words(F.col("text")))
