@@ -25,7 +25,7 @@ FURNITURE = frozenset(
     "head script style noscript template nav footer aside form button select option textarea input iframe svg "
     "canvas object embed audio video dialog menu".split()
 )
-#: Words in class, id or role that say the same.
+#: Whole names in class, id or role that say the same, of elements that don't hold the main content.
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent notice popup modal newsletter subscribe "
@@ -51,15 +51,15 @@ _ENDS_P = BLOCKS - {"html", "body", "caption", "legend", "td", "th", "tr", "tbod
 _SCOPES = frozenset("table td th ul ol dl div article section main aside nav form body blockquote".split())
 _CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 _CUT_ENTITY = re.compile(r"&#?[0-9a-zA-Z]*\Z")
-_WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "words", "children", "key")
+    __slots__ = ("tag", "words", "children", "key", "kept")
 
     def __init__(self, tag: str, words: frozenset[str] = frozenset()):
         self.tag, self.words, self.children, self.key = tag, words, [], 0
+        self.kept = False
 
 
 class _Builder(HTMLParser):
@@ -85,7 +85,7 @@ class _Builder(HTMLParser):
         if tag in ENDS:
             self._close(ENDS[tag], {"table", "ul", "ol", "dl", "select"} - ENDS[tag])
         named = " ".join(v.lower() for k, v in attrs if k in ("class", "id", "role") and v)
-        node = Node(tag, frozenset(_WORDS.findall(named)) if named else frozenset())
+        node = Node(tag, frozenset(named.split()) if named else frozenset())
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -110,11 +110,30 @@ def parse(html: str) -> Node:
     builder = _Builder()
     builder.feed(_CUT_TAG.sub("", html))
     builder.close()
+    _keep_main(builder.root)
     return builder.root
 
 
+def _keep_main(root: Node) -> None:
+    """Mark what holds an article or main element or, on pages without any, more than half of the text."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(c for c in node.children if isinstance(c, Node))
+    sizes: dict[int, int] = {}
+    for node in reversed(order):
+        inner = [c for c in node.children if isinstance(c, Node)]
+        node.kept = node.tag in MAIN or any(c.kept for c in inner)
+        own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        sizes[id(node)] = 0 if node.tag in FURNITURE else own + sum(sizes[id(c)] for c in inner)
+    if not root.kept:
+        for node in order:
+            node.kept = 2 * sizes[id(node)] > sizes[id(root)]
+
+
 def is_furniture(node: Node) -> bool:
-    return node.tag in FURNITURE or (node.tag not in MAIN and node.tag not in ("html", "body") and bool(node.words & FURNITURE_WORDS))
+    return node.tag in FURNITURE or (not node.kept and node.tag not in ("html", "body") and bool(node.words & FURNITURE_WORDS))
 
 
 def hash_subtrees(root: Node) -> None:
