@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from framewright.llm.bit_sliced import top_k_products
 from framewright.llm.common import fold, table
 from framewright.llm.cross_polytope import nearest_neighbours
+from framewright.llm.filter_audit import audit_filters
 from framewright.llm.language import identify_languages, train_languages
 from framewright.llm.licence_scan import scan_licences
 from framewright.llm.mixing import mix_sources
@@ -157,3 +158,47 @@ def op3_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices in every document."""
     return scan_licences(table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d
+), m AS (
+  SELECT part, doc_id, (CASE WHEN len(words) < 200 THEN 'A' ELSE '' END)
+    || (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+    || (CASE WHEN doc_id > first_id THEN 'E' ELSE '' END) AS fails FROM w
+), l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), c AS (
+  SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM m LEFT JOIN l USING (doc_id) GROUP BY part, fails
+), f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a JOIN f b ON b.x <> a.x JOIN f c ON c.x NOT IN (a.x, b.x)
+  JOIN f d ON d.x NOT IN (a.x, b.x, c.x) JOIN f e ON e.x NOT IN (a.x, b.x, c.x, d.x)
+), s AS (
+  SELECT filter_order, step::INT AS step, substr(filter_order, step, 1) AS x, substr(filter_order, 1, step - 1) AS before
+  FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), r AS (
+  SELECT part, filter_order, step, x,
+    sum(CASE WHEN translate(fails, before || x, '') = fails THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN translate(fails, before, '') = fails AND contains(fails, x) THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN translate(fails, before, '') <> fails AND contains(fails, x) THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN fails = x THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN translate(fails, before, '') = fails AND contains(fails, x) THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN translate(fails, before, '') = fails AND contains(fails, x) THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, x
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, x)::BIGINT AS shapley
+FROM r
+"""
+)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in every order, per source."""
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -22,6 +22,7 @@ COLUMNS = {
     "op8_licences": {"doc_id", "paragraph", "family", "text"},
     "op9_bit_sliced": {"query_id", "rank", "vec_id", "score"},
     "op10_cross_polytope": {"query_id", "rank", "vec_id", "score"},
+    "op13_filter_audit": {"part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"},
 }
 
 
