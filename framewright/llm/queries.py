@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm.bit_sliced import top_k_products
+from framewright.llm.collocations import mine_collocations
 from framewright.llm.common import fold, table
 from framewright.llm.cross_polytope import nearest_neighbours
 from framewright.llm.filter_audit import audit_filters
@@ -18,6 +19,7 @@ from framewright.llm.near_dedup import near_duplicate_classes
 from framewright.llm.packing import pack_documents
 from framewright.llm.quality import score_quality, train_quality
 from framewright.llm.site_templates import extract_main_text
+from framewright.llm.suffix_dedup import remove_repeats
 from framewright.llm.url_model import Rule, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,3 +204,46 @@ FROM r
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove in every order, per source."""
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS body
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(body, '[^\x20\x09]+') AS ws FROM p
+), n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang
+), g AS (
+  SELECT lang, ws[i:i + m - 1] AS x FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i
+                                         FROM w, (SELECT unnest([1, 2, 3]) AS m))
+), f AS (SELECT lang, x, len(x) AS m, count(*)::BIGINT AS f FROM g GROUP BY lang, x HAVING count(*) >= 10
+), c AS (SELECT lang, x, m, f AS a, unnest(range(1, m)) AS k FROM f WHERE m > 1
+), s AS (
+  SELECT c.lang, c.x, c.a, k, l.f AS l, r.f AS r,
+         (1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM c JOIN f l ON l.lang = c.lang AND l.x = c.x[1:k] JOIN f r ON r.lang = c.lang AND r.x = c.x[k + 1:c.m]
+), b AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, x ORDER BY score, k) = 1
+), h AS (
+  SELECT lang, x, max(f) AS held FROM (
+    SELECT lang, x[1:2] AS x, f FROM f WHERE m = 3 UNION ALL SELECT lang, x[2:3], f FROM f WHERE m = 3) GROUP BY lang, x
+), t AS (
+  SELECT b.lang, array_to_string(b.x, ' ') AS phrase, a, l, r, score
+  FROM b LEFT JOIN h ON h.lang = b.lang AND h.x = b.x WHERE coalesce(100 * held < 50 * a, true)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank,
+       phrase, a, l, r, n, score
+FROM t JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two and three words of every language."""
+    return mine_collocations(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the strings of 400 bytes that occur elsewhere as well."""
+    return remove_repeats(table(spark, sf_dir, "documents"))

@@ -22,6 +22,8 @@ COLUMNS = {
     "op8_licences": {"doc_id", "paragraph", "family", "text"},
     "op9_bit_sliced": {"query_id", "rank", "vec_id", "score"},
     "op10_cross_polytope": {"query_id", "rank", "vec_id", "score"},
+    "op11_collocations": {"lang", "rank", "phrase", "a", "l", "r", "n", "score"},
+    "op12_suffix_dedup": {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"},
     "op13_filter_audit": {"part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"},
 }
 
