@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.catalog import check
-from checks.standins import PHASH, RECORDS, SIGNALS, greedy, images, records, table
+from checks.standins import FORMATS, PHASH, RECORDS, SIGNALS, greedy, heads, images, records, table
 from framewright.functions import pixels
 from framewright.operators import aggregates, gates, joins, ordering, sets
-from framewright.operators.dedup import mark_duplicates, near_dedup, near_pairs
+from framewright.operators.dedup import first_near, mark_duplicates, near_dedup, near_pairs
+from framewright.operators.gates import Gate
 from framewright.plans.curate import curate
 from framewright.plans.maintain import merge_records, refilter
 from framewright.plans.search import search_all
@@ -374,6 +375,24 @@ def hash_pairs(spark, sf_dir):
     return near_pairs(hashed(spark, sf_dir))
 
 
+@check(
+    f"""
+WITH RECURSIVE {PHASH}, {greedy('hashes')}, kept_hashes AS (
+  SELECT ordinal AS first, bits AS kept_bits FROM hashes JOIN kept USING (ordinal))
+SELECT ordinal, min(first) AS first FROM hashes JOIN kept_hashes ON bit_count(xor(bits, kept_bits)::HUGEINT) <= 10
+WHERE ordinal NOT IN (SELECT ordinal FROM kept) GROUP BY ordinal"""
+)
+def first_neighbours(spark, sf_dir):
+    """The earliest kept record that each dropped one is near to: a row per dropped record, no pairs."""
+    return first_near(hashed(spark, sf_dir))
+
+
+@check(f"WITH RECURSIVE {PHASH}, {greedy('hashes', 28)} SELECT ordinal FROM kept")
+def near_duplicates_wide(spark, sf_dir):
+    """A threshold at which most hashes are near each other."""
+    return near_dedup(hashed(spark, sf_dir), 28).select("ordinal")
+
+
 @check(f"WITH RECURSIVE {PHASH}, {greedy('hashes')} SELECT ordinal FROM kept")
 def near_duplicates_removed(spark, sf_dir):
     return near_dedup(hashed(spark, sf_dir)).select("ordinal")
@@ -588,7 +607,7 @@ def parquet_export(spark, sf_dir):
 @check(
     f"""
 WITH RECURSIVE {SIGNALS}, {RECORDS}, joined AS (
-  SELECT r.id, r.ordinal, r.source, d.n_chars, r.description, h.bits, s.blur_score,
+  SELECT r.id, r.ordinal, r.source, {FORMATS.replace('doc_id', 'd.doc_id')} AS format, d.n_chars, r.description, d.lang, h.bits, s.blur_score,
     l.quality, l.toxic, l.doc_id IS NOT NULL AS known
   FROM rec r JOIN documents d ON d.doc_id = r.ordinal JOIN hashes h USING (ordinal) JOIN sharp s USING (ordinal)
   LEFT JOIN labels l ON l.doc_id = r.ordinal),
@@ -597,26 +616,30 @@ staged AS (
       WHEN known AND n_chars >= 100 THEN 'skipped_existing'
       WHEN n_chars < 100 THEN 'failed_download'
       WHEN n_chars < 1000 THEN 'failed_quality'
-      WHEN blur_score < 3000.0 THEN 'failed_quality' ELSE 'accepted' END AS outcome,
+      WHEN blur_score < 3000.0 THEN 'failed_quality'
+      WHEN lang = 'es' AND ordinal % 3 = 0 THEN 'failed_language' ELSE 'accepted' END AS outcome,
     CASE
       WHEN known AND n_chars >= 100 THEN ''
       WHEN n_chars < 100 THEN 'download error'
       WHEN n_chars < 1000 THEN 'quality: file too small (' || n_chars || ' < 1000)'
-      WHEN blur_score < 3000.0 THEN 'quality: too blurry' ELSE '' END AS reason
+      WHEN blur_score < 3000.0 THEN 'quality: too blurry'
+      WHEN lang = 'es' AND ordinal % 3 = 0 THEN 'language: third of es' ELSE '' END AS reason
   FROM joined),
 seeds AS (SELECT DISTINCT bits FROM joined WHERE known AND n_chars >= 100),
 survivors AS (SELECT ordinal, bits FROM staged WHERE outcome = 'accepted'),
 {greedy('survivors', seeds='seeds')}
 SELECT s.id, CASE WHEN s.outcome = 'accepted' AND k.ordinal IS NULL THEN 'failed_dedup' ELSE s.outcome END AS outcome,
-  CASE WHEN s.outcome = 'accepted' AND k.ordinal IS NULL THEN 'near-duplicate' ELSE s.reason END AS reason
+  CASE WHEN s.outcome = 'accepted' AND k.ordinal IS NULL THEN 'near-duplicate' ELSE s.reason END AS reason,
+  CASE WHEN s.outcome IN ('skipped_existing', 'failed_download') THEN 'png' ELSE s.format END AS format
 FROM staged s LEFT JOIN kept k ON k.ordinal = s.ordinal"""
 )
 def curation_run(spark, sf_dir):
-    """All documents as candidates; labelled ones are in the manifest already."""
+    """All documents as candidates; labelled ones are in the manifest already. A gate of its own stands before the
+    removal of duplicates, and the format is that of the content."""
     everything = records(spark, sf_dir).withColumn(
         "local_path", F.concat(F.lit("raster/"), F.col("source_id"), F.lit(".png"))
     )
-    landed = images(spark, sf_dir).where("length >= 100").drop("ordinal")
+    landed = heads(spark, sf_dir).where("length >= 100").drop("ordinal")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ordinal"))
     manifest = everything.drop("phash").join(hashed(spark, sf_dir), "ordinal").join(labels, "ordinal", "left_semi")
     manifest = materialize(manifest.select(*everything.columns), "manifest")
@@ -626,6 +649,14 @@ def curation_run(spark, sf_dir):
         landed,
         sources=["src0"],
         quality={"min_width": 32, "min_height": 32, "min_file_size": 1000, "min_sharpness": 3000.0},
+        gates=[
+            Gate("language", (("all", F.lit(True), F.lit("replaced by the next of its kind")),)),
+            Gate(
+                "language",
+                (("third", (F.col("query") == "es") & (F.col("ordinal") % 3 == 0), F.lit("third of es")),),
+                outcome="failed_language",
+            ),
+        ],
     )
     text = F.col("reason")
     return outcomes.select(
@@ -635,6 +666,7 @@ def curation_run(spark, sf_dir):
         .when(F.startswith(text, F.lit("near-duplicate")), "near-duplicate")
         .otherwise(text)
         .alias("reason"),
+        "format",
     )
 
 

@@ -15,6 +15,7 @@ from checks.catalog import check
 from checks.standins import BLUR, PHASH, RECORDS, SIGNALS, images, records, table
 from framewright.functions import text as tx
 from framewright.functions.licenses import license_from_url, resolve_license
+from framewright.operators import ordering
 from framewright.session import scratch_path
 from framewright.sources import index, providers
 from framewright.sources.images import image_signals, list_files, read_image_files
@@ -612,7 +613,7 @@ def manifest_count(spark, sf_dir):
 
 @F.pandas_udf(T.StringType())
 def _write_png(paths: pd.Series, pixels: pd.Series) -> pd.Series:
-    from framewright.sinks.files import _file_system
+    from framewright.sinks.files import file_system
 
     for path, data in zip(paths, pixels):
         rows = b"".join(b"\0" + data[i : i + 32] for i in range(0, 1024, 32))
@@ -627,7 +628,7 @@ def _write_png(paths: pd.Series, pixels: pd.Series) -> pd.Series:
             b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(rows))
             + chunk(b"IEND", b"")
         )
-        system, name = _file_system(path)
+        system, name = file_system(path)
         with system.open_output_stream(name) as out:
             out.write(png)
     return paths
@@ -710,9 +711,151 @@ def copied_images(spark, sf_dir):
     )
 
 
+@F.pandas_udf(T.StringType())
+def _write_kind(paths: pd.Series, pixels: pd.Series, kinds: pd.Series) -> pd.Series:
+    """Files of several contents under whatever name: PNG, BMP, the start of a WebP, text, nothing."""
+    from framewright.sinks.files import file_system
+
+    for path, data, kind in zip(paths, pixels, kinds):
+        if kind == 0:
+            _write_png.func(pd.Series([path]), pd.Series([data]))
+            continue
+        colors = b"".join(bytes((b, b, b)) for i in range(992, -1, -32) for b in data[i : i + 32])
+        bmp = struct.pack("<2sIHHI", b"BM", 54 + len(colors), 0, 0, 54)
+        bmp += struct.pack("<IiiHHIIiiII", 40, 32, 32, 1, 24, 0, len(colors), 0, 0, 0, 0) + colors
+        body = {1: bmp, 2: b"RIFF\x10\0\0\0WEBPVP8 ", 3: b"no image at all", 4: b""}[kind]
+        system, name = file_system(path)
+        with system.open_output_stream(name) as out:
+            out.write(body)
+    return paths
+
+
+def mixed_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """One file named .jpg per document, its content by doc_id."""
+    from framewright.sinks.files import make_dirs
+
+    make_dirs(spark, folder)
+    path = F.concat(F.lit(folder + "/"), F.col("ordinal").cast("string"), F.lit(".jpg"))
+    kind = (F.col("ordinal") % 5).cast("int")
+    written = images(spark, sf_dir).select(_write_kind(path, "data", kind).alias("path"))
+    written.write.parquet(scratch_path(spark, "written"))
+
+
+def _number(path: str = "path"):
+    return F.regexp_extract(path, r"(\d+)\.[a-z]+$", 1).cast("bigint")
+
+
+@check(
+    """
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'PNG' WHEN 1 THEN 'BMP' WHEN 2 THEN 'WEBP' END AS format,
+  CASE WHEN doc_id % 5 < 2 THEN 32 END AS width, doc_id % 5 = 4 AS empty
+FROM documents"""
+)
+def image_formats(spark, sf_dir):
+    """The format is that of the content: all files are named .jpg, some are no images, some empty."""
+    folder = scratch_path(spark, "mixed")
+    mixed_files(spark, sf_dir, folder)
+    signals = image_signals(read_image_files(spark, folder, "*.jpg"))
+    return signals.select(_number().alias("doc_id"), "format", "width", (F.col("file_size_bytes") == 0).alias("empty"))
+
+
+@check("SELECT doc_id FROM documents WHERE doc_id % 5 = 4")
+def empty_files(spark, sf_dir):
+    """Empty files, in nested folders, are listed."""
+    from framewright.sinks.files import touch_files
+
+    folder = scratch_path(spark, "empty")
+    rows = table(spark, sf_dir, "documents").where("doc_id % 5 = 4")
+    touch_files(
+        rows.select(F.concat(F.lit(f"{folder}/"), "lang", F.lit("/"), "source", F.lit("/"), "doc_id", F.lit(".png")).alias("path"))
+    )
+    return list_files(spark, folder, "*.{jpg,png}").where("length = 0").select(_number().alias("doc_id"))
+
+
+# Broken pages: by doc_id, a sound page of one hit; one cut off behind a whole hit; one cut off within
+# its only hit; a value of another type; an error in place of hits.
+
+
+def _broken_pages(spark, sf_dir) -> DataFrame:
+    page = F.col("page")
+    hit = F.regexp_extract(page, r"(?s)^\{\"results\":\[(.*)\]\}$", 1)
+    number = F.regexp_extract(page, r'"id":"(\d+)"', 1)
+    kind = number.cast("bigint") % 5
+    return _unsplash_pages(spark, sf_dir).select(
+        number.cast("bigint").alias("ordinal"),
+        F.when(kind == 1, F.concat(F.lit('{"total":2,"results":['), hit, F.lit(","), F.substring(hit, 1, 40)))
+        .when(kind == 2, F.concat(F.lit('{"results":['), F.substring(hit, 1, 40)))
+        .when(kind == 3, F.regexp_replace(page, r'"height":\d+', '"height":"tall"'))
+        .when(kind == 4, F.concat(F.lit('{"errors":["limit"],"id":"'), number, F.lit('"}')))
+        .otherwise(page)
+        .alias("value"),
+    )
+
+
+@check(
+    f"""
+SELECT * REPLACE (CASE WHEN source_id::BIGINT % 5 = 3 THEN 0 ELSE height END AS height)
+FROM ({UNSPLASH.replace("description, query", "description, 'all' AS query")}) WHERE source_id::BIGINT % 5 IN (0, 1, 3)"""
+)
+def pages_broken(spark, sf_dir):
+    """Whole hits of broken pages are kept."""
+    path = scratch_path(spark, "pages")
+    _broken_pages(spark, sf_dir).select("value").write.text(path)
+    return _flat(providers.read_records(providers.read_api_pages(spark, path, "unsplash"), "unsplash", "all"))
+
+
+@check(
+    """
+SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN 'wrong_type' WHEN 4 THEN 'no_hits' ELSE 'not_json' END AS reason,
+  CASE WHEN doc_id % 5 = 1 THEN 1 ELSE 0 END::INT AS rescued_hits
+FROM documents WHERE doc_id % 5 > 0"""
+)
+def pages_rejected(spark, sf_dir):
+    """Every page that is not sound is listed with its reason."""
+    path = scratch_path(spark, "pages")
+    _broken_pages(spark, sf_dir).select("value").write.text(path)
+    number = F.regexp_extract("page", r'"id":"(\d+)"', 1).cast("bigint")
+    return providers.read_rejected_pages(spark, path, "unsplash").select(
+        number.alias("doc_id"), "reason", "rescued_hits"
+    )
+
+
 # Streaming
 
 
+@check(
+    """
+WITH d AS (SELECT doc_id, lang IN ('de', 'en') AS early FROM documents),
+p AS (SELECT doc_id, early AND doc_id % 7 > 0 AS kept FROM d)
+SELECT doc_id, kept, row_number() OVER (ORDER BY kept DESC, doc_id) - 1 AS place FROM p"""
+)
+def incremental_ingest_order(spark, sf_dir):
+    """Records enter in landing order; those whose file is gone are picked up again."""
+    landing, state = scratch_path(spark, "landing"), scratch_path(spark, "state")
+    manifest = Manifest(spark, scratch_path(spark, "manifest"))
+    pages = _broken_pages(spark, sf_dir).select("ordinal").join(
+        _unsplash_pages(spark, sf_dir).select(
+            F.regexp_extract("page", r'"id":"(\d+)"', 1).cast("bigint").alias("ordinal"), F.col("page").alias("value"), "query"
+        ),
+        "ordinal",
+    )
+    files = table(spark, sf_dir, "documents").where("doc_id % 7 > 0").select(
+        F.concat(F.lit("img/"), "doc_id", F.lit(".jpg")).alias("path")
+    )
+    for batch in (pages.where(F.col("query").isin("en", "de")), pages):
+        batch.orderBy("ordinal").select("value").write.mode("append").text(landing)
+        run = incremental_ingest(spark, landing, manifest, "unsplash", state, "q", files=lambda: files)
+        run.awaitTermination()
+        if batch is not pages:
+            path = F.concat(F.lit("img/"), "source_id", F.lit(".jpg"))
+            manifest.write(manifest.read().withColumn("local_path", path))
+    number = F.col("source_id").cast("bigint")
+    rows = manifest.read().select(
+        number.alias("doc_id"), F.col("local_path").isNotNull().alias("kept"), F.col("ordinal").alias("order")
+    )
+    return ordering.with_ordinal(rows, "order", name="place").select("doc_id", "kept", "place")
+
+
 @check(f"SELECT source, source_id, description, 'q' AS query FROM ({UNSPLASH})")
 def incremental_ingest_pages(spark, sf_dir):
     """Pages land twice, the second time with the first again; each record is kept once."""

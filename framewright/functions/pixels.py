@@ -129,3 +129,44 @@ def phash(
 ) -> pd.Series:
     """Perceptual hash as 16 hex digits; null where there are no pixels."""
     return _each(perceptual_hash, HASH_WEIGHTS, height, width, channels, data)
+
+
+def measure(
+    min_sharpness: float | None = None, with_score: bool = True, with_detail: bool = False, with_hash: bool = True
+):
+    """All signals of an image in one pass over its pixels, as a struct.
+
+    The function takes height, width, nChannels, data and what is known already of
+    blur_score and phash. It stops early: a picture below ``min_sharpness`` is not hashed,
+    and a signal that is known or not asked for is not computed. Null pixels give the
+    known signals back.
+    """
+
+    @F.pandas_udf("blur_score double, gray_variance double, phash string")
+    def run(
+        height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series, score: pd.Series, known: pd.Series
+    ) -> pd.DataFrame:
+        scores, details, hashes = [], [], []
+        for high, wide, depth, raw, sharp, digits in zip(height, width, channels, data, score, known):
+            sharp, detail = (None if sharp is None or sharp != sharp else sharp), None
+            shaped = raw is not None and not any(v is None or v != v for v in (high, wide, depth))
+            shape = (int(high), int(wide), int(depth), raw) if shaped else (0, 0, 0, None)
+            if with_score and sharp is None and (pixels := gray(*shape, BLUR_WEIGHTS)) is not None:
+                sharp = laplacian_variance(pixels)
+            blurred = min_sharpness is not None and sharp is not None and sharp < min_sharpness
+            hashing = with_hash and digits is None and not blurred
+            if (hashing or with_detail) and (pixels := gray(*shape, HASH_WEIGHTS)) is not None:
+                detail = float(pixels.var()) if with_detail else None
+                digits = perceptual_hash(pixels) if hashing else digits
+            scores.append(sharp)
+            details.append(detail)
+            hashes.append(digits)
+        return pd.DataFrame(
+            {
+                "blur_score": pd.Series(scores, dtype="float64"),
+                "gray_variance": pd.Series(details, dtype="float64"),
+                "phash": pd.Series(hashes, dtype=object),
+            }
+        )
+
+    return run

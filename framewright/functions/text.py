@@ -77,6 +77,11 @@ def normalize_path(path: Column) -> Column:
     return F.regexp_replace(path, r"^file:/+", "/")
 
 
+def decoded_path(uri: Column) -> Column:
+    """Path of a file from its URI, as file metadata give it: ``%20`` is a blank, ``+`` a plus."""
+    return normalize_path(F.try_url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))))
+
+
 def spread_missing(key: Column, *identity: Column) -> Column:
     """A join key whose null or empty values are spread over the partitions.
 

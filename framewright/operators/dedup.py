@@ -18,6 +18,11 @@ How it runs, for any data skew:
    on. The group is gone after its first few members are kept, and its pairs
    are never produced.
 
+Beyond MAX_THRESHOLD no index helps, and none is needed: kept hashes are further apart than
+the threshold, and 64 bits have room for a bounded number of such words, whatever the number
+of rows. So blocks of the order are decided one after another, and what is near their kept
+hashes leaves the rest by a scan, which few blocks survive.
+
 Hash tables are narrow (16 bytes a row) and written between steps, but each row
 meets 94 masks or more. So they are spread over tasks by the number of keys,
 not by bytes, and joins are never left to a size estimate that does not know
@@ -56,6 +61,9 @@ MIN_COMPARISONS = 4_000_000
 COMPARISONS_PER_ROW = 128
 UNRELATED_FACTOR = 4.0
 
+# Rows of the order that are decided at once where no cover serves the threshold.
+WIDE_ROWS = 4096
+
 _KEYS_PER_TASK = 2_000_000
 _BROADCAST_KEYS = 500_000  # about 20 MB as a hash relation
 _STATISTICS_KEYS_PER_CORE = 2_500_000
@@ -92,7 +100,7 @@ def _check(threshold: int) -> None:
     if not 0 <= threshold <= MAX_THRESHOLD:
         raise ValueError(
             f"threshold must lie in 0..{MAX_THRESHOLD}: beyond that unrelated 64-bit hashes"
-            " are near each other and no index helps"
+            " are near each other, and their pairs are nearly all pairs"
         )
 
 
@@ -193,14 +201,18 @@ def near_pairs(
     return _Plan(_hashes(df, hash_col, order), threshold, bucket_rows).pairs()
 
 
-def _near(hashes: Hashes, kept: Hashes, masks, threshold: int, crowded: DataFrame | None = None):
-    """Ordinals of the hashes that share a bucket with a kept one within the
-    threshold. A semi-join stops at the first match of a row."""
+def _near(
+    hashes: Hashes, kept: Hashes, masks, threshold: int, crowded: DataFrame | None = None, first: bool = False
+):
+    """Ordinals of the hashes that share a bucket with a kept one within the threshold. A
+    semi-join stops at the first match of a row; with ``first`` all matches are met, and
+    the least ordinal of the kept ones is taken before and after the shuffle."""
     ours = hashes.keys(masks)
     if crowded is not None:
         ours = ours.join(crowded, ["mask", "value"], "left_anti")
     theirs = kept.keys(masks).select(
-        F.col("mask").alias("m"), F.col("value").alias("v"), F.col("bits").alias("y")
+        F.col("mask").alias("m"), F.col("value").alias("v"), F.col("bits").alias("y"),
+        *([F.col(ORDINAL).alias("first")] if first else []),
     )
     small = kept.rows * len(masks) <= _BROADCAST_KEYS
     return ours.join(
@@ -208,17 +220,15 @@ def _near(hashes: Hashes, kept: Hashes, masks, threshold: int, crowded: DataFram
         (F.col("mask") == F.col("m"))
         & (F.col("value") == F.col("v"))
         & (hamming(F.col("bits"), F.col("y")) <= threshold),
-        "left_semi",
-    ).select(ORDINAL)
+        "inner" if first else "left_semi",
+    ).select(ORDINAL, *(["first"] if first else []))
 
 
-def _not_near(hashes: Hashes, kept: Hashes, threshold: int, bucket_rows: int) -> Hashes:
-    """Hashes that lie within the threshold of no kept one.
+def _all_near(hashes: Hashes, kept: Hashes, threshold: int, bucket_rows: int, first: bool = False) -> DataFrame:
+    """Ordinals of the hashes near a kept one, repeated ones included.
 
     Buckets that are crowded on both sides use the deep cover.
     """
-    if hashes.rows == 0 or kept.rows == 0:
-        return hashes
     light, deep = light_cover(threshold), deep_cover(threshold)
     crowded = None
     if len(deep) > len(light) and kept.rows > bucket_rows:
@@ -230,14 +240,103 @@ def _not_near(hashes: Hashes, kept: Hashes, threshold: int, bucket_rows: int) ->
         )
         if crowded.isEmpty():
             crowded = None
-    found = _near(hashes, kept, light, threshold, crowded)
+    found = _near(hashes, kept, light, threshold, crowded, first)
     if crowded is not None:
-        found = found.unionByName(
-            _near(_crowd(hashes, light, crowded), _crowd(kept, light, crowded), deep, threshold)
-        )
+        sides = _crowd(hashes, light, crowded), _crowd(kept, light, crowded)
+        found = found.unionByName(_near(*sides, deep, threshold, first=first))
+    return found
+
+
+def _not_near(hashes: Hashes, kept: Hashes, threshold: int, bucket_rows: int) -> Hashes:
+    """Hashes that lie within the threshold of no kept one."""
+    if hashes.rows == 0 or kept.rows == 0:
+        return hashes
+    if threshold > MAX_THRESHOLD:
+        return _not_near_wide(hashes, kept, threshold)
+    found = _all_near(hashes, kept, threshold, bucket_rows)
     return Hashes.write(hashes.table.join(found.distinct(), ORDINAL, "left_anti"), "hashes")
 
 
+def _split_block(hashes: Hashes, column: str) -> tuple[DataFrame, Hashes]:
+    """The first rows by a unique column, as many as are decided at once, and the others."""
+    size = min(hashes.rows, WIDE_ROWS)
+    cut = order_statistics(hashes.table, column, [size - 1])[0]
+    block, rest = hashes.table.where(F.col(column) <= cut), hashes.table.where(F.col(column) > cut)
+    return block, Hashes(rest, hashes.rows - size)
+
+
+def _words(block: DataFrame, *columns: str) -> list[np.ndarray]:
+    """Columns of a block, whose rows are bounded, on the driver."""
+    rows = block.select(*columns).toPandas()
+    return [rows[c].to_numpy(np.int64) for c in columns]
+
+
+def _distances(words: np.ndarray, word: int) -> np.ndarray:
+    return np.bitwise_count((words ^ word).view(np.uint64))
+
+
+def _far_from(words: np.ndarray, threshold: int):
+    """Batches without the rows within the threshold of one of the words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for word in words:
+                if batch.empty:
+                    break
+                batch = batch[_distances(batch["bits"].to_numpy(), word) > threshold]
+            yield batch
+
+    return run
+
+
+def _not_near_wide(hashes: Hashes, kept: Hashes, threshold: int) -> Hashes:
+    """As ``_not_near``, by scans: of the hashes for a block of kept ones, or, once so few are
+    left that they are a block, of the kept ones."""
+    while hashes.rows and kept.rows:
+        if hashes.rows <= WIDE_ROWS:
+            (left,) = _words(hashes.table, "bits")
+
+            def reached(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                open_ = left
+                for batch in batches:
+                    words = batch["bits"].to_numpy()
+                    near = np.array([(_distances(words, w) <= threshold).any() for w in open_], bool)
+                    yield pd.DataFrame({"bits": open_[near]})
+                    open_ = open_[~near]
+
+            near = kept.table.select("bits").mapInPandas(reached, "bits bigint").distinct()
+            return Hashes.write(hashes.table.join(near, "bits", "left_anti"), "hashes")
+        block, kept = _split_block(kept, "bits")
+        (words,) = _words(block, "bits")
+        hashes = Hashes.write(hashes.table.mapInPandas(_far_from(words, threshold), hashes.table.schema), "hashes")
+    return hashes
+
+
+def _wide_survivors(hashes: Hashes, threshold: int) -> DataFrame:
+    """Kept (bits, ordinal) of the greedy rule for thresholds without a cover."""
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(ORDINAL)
+        words, kept = rows["bits"].to_numpy(), []
+        open_ = np.ones(len(words), bool)
+        for i in range(len(words)):
+            if open_[i]:
+                kept.append(i)
+                open_ &= _distances(words, words[i]) > threshold
+        yield rows.iloc[kept]
+
+    kept, schema = [], hashes.table.schema
+    while hashes.rows:
+        block, rest = _split_block(hashes, ORDINAL)
+        done = Hashes.write(block.repartition(1).mapInPandas(decide, schema), "kept")
+        kept.append(done.table)
+        if not rest.rows:
+            break
+        (words,) = _words(done.table, "bits")
+        hashes = Hashes.write(rest.table.mapInPandas(_far_from(words, threshold), schema), "hashes")
+    return reduce(DataFrame.unionByName, kept or [hashes.table])
+
+
 def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Decide the nodes of one range of the order, in order.
 
@@ -308,6 +407,8 @@ def _first_survivors(
     hashes: Hashes, threshold: int, bucket_rows: int, min_comparisons: int, per_row: int
 ) -> DataFrame:
     """Kept ordinals of the greedy rule."""
+    if threshold > MAX_THRESHOLD:
+        return _wide_survivors(hashes, threshold).select(ORDINAL)
     kept = []
     while hashes.rows > 0:
         head, tail = hashes, None
@@ -347,9 +448,12 @@ def duplicate_ordinals(
     """Ordinals (one column) of the records that the greedy rule drops.
 
     ``seeds`` holds hashes that are kept beforehand, whatever their distance to
-    each other. Null and malformed hashes pass and are not remembered.
+    each other. Null and malformed hashes pass and are not remembered. Any threshold serves: below 0 nothing is
+    near, from 64 on everything is.
     """
-    _check(threshold)
+    if threshold < 0:
+        return df.select(order).limit(0)
+    threshold = min(threshold, 64)
     hashes = _hashes(df, hash_col, order)
     if seeds is not None:
         known = seeds.where(is_hash(F.col(hash_col))).select(
@@ -361,6 +465,61 @@ def duplicate_ordinals(
     return hashed.join(kept, ORDINAL, "left_anti").select(F.col(ORDINAL).alias(order))
 
 
+def first_near(
+    df: DataFrame,
+    threshold: int = 10,
+    hash_col: str = "phash",
+    order: str = ORDINAL,
+    bucket_rows: int = BUCKET_ROWS,
+    **options,
+) -> DataFrame:
+    """(order, first): for each record that the greedy rule drops, the earliest kept one within the threshold.
+
+    One row per dropped record, so the answer is as long as the table at most, where a list of pairs is
+    quadratic in a group of near-copies. The least ordinal is aggregated per hash; kept hashes are
+    further apart than the threshold, so that a hash meets few of them.
+    """
+    gone = duplicate_ordinals(df, threshold, None, hash_col, order, bucket_rows, **options)
+    gone = materialize(gone.select(F.col(order).alias(ORDINAL)), "dropped")
+    hashes = _hashes(df, hash_col, order)
+    kept = Hashes.write(hashes.table.join(gone, ORDINAL, "left_anti"), "kept")
+    others = Hashes.write(hashes.table.join(gone, ORDINAL, "left_semi"), "others")
+    if threshold > MAX_THRESHOLD:
+        found = _first_wide(others, kept, min(threshold, 64))
+    elif others.rows:
+        near = _all_near(others, kept, threshold, bucket_rows, first=True)
+        found = near.groupBy(ORDINAL).agg(F.min("first").alias("first"))
+    else:
+        found = others.table.select(ORDINAL, F.col(ORDINAL).alias("first"))
+    found = others.table.join(found, ORDINAL).select("bits", "first")
+    own = kept.table.select("bits", F.col(ORDINAL).alias("first"))
+    dropped = df.where(is_hash(F.col(hash_col))).select(F.col(order).alias(ORDINAL), hash_bits(F.col(hash_col)).alias("bits"))
+    firsts = dropped.join(gone, ORDINAL, "left_semi").join(found.unionByName(own), "bits")
+    return firsts.select(F.col(ORDINAL).alias(order), "first")
+
+
+def _first_wide(hashes: Hashes, kept: Hashes, threshold: int) -> DataFrame:
+    """(ordinal, first) by scans, a block of kept hashes in order after another."""
+    rows = hashes.table.withColumn("first", F.lit(None).cast("bigint"))
+    found = []
+    while hashes.rows and kept.rows:
+        block, kept = _split_block(kept, ORDINAL)
+        words, places = _words(block.orderBy(ORDINAL), "bits", ORDINAL)
+
+        def mark(batches: Iterator[pd.DataFrame], words=words, places=places) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                bits, first = batch["bits"].to_numpy(), np.full(len(batch), -1)
+                for i, word in enumerate(words):
+                    first[(first < 0) & (_distances(bits, word) <= threshold)] = i
+                near = pd.Series(np.append(places, 0)[first], dtype="Int64").where(first >= 0)
+                yield batch.assign(first=near.to_numpy(dtype=object, na_value=None))
+
+        marked = materialize(rows.mapInPandas(mark, rows.schema), "marked")
+        found.append(marked.where("first is not null").select(ORDINAL, "first"))
+        rows = marked.where("first is null")
+    return reduce(DataFrame.unionByName, found or [rows.select(ORDINAL, "first")])
+
+
 def near_dedup(df: DataFrame, threshold: int = 10, seeds: DataFrame | None = None, **options) -> DataFrame:
     """The records that survive greedy near-duplicate removal.
 

@@ -6,14 +6,15 @@ A gate never drops rows, so that every candidate keeps an outcome; filter on
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions.text import normalize_path, spread_missing
 from framewright.functions.vectors import cosine_similarity
-from framewright.schema import ORDINAL
+from framewright.schema import FAILED_QUALITY, ORDINAL
 
 CODE, REASON = "reason_code", "reason"
 
@@ -34,6 +35,34 @@ def apply_rules(df: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     return df.withColumns({CODE: code.otherwise(""), REASON: reason.otherwise("")})
 
 
+@dataclass(frozen=True)
+class Gate:
+    """A gate of the user's own for the curation run.
+
+    ``rules`` are (code, failing test, text) as elsewhere; the first that holds is the reason,
+    with ``kind`` in front. A test that is null passes. ``prepare`` may add columns that the tests need, by
+    expressions or joins, and has to keep every row once. ``outcome`` is what a rejected
+    row gets.
+    """
+
+    kind: str
+    rules: tuple[Rule, ...]
+    prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows
+    outcome: str = FAILED_QUALITY
+
+    def coded_rules(self) -> list[Rule]:
+        prefix = F.lit(f"{self.kind}: ")
+        return [
+            (f"{self.kind}:{code}", F.coalesce(fails, F.lit(False)), F.concat(prefix, text))
+            for code, fails, text in self.rules
+        ]
+
+
+def gates_by_kind(gates: Iterable[Gate]) -> list[Gate]:
+    """One gate per kind, in the order in which the kinds came first; the last of a kind replaces the others."""
+    return list({gate.kind: gate for gate in gates}.values())
+
+
 def file_rules(path: Column, exists: Column) -> list[Rule]:
     missing_path = path.isNull() | (path == "")
     return [

@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions import pixels
+from framewright.functions.signatures import format_of
 from framewright.functions.text import normalize_path, spread_missing, truthy
 from framewright.operators.dedup import duplicate_ordinals
 from framewright.operators.gates import (
     CODE,
     REASON,
+    Gate,
     apply_rules,
+    gates_by_kind,
     header_rules,
     passed,
     semantic_gate,
@@ -30,6 +33,7 @@ from framewright.schema import (
     SKIPPED,
 )
 from framewright.session import materialize
+from framewright.sinks.files import delete_files
 
 FETCH_CODES = ("no_adapter", "not_landed")
 
@@ -43,9 +47,10 @@ def landed_signals(
     """Signals of landed files as narrow rows: the pixels stay where they are read.
 
     Cheap tests come first. A file that fails on its size or dimensions hands no
-    pixels to the sharpness function, and one that is not sharp none to the hash:
-    null goes to the Python worker, and nothing is decoded or shipped. Signals
-    that are columns already are used as they are.
+    pixels to the worker: null goes there, and nothing is decoded or shipped. One
+    function measures sharpness and hash, and leaves the hash out where the sharpness
+    fails. Signals that are columns already are used as they are. The format is that of
+    the first bytes (``head``), else of the column ``format``.
     """
     columns = set(images.columns)
     df = images
@@ -57,19 +62,24 @@ def landed_signals(
         rules = header_rules(F.col("length"), F.col("width"), F.col("height"), **quality)
         for _, fails, _ in rules:
             good = good & ~F.coalesce(fails, F.lit(False))
-    if "data" in columns:
-        shape = [F.col(c) for c in ("height", "width", "nChannels")]
-
-        def measured(name, function, wanted):
-            data = F.when(wanted & F.col(name).isNull(), F.col("data"))
-            return F.coalesce(F.col(name), function(*shape, data))
-
-        if quality is not None:
-            df = df.withColumn("blur_score", measured("blur_score", pixels.blur_score, good))
-            if min_sharpness is not None:
-                good = good & F.coalesce(F.col("blur_score") >= min_sharpness, F.lit(True))
+    if "data" in columns and (quality is not None or with_hash):
+        scored = quality is not None
+        open_signals = F.lit(False)
+        if scored:
+            open_signals = open_signals | F.col("blur_score").isNull()
         if with_hash:
-            df = df.withColumn("phash", measured("phash", pixels.phash, good))
+            open_signals = open_signals | F.col("phash").isNull()
+        measure = pixels.measure(min_sharpness if scored else None, with_score=scored, with_hash=with_hash)
+        data = F.when(good & open_signals, F.col("data"))
+        shape = [F.col(c) for c in ("height", "width", "nChannels")]
+        df = df.withColumn("__signals", measure(*shape, data, F.col("blur_score"), F.col("phash")))
+        df = df.withColumns({name: F.col(f"__signals.{name}") for name in ("blur_score", "phash")})
+    if "head" in columns:
+        df = df.withColumn("__format", format_of(F.col("head")))
+    elif "format" in columns:
+        df = df.withColumn("__format", F.col("format"))
+    else:
+        df = df.withColumn("__format", F.lit(None).cast("string"))
     return df.select(
         normalize_path(F.col("path")).alias("__path"),
         F.col("length").alias("landed_length"),
@@ -77,6 +87,7 @@ def landed_signals(
         F.col("height").alias("img_height"),
         F.col("blur_score").alias("img_blur_score"),
         F.col("phash").alias("img_phash"),
+        F.col("__format").alias("img_format"),
         *[c for c in ("embedding",) if c in columns],
     )
 
@@ -92,6 +103,7 @@ def curate(
     dedup_threshold: int | None = 10,
     skip_existing: bool = True,
     measured_size: bool = False,
+    gates: Sequence[Gate] = (),
 ) -> DataFrame:
     """Resume, landed bytes, quality, meaning, near-duplicates: records with
     ``outcome`` and ``reason``.
@@ -103,7 +115,10 @@ def curate(
     ``local_path``. ``quality=None`` leaves the quality gate out, and
     ``dedup_threshold=None`` the removal of duplicates. A candidate that an earlier one
     of the run, with the same source and source_id, was accepted for is resumed from it. ``measured_size`` stores
-    the decoded dimensions in the record.
+    the decoded dimensions in the record, and the format is that of the file's content where it is known.
+
+    ``gates`` are the user's own, in order, after quality and meaning and before the removal of
+    duplicates; see ``gates.Gate``. Each sees all columns of the rows, and decides those that have passed so far.
     """
     existing, todo = resume_join(candidates, manifest, images.select("path"), skip_existing)
     columns = list(MANIFEST.names)
@@ -119,6 +134,7 @@ def curate(
             "file_size_bytes": F.coalesce("landed_length", "file_size_bytes"),
             "blur_score": F.coalesce("img_blur_score", "blur_score"),
             "phash": F.coalesce("img_phash", "phash"),
+            "format": F.coalesce("img_format", "format"),
         }
     )
     fetch = [
@@ -159,15 +175,17 @@ def curate(
                 CODE: F.when(F.col("__code") != "", F.col("__code")).otherwise(F.col(CODE)),
             }
         )
+    own_gates = gates_by_kind(gates)
+    for gate in own_gates:
+        staged = _and_then(gate.prepare(staged), gate.coded_rules())
     if measured_size:
         staged = staged.withColumns(
             {"width": F.coalesce("img_width", "width"), "height": F.coalesce("img_height", "height")}
         )
-    outcome = (
-        F.when(passed(), ACCEPTED)
-        .when(F.col(CODE).isin(*FETCH_CODES), FAILED_DOWNLOAD)
-        .otherwise(FAILED_QUALITY)
-    )
+    outcome = F.when(passed(), ACCEPTED).when(F.col(CODE).isin(*FETCH_CODES), FAILED_DOWNLOAD)
+    for gate in own_gates:
+        outcome = outcome.when(F.startswith(CODE, F.lit(f"{gate.kind}:")), gate.outcome)
+    outcome = outcome.otherwise(FAILED_QUALITY)
     staged = staged.select(*columns, outcome.alias("outcome"), REASON)
     # The pixels are read once; all that follows works on what is written here.
     staged = materialize(staged, "signals")
@@ -193,6 +211,21 @@ def curate(
     return staged.unionByName(resumed)
 
 
+def remove_rejected_files(outcomes: DataFrame) -> int:
+    """Delete the landed files of the candidates that a gate or the removal of duplicates rejected.
+
+    For after a run whose ``outcomes`` are stored. A file that an accepted or resumed record has
+    as well stays; so do those of failed downloads, which never landed under their name.
+    Returns how many files went.
+    """
+    named = outcomes.where("local_path is not null and local_path <> ''").withColumn(
+        "path", normalize_path(F.col("local_path"))
+    )
+    used = named.where(F.col("outcome").isin(ACCEPTED, SKIPPED)).select("path")
+    rejected = named.where(~F.col("outcome").isin(ACCEPTED, SKIPPED, FAILED_DOWNLOAD)).select("path")
+    return delete_files(rejected.distinct().join(used, "path", "left_anti"))
+
+
 def _resumed_in_run(staged: DataFrame) -> DataFrame:
     """Skip candidates whose (source, source_id) was accepted earlier in the run."""
     keys = ["source", "source_id"]

@@ -24,7 +24,8 @@ def _opened(root: str):
     return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", root))
 
 
-def _file_system(location: str):
+def file_system(location: str):
+    """(file system, path) of a location, in a worker."""
     from pyarrow import fs
 
     location = re.sub("^file:/+", "/", location)
@@ -35,7 +36,7 @@ def _file_system(location: str):
     return system, base.rstrip("/") + (found[2] or "")
 
 
-def _spread_files(plan: DataFrame, key: str) -> DataFrame:
+def spread_files(plan: DataFrame, key: str) -> DataFrame:
     """Rows of files over the whole cluster.
 
     The number is explicit: adaptive execution would judge the plan by its bytes,
@@ -56,8 +57,8 @@ def _copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 states.append("same")
                 continue
             try:
-                source, source_path = _file_system(src)
-                target, target_path = _file_system(dst)
+                source, source_path = file_system(src)
+                target, target_path = file_system(dst)
                 target.create_dir(target_path.rsplit("/", 1)[0], recursive=True)
                 # Write beside the target, then rename: a task that dies half-way, or
                 # runs twice, leaves no partial image under the final name.
@@ -79,7 +80,7 @@ def copy_files(plan: DataFrame) -> DataFrame:
     over the cluster, since its rows are tiny but their files are not.
     """
     spark = plan.sparkSession
-    done = _spread_files(plan.select("src", "dst"), "dst").mapInPandas(
+    done = spread_files(plan.select("src", "dst"), "dst").mapInPandas(
         _copy, "src string, dst string, state string"
     )
     state = F.when(F.startswith("state", F.lit("failed")), "failed").otherwise(F.col("state"))
@@ -98,7 +99,7 @@ def _remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         gone = []
         for path in batch["path"]:
-            system, name = _file_system(path)
+            system, name = file_system(path)
             try:
                 system.delete_file(name)
                 gone.append(True)
@@ -109,14 +110,14 @@ def _remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def delete_files(paths: DataFrame) -> int:
     """Delete the files of a ``path`` column; returns how many were there."""
-    done = _spread_files(paths.select("path"), "path").mapInPandas(_remove, "path string, gone boolean")
+    done = spread_files(paths.select("path"), "path").mapInPandas(_remove, "path string, gone boolean")
     return done.where("gone").count()
 
 
 def _touch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path in batch["path"]:
-            system, name = _file_system(path)
+            system, name = file_system(path)
             system.create_dir(name.rsplit("/", 1)[0], recursive=True)
             with system.open_output_stream(name):
                 pass
@@ -125,14 +126,14 @@ def _touch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def touch_files(paths: DataFrame) -> int:
     """Create an empty file per ``path``; returns how many."""
-    return _spread_files(paths.select("path"), "path").mapInPandas(_touch, "path string").count()
+    return spread_files(paths.select("path"), "path").mapInPandas(_touch, "path string").count()
 
 
 def _stat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         lengths = []
         for path in batch["path"]:
-            system, name = _file_system(path)
+            system, name = file_system(path)
             info = system.get_file_info(name)
             lengths.append(info.size if info.is_file else None)
         yield batch[["path"]].assign(length=pd.array(lengths, dtype="Int64"))
@@ -144,7 +145,7 @@ def stat_files(paths: DataFrame) -> DataFrame:
     Unlike a folder listing, which Spark limits to files with content, this also
     sees empty files.
     """
-    return _spread_files(paths.select("path"), "path").mapInPandas(_stat, "path string, length bigint").where(
+    return spread_files(paths.select("path"), "path").mapInPandas(_stat, "path string, length bigint").where(
         "length is not null"
     )
 

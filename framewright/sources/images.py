@@ -2,32 +2,97 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framewright.functions import pixels
-from framewright.functions.text import normalize_path, suffix
+from framewright.functions.signatures import HEAD_BYTES, format_of
+from framewright.functions.text import decoded_path, normalize_path
+from framewright.session import materialize
+from framewright.sinks.files import file_system, spread_files
+
+
+def glob_pattern(pattern: str) -> str:
+    """A file name pattern (``*``, ``?``, ``[ab]``, ``{a,b}``) as a regular expression."""
+    parts, depth = [], 0
+    for piece in re.findall(r"\[!?[^]]*\]|.", pattern, re.DOTALL):
+        if len(piece) > 1:
+            parts.append("[^" + piece[2:] if piece.startswith("[!") else piece)
+        elif piece in "{}":
+            depth += 1 if piece == "{" else -1
+            parts.append("(?:" if piece == "{" else ")")
+        elif piece == "," and depth:
+            parts.append("|")
+        else:
+            parts.append({"*": ".*", "?": "."}.get(piece, re.escape(piece)))
+    return "".join(parts)
+
+
+def _list_folders(pattern: str):
+    """Folders to what lies in them; names that begin with a dot or underscore are hidden."""
+    from pyarrow import fs
+
+    wanted = re.compile(glob_pattern(pattern), re.DOTALL)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for folder in batch["path"]:
+                system, name = file_system(folder)
+                below = [
+                    (f"{folder.rstrip('/')}/{found.base_name}", found.size, found.type == fs.FileType.Directory)
+                    for found in system.get_file_info(fs.FileSelector(name, allow_not_found=True))
+                    if found.base_name[:1] not in (".", "_")
+                    and (found.type == fs.FileType.Directory or wanted.fullmatch(found.base_name))
+                ]
+                yield pd.DataFrame(below, columns=["path", "length", "folder"]).astype({"length": "Int64"})
+
+    return run
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, length) of the files below a folder; no content is read.
+    """(path, length) of the files below a folder, empty ones too; no content is read.
 
-    Spark leaves out empty files; ``sinks.files.stat_files`` sees them.
+    Folders are rows, listed by the cluster level by level, so that neither a deep nor a
+    broad tree is walked by the driver. A missing folder has no files.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .load(path)
-    )
-    return files.select(normalize_path(F.col("path")).alias("path"), "length")
+    level = spark.createDataFrame([(path,)], "path string").select(normalize_path(F.col("path")).alias("path"))
+    levels = []
+    while not levels or not level.isEmpty():
+        below = spread_files(level, "path").mapInPandas(
+            _list_folders(pattern), "path string, length bigint, folder boolean"
+        )
+        below = materialize(below, "listing")
+        levels.append(below.where(~F.col("folder")).select("path", "length"))
+        level = below.where("folder").select("path")
+    return reduce(DataFrame.unionByName, levels)
+
+
+@F.pandas_udf(T.BinaryType())
+def file_heads(paths: pd.Series) -> pd.Series:
+    """The first bytes of files: a short read where the file is decoded anyway."""
+    heads = []
+    for path in paths:
+        try:
+            system, name = file_system(path)
+            with system.open_input_file(name) as file:
+                heads.append(file.read(HEAD_BYTES))
+        except OSError:
+            heads.append(None)
+    return pd.Series(heads, dtype=object)
 
 
 def read_image_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Every file with its size and decoded pixels: path, length, height, width,
-    nChannels, data. What cannot be decoded has null pixels.
+    """Every file with its size, first bytes and decoded pixels: path, length, head, height,
+    width, nChannels, data. What cannot be decoded has null pixels.
 
-    One scan: the size comes from the file metadata, so pixels are never joined.
+    One scan: the size comes from the file metadata, so pixels are never joined. Spark's
+    readers leave out empty files; these come from the listing.
     """
     files = (
         spark.read.format("image")
@@ -35,31 +100,36 @@ def read_image_files(spark: SparkSession, path: str, pattern: str = "*") -> Data
         .option("pathGlobFilter", pattern)
         .load(path)
     )
-    return files.select(
-        normalize_path(F.col("_metadata.file_path")).alias("path"),
+    place = decoded_path(F.col("_metadata.file_path"))
+    scanned = files.select(
+        place.alias("path"),
         F.col("_metadata.file_size").alias("length"),
+        file_heads(place).alias("head"),
         *[
             F.when(F.col("image.width") > 0, F.col(f"image.{c}")).alias(c)
             for c in ("height", "width", "nChannels", "data")
         ],
     )
+    empty = list_files(spark, path, pattern).where("length = 0")
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in scanned.schema.fields[2:]]
+    return scanned.unionByName(empty.select("path", "length", *nothing))
 
 
 def image_signals(images: DataFrame, keep: tuple[str, ...] = ("path",)) -> DataFrame:
     """Signals per image: size, dimensions, format, sharpness, detail and hash.
 
+    The format is that of the file's first bytes (``head``), null where they are unknown.
     Decoded pixels are large: set ``spark.sql.execution.arrow.maxRecordsPerBatch``
     to a few rows (16) before running this over photographs.
     """
     decoded = [F.col(c) for c in ("height", "width", "nChannels", "data")]
-    fmt = F.upper(F.regexp_replace(suffix(F.col("path")), r"^\.", ""))
-    return images.select(
+    unknown = [F.lit(None).cast("double"), F.lit(None).cast("string")]
+    measured = images.withColumn("__signals", pixels.measure(with_detail=True)(*decoded, *unknown))
+    return measured.select(
         *keep,
         F.col("length").alias("file_size_bytes"),
         "width",
         "height",
-        F.when(fmt == "JPG", "JPEG").otherwise(fmt).alias("format"),
-        pixels.blur_score(*decoded).alias("blur_score"),
-        pixels.gray_variance(*decoded).alias("gray_variance"),
-        pixels.phash(*decoded).alias("phash"),
+        format_of(F.col("head")).alias("format"),
+        *[F.col(f"__signals.{name}").alias(name) for name in ("blur_score", "gray_variance", "phash")],
     )

@@ -6,8 +6,11 @@ they are registered by source name and can be extended with ``register``.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,15 +169,21 @@ READERS: dict[str, Reader] = {
 }
 
 
-def register(source: str, page_schema: str, reader: Reader) -> None:
-    """Add a source: the DDL of its pages and its pages -> records function."""
-    PAGE_SCHEMAS[source] = page_schema
-    READERS[source] = reader
+#: Where the hits lie in a page.
+HIT_PATHS: dict[str, tuple[str, ...]] = {
+    "unsplash": ("results",),
+    "pexels": ("photos",),
+    "pixabay": ("hits",),
+    "wikimedia": ("query", "pages"),
+}
 
 
-def _own_query(parsed: DataFrame, source: str) -> DataFrame:
-    # The Wikimedia envelope is called "query", like the record's search text.
-    return parsed.withColumnRenamed("query", "query_result") if source == "wikimedia" else parsed
+def register(source: str, page_schema: str, reader: Reader, hits: tuple[str, ...] = ()) -> None:
+    """Add a source: the DDL of its pages, its pages -> records function, and where the hits lie
+    in a page, which lets whole hits of a broken page be rescued."""
+    PAGE_SCHEMAS[source] = page_schema
+    READERS[source] = reader
+    HIT_PATHS[source] = tuple(hits)
 
 
 def parse_pages(df: DataFrame, source: str, column: str = "page") -> DataFrame:
@@ -188,18 +197,112 @@ def parse_pages(df: DataFrame, source: str, column: str = "page") -> DataFrame:
     return parsed.select(*keep, *renamed)
 
 
-def read_api_pages(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """Pages landed as files of JSON, one page per line.
-
-    ``place`` keeps the order of the pages: file name, block, line.
-    """
-    pages = spark.read.schema(PAGE_SCHEMAS[source]).json(path)
+def landed_lines(text: DataFrame) -> DataFrame:
+    """(place, page) of the lines of landed files; ``place`` orders them by file name, block and line."""
     place = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
     )
-    return _own_query(pages.withColumn("place", place), source)
+    return text.select(place.alias("place"), F.col("value").alias("page")).where(F.trim("page") != "")
+
+
+def _whole_hits(text: str, path: tuple[str, ...]) -> list[str]:
+    """The hits of a broken page that are whole, as JSON text (with their key, where they are an object's)."""
+    decode, blank = json.JSONDecoder().raw_decode, re.compile(r"[\s,]*")
+    skip = lambda at: blank.match(text, at).end()
+    found: list[str] = []
+
+    def members(at: int, path: tuple[str, ...]) -> None:
+        """Read ``path`` from the container that opens at ``at``; a broken value ends it with an error."""
+        opening, at = text[at], skip(at + 1)
+        while text[at] not in "]}":
+            start = at
+            name = None
+            if opening == "{":
+                name, at = decode(text, at)
+                at = re.compile(r"\s*:\s*").match(text, at).end()
+            if path and name == path[0] and text[at] in "[{":
+                return members(at, path[1:])
+            value, at = decode(text, at)
+            if not path and isinstance(value, dict):
+                found.append(text[start:at])
+            at = skip(at)
+
+    try:
+        members(skip(0), path)
+    except (ValueError, IndexError, AttributeError, RecursionError):
+        pass  # the place where the page is broken
+    return found
+
+
+def _rescue(path: tuple[str, ...]):
+    """Pages that are no JSON to pages of their whole hits."""
+
+    @F.pandas_udf("page string, hits int")
+    def run(pages: pd.Series) -> pd.DataFrame:
+        texts, counts = [], []
+        for page in pages:
+            hits = _whole_hits(page, path) if page is not None and path else []
+            body = ",".join(hits)
+            body = f"[{body}]" if not hits or hits[0].startswith("{") else "{" + body + "}"
+            for name in reversed(path):
+                body = "{" + json.dumps(name) + ":" + body + "}"
+            texts.append(body if hits else None)
+            counts.append(len(hits))
+        return pd.DataFrame({"page": pd.Series(texts, dtype=object), "hits": counts})
+
+    return run
+
+
+def checked_pages(lines: DataFrame, source: str) -> DataFrame:
+    """Parsed pages of (place, page, ...) lines, with ``fault``: null for a sound page, else why it is listed
+    as rejected (``not_json``, ``wrong_type`` or ``no_hits``).
+
+    A page that is no JSON, as one that was cut off, keeps the hits before the break. One with values of
+    another type keeps what could be read. Only broken pages are sent to the Python worker.
+    """
+    schema, path = PAGE_SCHEMAS[source], HIT_PATHS.get(source, ())
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"}
+    first = lines.withColumn("__first", F.from_json("page", f"{schema}, __corrupt STRING", options))
+    spoilt = F.col("__first.__corrupt").isNotNull()
+    no_json = spoilt & F.try_parse_json("page").isNull()
+    rescued = first.withColumn("__cut", no_json).withColumn("__rescued", _rescue(path)(F.when(F.col("__cut"), F.col("page"))))
+    text = F.when(F.col("__cut"), F.col("__rescued.page")).otherwise(F.col("page"))
+    parsed = rescued.withColumn("__page", F.from_json(text, schema))
+    hits = F.col("__page." + ".".join(path)) if path else F.col("__page")
+    fault = (
+        F.when(F.col("__cut"), "not_json")
+        .when(F.col("__page").isNull() | hits.isNull(), "no_hits")
+        .when(F.col("__first.__corrupt").isNotNull(), "wrong_type")
+    )
+    names = parsed.schema["__page"].dataType.names
+    # The Wikimedia envelope is called "query", like the record's search text.
+    fields = [F.col(f"__page.{n}").alias("query_result" if n == "query" else n) for n in names]
+    return parsed.select(
+        *lines.columns, *fields, fault.alias("fault"), F.col("__rescued.hits").alias("rescued_hits")
+    )
+
+
+def read_api_pages(spark: SparkSession, path: str, source: str) -> DataFrame:
+    """Pages landed as files of JSON, one page per line.
+
+    ``place`` keeps the order of the pages: file name, block, line. A broken page comes with the hits that are
+    whole; ``read_rejected_pages`` lists it.
+    """
+    pages = checked_pages(landed_lines(spark.read.text(path)), source)
+    return pages.drop("page", "fault", "rescued_hits")
+
+
+def read_rejected_pages(spark: SparkSession, path: str, source: str) -> DataFrame:
+    """The pages that are not sound: file, block, line, reason, how many whole hits were rescued, and the text."""
+    return rejected(checked_pages(landed_lines(spark.read.text(path)), source))
+
+
+def rejected(pages: DataFrame) -> DataFrame:
+    return pages.where("fault is not null").select(
+        "place.*", F.col("fault").alias("reason"), "rescued_hits", "page"
+    )
 
 
 def rank_hits(records: DataFrame) -> DataFrame:

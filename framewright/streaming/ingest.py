@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from framewright.operators.joins import resume_join
 from framewright.operators.ordering import first_wins, with_ordinal
 from framewright.schema import ORDINAL
+from framewright.session import materialize
 from framewright.sources.manifest import Manifest
-from framewright.sources.providers import PAGE_SCHEMAS, read_records
+from framewright.sources.providers import checked_pages, landed_lines, read_records, rejected
+
 
+def unseen(records: DataFrame, manifest: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Records whose (source, source_id) is not in the manifest, each once.
 
-def unseen(records: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Records whose (source, source_id) is not in the manifest, each once."""
+    With a listing of files (``path``), a record counts as seen only while the file of its row
+    is there: one whose file was lost is picked up again.
+    """
     once = first_wins(records, ["source", "source_id"])
-    return once.join(manifest.select("source", "source_id"), ["source", "source_id"], "left_anti")
+    if files is None:
+        return once.join(manifest.select("source", "source_id"), ["source", "source_id"], "left_anti")
+    return resume_join(once, manifest, files)[1]
 
 
 def incremental_ingest(
@@ -27,30 +37,37 @@ def incremental_ingest(
     query: str = "",
     dataset_name: str = "",
     max_files: int = 10_000,
+    files: Callable[[], DataFrame] | None = None,
+    rejects: str | None = None,
     **options,
 ) -> StreamingQuery:
     """Process what has landed since the last run, then stop.
 
-    The file source remembers the pages it has read. A batch that runs again
-    after a failure adds nothing twice: ids derive from the record's identity
-    and known pairs are left out.
+    Records enter the manifest in the order in which they landed: file name, block, line, place in
+    the page. ``files`` gives the listing of landed images, taken anew for each batch, so that
+    records whose file is gone come again. Pages that are not sound are added to the Parquet folder
+    ``rejects``; their whole hits are kept either way. The file source remembers the pages it
+    has read. A batch that runs again after a failure adds nothing twice: ids derive from the
+    record's identity and known pairs are left out.
     """
-    pages = (
-        spark.readStream.schema(PAGE_SCHEMAS[source])
-        .option("maxFilesPerTrigger", max_files)
-        .json(landing)
-    )
-    if "query" in pages.columns:
-        pages = pages.withColumnRenamed("query", "query_result")
-    pages = pages.withColumn("query", F.lit(query)).withColumn("dataset_name", F.lit(dataset_name))
-    records = read_records(pages, source, **options)
+    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(landing)
+    lines = lines.select("value", "_metadata")
 
-    def add(batch: DataFrame, _epoch: int) -> None:
-        ordered = with_ordinal(batch, "source", "source_id", "rank_in_page", "id", name=ORDINAL)
-        manifest.upsert(unseen(ordered, manifest.read()))
+    def add(batch: DataFrame, epoch: int) -> None:
+        # What is lazy here is read several times: the lines are written once, with their places.
+        pages = checked_pages(materialize(landed_lines(batch), "lines"), source)
+        if rejects is not None:
+            rejected(pages).write.mode("overwrite").parquet(f"{rejects}/batch={epoch}")
+        named = pages.drop("page", "fault", "rescued_hits").withColumns(
+            {"query": F.lit(query), "dataset_name": F.lit(dataset_name)}
+        )
+        records = read_records(named, source, **options)
+        ordered = with_ordinal(records, "place", "rank_in_page", "source_id", "id", name=ORDINAL)
+        listing = None if files is None else files()
+        manifest.upsert(unseen(ordered, manifest.read(), listing))
 
     return (
-        records.writeStream.foreachBatch(add)
+        lines.writeStream.foreachBatch(add)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

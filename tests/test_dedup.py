@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.functions.hashing import covering_masks, deep_cover, light_cover
-from framewright.operators.dedup import duplicate_ordinals, mark_duplicates, near_dedup, near_pairs
+from framewright.operators import dedup
+from framewright.operators.dedup import duplicate_ordinals, first_near, mark_duplicates, near_dedup, near_pairs
 
 SCHEMA = "ordinal bigint, phash string"
 
@@ -168,6 +169,49 @@ def test_split_covers():
                 assert any(difference & mask == 0 for mask in masks)
 
 
-def test_threshold_bounds(spark):
+def test_pairs_need_a_cover(spark):
     with pytest.raises(ValueError):
-        dropped(spark, [(0, H)], 25)
+        near_pairs(spark.createDataFrame([(0, H)], SCHEMA), 25)
+
+
+@pytest.mark.parametrize("threshold", [-1, 0, 5, 24, 25, 27, 31, 40, 64, 70])
+def test_any_threshold(spark, threshold, monkeypatch):
+    monkeypatch.setattr(dedup, "WIDE_ROWS", 50)  # several blocks
+    data = clusters(260, 120, 9, threshold) + [(5000, None), (5001, "zz")]
+    seeds = [text for _, text in clusters(70, 40, 9, 99)]
+    if threshold < 40:
+        assert dropped(spark, data, threshold) == greedy(data, threshold)
+        assert dropped(spark, data, threshold, seeds) == greedy(data, threshold, seeds)
+    else:
+        assert dropped(spark, data, threshold) == greedy(data, min(threshold, 64))
+
+
+def test_more_seeds_than_rows_at_a_wide_threshold(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "WIDE_ROWS", 30)
+    seeds = ["0" * 16] * 5 + [f"{i:016x}" for i in range(100)]  # all in one corner: most rows stay
+    data = clusters(80, 60, 3, 5)
+    assert dropped(spark, data, 26, seeds) == greedy(data, 26, seeds)
+
+
+def first_neighbour(rows, threshold):
+    seen, found = [], []
+    for ordinal, text in sorted(rows):
+        near = [first for first, value in seen if bin(int(text, 16) ^ value).count("1") <= threshold]
+        if near:
+            found.append((ordinal, min(near)))
+        else:
+            seen.append((ordinal, int(text, 16)))
+    return found
+
+
+@pytest.mark.parametrize(("threshold", "options"), [(0, {}), (10, {}), (10, {"bucket_rows": 8}), (24, {}), (26, {}), (33, {})])
+def test_first_near(spark, threshold, options, monkeypatch):
+    monkeypatch.setattr(dedup, "WIDE_ROWS", 40)
+    data = clusters(300, 25, 9, threshold)
+    found = first_near(spark.createDataFrame(data, SCHEMA), threshold, **options)
+    assert sorted(tuple(r) for r in found.collect()) == first_neighbour(data, threshold)
+
+
+def test_first_near_of_nothing(spark):
+    assert first_near(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert first_near(spark.createDataFrame([(1, H), (2, None)], SCHEMA), 30).count() == 0
