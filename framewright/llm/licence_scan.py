@@ -106,18 +106,43 @@ def ngrams(words: list[str], longest: int = LONGEST) -> set[str]:
     return {" ".join(words[i : i + n]) for n in range(1, longest + 1) for i in range(len(words) - n + 1)}
 
 
-def _anchors() -> str:
-    """A regular expression that finds every paragraph with a word pair of some template, as ``words_of`` tells words."""
+#: Words so common that they alone make no line worth judging.
+COMMON = {
+    "the", "of", "a", "and", "in", "to", "it", "is", "as", "by", "or", "at", "on", "for", "with", "this", "that", "are",
+}
+
+
+def _anchors(least: float = 0.75) -> str:
+    """A regular expression that finds every line that can agree with a template, by its telling word pairs.
+
+    To agree, a line needs ``least`` of a template's word pairs, or three at least that make up that
+    share of its own. So every template may have two pairs of common words only that need no look; where it
+    has more, its most frequent common word counts as a telling one.
+    """
+    known = [words_of(template) for all_t in TEMPLATES.values() for template in all_t]
+    common = set(COMMON)
+    for words in known:
+        while True:
+            pairs = set(zip(words, words[1:], strict=False))
+            plain = [p for p in pairs if set(p) <= common]
+            if len(plain) <= min(2, max(math.ceil(least * len(pairs)) - 1, 0)):
+                break
+            common.discard(max(sorted({w for p in plain for w in p}), key=lambda w: sum(w in p for p in plain)))
     seconds: dict[str, set[str]] = {}
-    for template in (t for all_t in TEMPLATES.values() for t in all_t):
-        words = words_of(template)
+    for words in known:
         for first, second in zip(words, words[1:], strict=False):
-            seconds.setdefault(first, set()).add(second)
-    told = [f"{re.escape(a)}[^a-z0-9]+(?:{'|'.join(map(re.escape, sorted(b)))})" for a, b in sorted(seconds.items())]
+            if not {first, second} <= common:
+                seconds.setdefault(first, set()).add(second)
+    by_letter: dict[str, list[str]] = {}
+    for first, rest in sorted(seconds.items()):
+        told = f"{re.escape(first[1:])}[^a-z0-9]+(?:{'|'.join(map(re.escape, sorted(rest)))})"
+        by_letter.setdefault(first[0], []).append(told)
+    by_letter |= {w[0]: [*by_letter.get(w[0], []), re.escape(w[1:])] for words in known for w in words if len(words) == 1}
+    told = [f"{x}(?:{'|'.join(rest)})" for x, rest in by_letter.items()]
     return rf"(?i)(?<![a-z0-9.])(?:{'|'.join(told)})(?![a-z0-9])"
 
 
-#: A paragraph without any word pair of a template agrees with none.
+#: A line without any of these pairs agrees with no template.
 ANCHORS = _anchors()
 
 
@@ -189,28 +214,6 @@ def _ngrams(words: Column, sizes: range) -> Column:
     return F.array_distinct(F.concat(*grams))
 
 
-def _could_agree(text: Column, least: float) -> Column:
-    """Whether the words agree with some template, of whatever family, as ``scan_licences`` asks of the likeliest one's."""
-    own = _ngrams(_words(text), range(2, 3))
-    templates = []
-    for template in (t for all_t in TEMPLATES.values() for t in all_t):
-        words = words_of(template)
-        templates.append(sorted({" ".join(words[i : i + 2]) for i in range(len(words) - 1)}))
-    every = F.array(*[F.lit(p) for p in sorted({p for pairs in templates for p in pairs})])
-    told = F.array(*[F.array(*[F.lit(p) for p in pairs]) for pairs in templates])
-    # one struct, so that the paragraph's pairs are taken once
-    found = F.struct(F.array_intersect(own, every).alias("shared"), F.size(own).alias("n"))
-
-    def agrees(state: Column) -> Column:
-        return F.exists(
-            told,
-            lambda pairs: F.size(F.array_intersect(state["shared"], pairs))
-            >= F.lit(least) * F.least(F.size(pairs), F.greatest(state["n"], F.lit(3))),
-        )
-
-    return F.exists(F.array(found), lambda state: (F.size(state["shared"]) > 0) & agrees(state))
-
-
 def scan_licences(
     docs: DataFrame, least_agreement: float = 0.75, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -218,8 +221,8 @@ def scan_licences(
 
     Paragraphs are the lines of the whole text, numbered from 0. A notice is a paragraph whose likeliest class is a
     licence family with at least the calibrated chance, and whose words contain ``least_agreement`` of the word pairs of one
-    of the family's templates, or are contained in it that far. Paragraphs that agree with no family's
-    template that far are left out before they are judged. Equal paragraphs are judged once.
+    of the family's templates, or are contained in it that far. Lines without a word pair that any such agreement takes are
+    left out before the others are judged, each distinct one once.
 
     Null and empty texts have no notices. Repeated rows give their notices each; null ids stay; other columns play no part;
     an empty table gives no rows. Ties between classes go to the first by name.
@@ -228,9 +231,8 @@ def scan_licences(
     table, constants, limit = train()
     lines = (
         docs.select(F.col(id_column), F.posexplode(F.split(text_column, "\n")).alias("paragraph", "text"))
-        .where(F.lower("text").rlike(ANCHORS))
+        .where(F.col("text").rlike(_anchors(least_agreement)))
         .withColumn("text", F.trim("text"))
-        .where(_could_agree(F.col("text"), least_agreement))
     )
     lines = materialize(lines, "lines")
     distinct = lines.select("text").distinct().withColumn("words", _words(F.col("text")))
