@@ -49,10 +49,28 @@ TEMPLATES: dict[str, list[str]] = {
         "GNU General Public License, version 2",
         "GNU GPL license",
         "it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "GPLv2",
+        "GPLv3",
+        "GPL-2.0",
+        "GPL-3.0",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
-    "LGPL": ["GNU Lesser General Public License", "GNU LGPL license", "SPDX-License-Identifier: LGPL-2.1-only"],
-    "AGPL": ["GNU Affero General Public License", "GNU AGPL license", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "LGPL": [
+        "GNU Lesser General Public License",
+        "GNU LGPL license",
+        "LGPLv3",
+        "LGPL-2.1",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+    ],
+    "AGPL": [
+        "GNU Affero General Public License",
+        "GNU AGPL license",
+        "AGPLv3",
+        "AGPL-3.0",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+    ],
+    "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License - v 2.0", "SPDX-License-Identifier: EPL-2.0"],
+    "BSL-1.0": ["Boost Software License", "Boost Software License, Version 1.0", "SPDX-License-Identifier: BSL-1.0"],
     "MPL-2.0": [
         "Mozilla Public License, version 2.0",
         "the terms of the Mozilla Public License, v. 2.0",
@@ -62,6 +80,7 @@ TEMPLATES: dict[str, list[str]] = {
         "CC BY 4.0",
         "Creative Commons Attribution 4.0 International License",
         "Creative Commons Attribution License",
+        "Creative Commons Attribution 3.0 Unported",
     ],
     "CC-BY-SA": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
     "CC-BY-NC": [
@@ -137,7 +156,8 @@ def _anchors(least: float = 0.75) -> str:
     for first, rest in sorted(seconds.items()):
         told = f"{re.escape(first[1:])}[^a-z0-9]+(?:{'|'.join(map(re.escape, sorted(rest)))})"
         by_letter.setdefault(first[0], []).append(told)
-    by_letter |= {w[0]: [*by_letter.get(w[0], []), re.escape(w[1:])] for words in known for w in words if len(words) == 1}
+    for word in sorted({words[0] for words in known if len(words) == 1}):
+        by_letter.setdefault(word[0], []).append(re.escape(word[1:]))
     told = [f"{x}(?:{'|'.join(rest)})" for x, rest in by_letter.items()]
     return rf"(?i)(?<![a-z0-9.])(?:{'|'.join(told)})(?![a-z0-9])"
 

@@ -10,6 +10,12 @@ NOTICES = {
     "Text: CC-BY 4.0": "CC-BY",
     "Released under CC-BY-NC 4.0.": "CC-BY-NC",
     "Creative Commons Attribution-ShareAlike 4.0 International": "CC-BY-SA",
+    "Released under GPLv3": "GPL",
+    "License: GPL-2.0": "GPL",
+    "This program is available under the AGPLv3.": "AGPL",
+    "Eclipse Public License 2.0": "EPL-2.0",
+    "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+    "Creative Commons Attribution 3.0 Unported": "CC-BY",
 }
 
 
