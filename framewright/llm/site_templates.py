@@ -9,7 +9,6 @@ comments). What is left is read block by block.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -23,7 +22,7 @@ from framewright.session import materialize
 #: Elements that never hold the main text.
 FURNITURE = frozenset(
     "head script style noscript template nav footer aside form button select option textarea input iframe svg "
-    "canvas object embed audio video dialog menu".split()
+    "canvas object embed audio video dialog menu title".split()
 )
 #: Whole names in class, id or role that say the same, of elements that don't hold the main content.
 FURNITURE_WORDS = frozenset(
@@ -31,10 +30,20 @@ FURNITURE_WORDS = frozenset(
     "breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent notice popup modal newsletter subscribe "
     "comment comments disqus related share sharing social search contentinfo complementary toolbar pagination".split()
 )
+#: Names that say so as the last part of a hyphenated name (``article-comments``), or as its first before a container's.
+FURNITURE_PARTS = frozenset(
+    "ad ads advert advertisement comment comments cookie cookies consent sidebar nav navbar navigation menu breadcrumb "
+    "breadcrumbs footer newsletter subscribe banner promo sponsored popup modal disqus pagination".split()
+)
+CONTAINERS = frozenset("area bar block body box container content form item items links list notice section slot text thread unit wrap wrapper".split())
+#: A hyphenated name that begins so says what the element lacks or has beside it.
+LACKS = frozenset("no has with without hide hidden".split())
 #: Elements whose subtrees are the page's own, however often they recur.
 MAIN = frozenset(("article", "main"))
 #: A page whose copies are one in so many rows is dealt out to several tasks.
 SALTS = 1000
+#: So many recurring subtrees are sent to all workers at once (a few dozen MB); more are joined by shuffling.
+RECURRING_ROWS = 500_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that begin and end a block of text.
 BLOCKS = frozenset(
@@ -50,16 +59,15 @@ ENDS = {
 _ENDS_P = BLOCKS - {"html", "body", "caption", "legend", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup"}
 _SCOPES = frozenset("table td th ul ol dl div article section main aside nav form body blockquote".split())
 _CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
-_CUT_ENTITY = re.compile(r"&#?[0-9a-zA-Z]*\Z")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "words", "children", "key", "kept")
+    __slots__ = ("tag", "words", "children", "key", "kept", "main", "spare")
 
     def __init__(self, tag: str, words: frozenset[str] = frozenset()):
         self.tag, self.words, self.children, self.key = tag, words, [], 0
-        self.kept = False
+        self.kept = self.main = self.spare = False
 
 
 class _Builder(HTMLParser):
@@ -106,34 +114,69 @@ class _Builder(HTMLParser):
 
 
 def parse(html: str) -> Node:
-    """The page as a tree. A tag that the page's end cuts off is dropped."""
+    """The page as a tree. A tag or comment that the page's end cuts off is dropped."""
     builder = _Builder()
     builder.feed(_CUT_TAG.sub("", html))
+    if builder.rawdata.startswith("<!"):
+        builder.rawdata = ""
     builder.close()
     _keep_main(builder.root)
     return builder.root
 
 
+def names_furniture(words: frozenset[str]) -> bool:
+    """Whether a class, id or role names a menu, advert, comment section or the like."""
+    if words & FURNITURE_WORDS:
+        return True
+    for word in words:
+        parts = [part for part in re.split("[-_]+", word) if part]
+        if len(parts) > 1 and parts[0] not in LACKS:
+            if parts[-1] in FURNITURE_PARTS or (parts[0] in FURNITURE_PARTS and CONTAINERS.issuperset(parts[1:])):
+                return True
+    return False
+
+
 def _keep_main(root: Node) -> None:
-    """Mark what holds an article or main element or, on pages without any, more than half of the text."""
-    order, stack = [], [root]
+    """Mark what holds an article or main element or, on pages without any, more than half of the text.
+
+    Articles that are comments or teasers by their own or an outer element's name are main content only
+    where the page has no other. Where it has main content, headers outside it are spare.
+    """
+    order, stack, mains = [], [(root, False)], []
     while stack:
-        node = stack.pop()
+        node, named = stack.pop()
         order.append(node)
-        stack.extend(c for c in node.children if isinstance(c, Node))
+        named = named or names_furniture(node.words)
+        if node.tag in MAIN:
+            mains.append((node, named))
+        stack.extend((c, named) for c in node.children if isinstance(c, Node))
+    clean = [node for node, named in mains if not named]
+    for node in clean or [node for node, _ in mains]:
+        node.main = True
     sizes: dict[int, int] = {}
     for node in reversed(order):
         inner = [c for c in node.children if isinstance(c, Node)]
-        node.kept = node.tag in MAIN or any(c.kept for c in inner)
+        node.kept = node.main or any(c.kept for c in inner)
         own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
-        sizes[id(node)] = 0 if node.tag in FURNITURE else own + sum(sizes[id(c)] for c in inner)
-    if not root.kept:
+        # A form may be wrapped around the page; other furniture holds none of it.
+        none = node.tag in FURNITURE and node.tag != "form"
+        sizes[id(node)] = 0 if none else own + sum(sizes[id(c)] for c in inner)
+    if root.kept:
+        stack = [root]
+        while stack:
+            node = stack.pop()
+            node.spare = not node.kept and (node.tag == "header" or bool(node.words & {"header", "site-header", "page-header"}))
+            if not node.main:
+                stack.extend(c for c in node.children if isinstance(c, Node))
+    else:
         for node in order:
             node.kept = 2 * sizes[id(node)] > sizes[id(root)]
 
 
 def is_furniture(node: Node) -> bool:
-    return node.tag in FURNITURE or (not node.kept and node.tag not in ("html", "body") and bool(node.words & FURNITURE_WORDS))
+    if node.kept and node.tag in ("form", "header", "aside", "footer", "nav"):
+        return False
+    return node.tag in FURNITURE or node.spare or (not node.kept and node.tag not in ("html", "body") and names_furniture(node.words))
 
 
 def hash_subtrees(root: Node) -> None:
@@ -159,7 +202,7 @@ def template_candidates(root: Node) -> set[int]:
 
     def walk(node: Node) -> tuple[bool, bool]:
         """Whether the subtree has text, and whether it holds main content."""
-        text, main = False, node.tag in MAIN
+        text, main = False, node.main
         if main:
             return True, True
         for child in node.children:
@@ -181,40 +224,80 @@ def template_candidates(root: Node) -> set[int]:
     while stack:
         node = stack.pop()
         order.append(node)
-        if node.tag not in MAIN:
+        if not node.main:
             stack.extend(c for c in node.children if isinstance(c, Node))
     for node in reversed(order):
         results[id(node)] = walk(node)
     return found
 
 
-def main_text(root: Node, template: frozenset[int] | set[int]) -> str:
-    """Text of the blocks that are neither template nor furniture, one to a line."""
-    lines, line = [], []
+def page_spans(root: Node, candidates: set[int]) -> tuple[list[str], list[int], list[int], list[int]]:
+    """The page's text without furniture, as spans: texts, the candidate each lies in, keys and outer candidates.
 
-    def end_line():
-        text = _SPACE.sub(" ", "".join(line)).strip()
-        if text:
-            lines.append(text)
-        line.clear()
-
-    stack: list = [(root, False)]
+    A line feed in a span ends a block. Candidates are numbered in page order, -1 is the page itself; an element
+    of the main content is none.
+    """
+    texts: list[list[str]] = []
+    owners: list[int] = []
+    keys: list[int] = []
+    parents: list[int] = []
+
+    def add(text: str, owner: int) -> None:
+        if not owners or owners[-1] != owner:
+            owners.append(owner)
+            texts.append([])
+        if text != "\n" or not texts[-1] or texts[-1][-1] != "\n":
+            texts[-1].append(text)
+
+    stack: list = [(root, False, -1)]
     while stack:
-        item, own = stack.pop()
+        item, own, owner = stack.pop()
         if item is None:
-            end_line()
+            add("\n", owner)
         elif isinstance(item, str):
-            line.append(item)
+            add(_SPACE.sub(" ", item), owner)
         elif item.tag in ("br", "wbr"):
-            line.append(" " if item.tag == "br" else "")
-        elif not is_furniture(item) and (own or item.key not in template):
-            own = own or item.tag in MAIN
+            add(" " if item.tag == "br" else "", owner)
+        elif not is_furniture(item):
+            if not own and item.key in candidates:
+                keys.append(item.key)
+                parents.append(owner)
+                owner = len(keys) - 1
+            own = own or item.main
             if item.tag in BLOCKS:
-                end_line()
-                stack.append((None, own))
-            stack.extend((child, own) for child in reversed(item.children))
-    end_line()
-    return "\n".join(lines)
+                add("\n", owner)
+                stack.append((None, own, owner))
+            stack.extend((child, own, owner) for child in reversed(item.children))
+    return ["".join(parts) for parts in texts], owners, keys, parents
+
+
+def join_spans(texts, owners, keys, parents, template) -> str:
+    """The blocks of the spans that lie in no element of the template, one to a line."""
+    gone = [False]  # the page itself, as number -1
+    for key, parent in zip(keys, parents, strict=True):
+        gone.insert(len(gone) - 1, key in template or gone[parent])
+    text = "".join(t for t, owner in zip(texts, owners, strict=True) if not gone[owner])
+    lines = (_SPACE.sub(" ", line).strip() for line in text.split("\n"))
+    return "\n".join(line for line in lines if line)
+
+
+def main_text(root: Node, template: frozenset[int] | set[int]) -> str:
+    """Text of the blocks that are neither template nor furniture, one to a line."""
+    return join_spans(*page_spans(root, template), template)
+
+
+SPANS = "texts array<string>, owners array<int>, keys array<long>, parents array<int>, found array<long>, tree long"
+
+
+def read_pages(html: pd.Series) -> pd.DataFrame:
+    """A page's spans, the hashes of its subtrees that may be template, and that of the whole."""
+    rows = []
+    for page in html:
+        root = parse(page)
+        hash_subtrees(root)
+        found = template_candidates(root)
+        rows.append((*page_spans(root, found), list(found), root.key))
+    return pd.DataFrame(rows, columns=["texts", "owners", "keys", "parents", "found", "tree"])
 
 
 def extract_main_text(
@@ -226,75 +309,73 @@ def extract_main_text(
 ) -> DataFrame:
     """page id, url, text and ``n_chars`` (code points) of every page.
 
-    A subtree outside the article is template if at least ``min_pages`` distinct pages of its host have it,
+    A page is parsed once, and only its text and hashes are kept. A subtree outside the article is template if at least ``min_pages`` distinct pages of its host have it,
     however many pages the host has. A page meets only those of its own subtrees that recur. Pages that
     have no host (null url, no ``://``) form one site.
 
     Null html and pages without text give an empty text. Copies of a page count as one page and each give a
     row; null ids and urls stay. Other columns play no part; an empty table gives no rows. Whole pages are read.
     """
-    prepare(pages.sparkSession)
+    spark = pages.sparkSession
+    prepare(spark)
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_column), r"^.*?://([^/?#]*)", 1), F.lit("")))
+    html = F.coalesce(F.col(html_column), F.lit(""))
+    # Each page is parsed once; what follows reads its spans and hashes.
     rows = pages.select(
-        F.col(id_column), F.col(url_column), F.coalesce(F.col(html_column), F.lit("")).alias("_html"), host.alias("_host")
-    ).withColumn("_page", F.xxhash64("_html"))
-
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            hosts, pages, trees, found = [], [], [], []
-            for name, page, html in zip(batch["_host"], batch["_page"], batch["_html"], strict=True):
-                root = parse(html)
-                hash_subtrees(root)
-                own = template_candidates(root)
-                found.extend(own)
-                hosts.extend([name] * len(own))
-                pages.extend([page] * len(own))
-                trees.extend([root.key] * len(own))
-            numbers = {"_page": pages, "tree": trees, "key": found}
-            yield pd.DataFrame({"_host": hosts} | {k: pd.Series(v, dtype="int64") for k, v in numbers.items()})
-
+        F.col(id_column).alias("id"),
+        F.col(url_column).alias("url"),
+        host.alias("host"),
+        F.xxhash64(html).alias("page"),
+        F.pandas_udf(read_pages, SPANS)(html).alias("read"),
+    ).select("id", "url", "host", "page", "read.*")
+    rows = materialize(rows, "spans")
     # copies of a page are one page: each subtree once per distinct tree of its host
-    held = rows.select("_host", "_page", "_html").mapInPandas(keys, "_host string, _page long, tree long, key long")
-    held = materialize(held.distinct(), "subtrees")
-    recurring = (
-        held.select("_host", "tree", "key")
-        .distinct()
-        .groupBy("_host", "key")
-        .count()
-        .where(F.col("count") >= min_pages)
-        .select("_host", "key")
-    )
-    # each page with those of its own subtrees that recur
-    templates = (
-        held.join(recurring, ["_host", "key"], "left_semi")
-        .groupBy("_host", "_page")
-        .agg(F.collect_set("key").alias("_template"))
+    held = rows.select("host", "tree", F.explode("found").alias("key")).distinct()
+    recurring = held.groupBy("host", "key").count().where(F.col("count") >= min_pages).select("host", "key")
+    recurring = materialize(recurring, "recurring")
+    spans = [F.col(c) for c in ("texts", "owners", "keys", "parents")]
+    if recurring.count() <= RECURRING_ROWS:
+        by_host: dict[str, set[int]] = {}
+        for name, key in recurring.toLocalIterator():
+            by_host.setdefault(name, set()).add(key)
+        shared = spark.sparkContext.broadcast(by_host)
+
+        @F.pandas_udf("string")
+        def text_of(host: pd.Series, *parts: pd.Series) -> pd.Series:
+            none: set[int] = set()
+            told = [join_spans(*page, shared.value.get(name, none)) for name, *page in zip(host, *parts, strict=True)]
+            return pd.Series(told, dtype=object)
+
+        told = rows.select("id", "url", text_of(F.col("host"), *spans).alias("text"))
+    else:
+        told = _by_shuffling(rows, recurring, spans)
+    return told.select(
+        F.col("id").alias(id_column), F.col("url").alias(url_column), "text", F.char_length("text").cast("long").alias("n_chars")
     )
-    # Pages with a thousandth of all rows as copies, at most SALTS of them, are dealt out to as many pieces
-    # as they have thousandths; their templates go to each piece, at most 2 * SALTS rows in all.
-    sizes = materialize(rows.groupBy("_host", "_page").agg(F.count("*").alias("copies")), "copies")
+
+
+def _by_shuffling(rows: DataFrame, recurring: DataFrame, spans: list) -> DataFrame:
+    """id, url and text where the recurring subtrees are too many for every worker: a page meets its own.
+
+    Pages with a thousandth of all rows as copies, at most SALTS of them, are dealt out to as many pieces
+    as they have thousandths; their templates go to each piece, at most 2 * SALTS rows in all.
+    """
+    held = rows.select("host", "page", F.explode("keys").alias("key")).distinct()
+    templates = held.join(recurring, ["host", "key"]).groupBy("host", "page").agg(F.collect_set("key").alias("template"))
+    sizes = materialize(rows.groupBy("host", "page").agg(F.count("*").alias("copies")), "copies")
     total = sizes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     large = sizes.where((F.col("copies") * SALTS >= total) & (F.col("copies") > 1)).select(
-        "_host", "_page", F.ceil(F.col("copies") * SALTS / max(total, 1)).cast("int").alias("_pieces")
-    )
-    of_page = ["_host", "_page"]
-    piece = F.pmod(F.xxhash64(id_column, url_column), F.coalesce("_pieces", F.lit(1)))
-    rows = rows.join(F.broadcast(large), of_page, "left").withColumn("_piece", piece.cast("int")).drop("_pieces")
-    pieces = F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)
-    templates = (
-        templates.join(F.broadcast(large), of_page, "left").withColumn("_piece", F.explode(pieces)).drop("_pieces")
+        "host", "page", F.ceil(F.col("copies") * SALTS / max(total, 1)).cast("int").alias("pieces")
     )
+    of_page = ["host", "page"]
+    piece = F.pmod(F.xxhash64("id", "url"), F.coalesce("pieces", F.lit(1)))
+    rows = rows.join(F.broadcast(large), of_page, "left").withColumn("piece", piece.cast("int")).drop("pieces")
+    pieces = F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)
+    templates = templates.join(F.broadcast(large), of_page, "left").withColumn("piece", F.explode(pieces)).drop("pieces")
 
     @F.pandas_udf("string")
-    def text(html: pd.Series, template: pd.Series) -> pd.Series:
-        out = []
-        for page, found in zip(html, template, strict=True):
-            root = parse(page)
-            hash_subtrees(root)
-            out.append(main_text(root, set() if found is None else set(found.tolist())))
-        return pd.Series(out, dtype=object)
-
-    told = rows.join(templates, [*of_page, "_piece"], "left").select(
-        id_column, url_column, text("_html", "_template").alias("text")
-    )
-    return told.withColumn("n_chars", F.char_length("text").cast("long"))
+    def text_of(template: pd.Series, *parts: pd.Series) -> pd.Series:
+        found = (set() if t is None else set(t.tolist()) for t in template)
+        return pd.Series([join_spans(*page, own) for own, *page in zip(found, *parts, strict=True)], dtype=object)
+
+    return rows.join(templates, [*of_page, "piece"], "left").select("id", "url", text_of(F.col("template"), *spans).alias("text"))
