@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import re
+import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -164,28 +166,71 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     stream.close()
 
 
+def _place_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Copy each part to its place in a file that is there already. A repeated task writes the same bytes."""
+    for batch in batches:
+        for part, target, offset in zip(batch["part"], batch["target"], batch["offset"]):
+            with open(file_system(part)[1], "rb") as source, open(file_system(target)[1], "r+b") as out:
+                out.seek(offset)
+                shutil.copyfileobj(source, out, 1 << 20)
+        yield batch[["part"]]
+
+
+def _join_parts(spark: SparkSession, parts: list[tuple[str, int]], target: str) -> None:
+    """Parts (path, length), in order, as one file ``target``.
+
+    The bytes do not pass the driver: a file system that can join files does so by its metadata
+    (HDFS), and on a local one, which all workers share, each part is written to its place by a
+    task. Object stores can do neither; there the parts stream through the driver's client.
+    """
+    fs, path = hadoop_path(spark, target)
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    Path = jvm.org.apache.hadoop.fs.Path
+    scheme = fs.getUri().getScheme()
+    if scheme == "file":
+        offsets = [0, *itertools.accumulate(length for _, length in parts)]
+        # Not through the checksummed file system, which would remember the empty file's checksum.
+        fs.getRaw().create(path, True).close()
+        rows = [(part, target, offset) for (part, _), offset in zip(parts, offsets, strict=False)]
+        plan = spark.createDataFrame(rows, "part string, target string, offset bigint")
+        placed = spread_files(plan, "part").mapInPandas(_place_parts, "part string")
+        if placed.count() != len(parts):
+            raise OSError(f"not all parts of {target} were written")
+        return
+    if scheme in ("hdfs", "viewfs", "webhdfs"):
+        fs.rename(Path(parts[0][0]), path)
+        rest = [part for part, length in parts[1:] if length]
+        if rest:
+            array = gateway.new_array(Path, len(rest))
+            for i, part in enumerate(rest):
+                array[i] = Path(part)
+            fs.concat(path, array)
+        return
+    stream = fs.create(path, True)
+    for part, _ in parts:
+        source = fs.open(Path(part))
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, stream, 1 << 20, False)
+        source.close()
+    stream.close()
+
+
 def to_single_file(df: DataFrame, path: str, write, order: str, head: str = "", tail: str = "") -> None:
     """Rows in order as one file of any length: ``head``, the rows, ``tail``.
 
     The rows are sorted and written as part files by the cluster, whose names
-    follow the order. Their bytes are then joined through the file system, part after
-    part, so that nothing is held in memory; the file gets its name when it is complete.
+    follow the order; head and tail are small files before and behind them. The driver only
+    lists names and lengths (see ``_join_parts``); the file gets its name when it is complete.
     """
     spark = df.sparkSession
     folder, partial = f"{path}.parts-{uuid.uuid4().hex}", f"{path}.partial-{uuid.uuid4().hex}"
     write(df.orderBy(order), folder)
     fs, source = hadoop_path(spark, folder)
-    jvm = spark.sparkContext._jvm
-    names = sorted(s.getPath().getName() for s in fs.listStatus(source))
-    stream = fs.create(hadoop_path(spark, partial)[1], True)
-    stream.write(bytearray(head, "utf-8"))
-    for name in names:
-        if name.startswith("part-"):
-            part = fs.open(jvm.org.apache.hadoop.fs.Path(folder, name))
-            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, stream, 1 << 20, False)
-            part.close()
-    stream.write(bytearray(tail, "utf-8"))
-    stream.close()
+    found = sorted((s.getPath().getName(), s.getLen()) for s in fs.listStatus(source))
+    parts = [(f"{folder}/{name}", length) for name, length in found if name.startswith("part-")]
+    for name, text in (("head", head), ("tail", tail)):
+        write_text(spark, f"{folder}/_{name}", text)
+    head_part, tail_part = (f"{folder}/_head", len(head.encode())), (f"{folder}/_tail", len(tail.encode()))
+    _join_parts(spark, [head_part, *parts, tail_part], partial)
     target = hadoop_path(spark, path)[1]
     fs.delete(target, True)
     fs.rename(hadoop_path(spark, partial)[1], target)

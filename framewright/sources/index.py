@@ -9,6 +9,7 @@ from framewright.functions.licenses import license_from_url
 from framewright.operators.aggregates import with_record_defaults
 from framewright.operators.ordering import first_wins
 from framewright.schema import CLASSES
+from framewright.sources.quoted_csv import read_quoted_csv
 
 BUCKET, LABEL_BUCKETS = "label_bucket", 64
 
@@ -40,15 +41,14 @@ def read_class_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_image_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header CSV of images: seven of its columns, missing values as empty text.
 
-    ``multiLine`` lets quoted titles hold line breaks, and makes a file one
-    task: land large tables as many files.
+    Quoted titles may hold line breaks; a file is still read by a task per range.
     """
-    rows = _csv(spark, header=True, multiLine=True).csv(path)
+    rows = read_quoted_csv(spark, path)
     columns = [
         (F.coalesce(name, F.lit("")) if name in rows.columns else F.lit("")).alias(alias)
         for name, alias in IMAGE_COLUMNS.items()
     ]
-    return _first_line(rows.select(*columns), ["image_id"])
+    return first_wins(rows.select(*columns, "place"), ["image_id"], "place").drop("place")
 
 
 def read_label_csv(spark: SparkSession, path: str) -> DataFrame:

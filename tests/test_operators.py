@@ -229,3 +229,19 @@ def test_scratch_is_shared_and_cleaned(spark, monkeypatch):
     assert os.path.isdir(root)
     session.clean_scratch(spark)
     assert not os.path.exists(root)
+
+
+@pytest.mark.parametrize("orders", [[0, 0, 1, 1, 2, 2, 3, 3, 4, 4], [1, 2, 2, 2, 2, 2, 2, 2, 2, 3], [0, 0, 2, 3, 4, 5, 6, 7, 8, 8]])
+def test_splits_need_an_order(spark, orders):
+    df = spark.createDataFrame([(i,) for i in orders], "ordinal bigint")
+    with pytest.raises(ValueError, match="repeats"):
+        ordering.assign_split(df, 0.1, 0.1)
+    with pytest.raises(ValueError, match="null"):
+        ordering.assign_split(df.limit(1).union(spark.sql("SELECT CAST(NULL AS BIGINT)")), 0.1, 0.1)
+
+
+def test_repeats_that_cross_no_cut_do_no_harm(spark):
+    df = spark.createDataFrame([(i,) for i in [0, 0, 0, 3, 4, 5, 6, 7, 8, 9]], "ordinal bigint")
+    rows = ordering.assign_split(df, 0.1, 0.1).collect()
+    assert sorted((r.ordinal, r.split) for r in rows)[-2:] == [(8, "val"), (9, "test")]
+    assert sum(r.split == "train" for r in rows) == 8
