@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,23 @@ def text_slices(batches: Iterator[pd.DataFrame], column: str, chars: int) -> Ite
             yield batch.iloc[start:]
 
 
+def byte_slices(batches: Iterator[pd.DataFrame], columns: list[str], most: int) -> Iterator[pd.DataFrame]:
+    """Cut batches so that the binary columns of each hold about ``most`` bytes, or one longer row."""
+    for batch in batches:
+        sizes = sum((batch[c].map(len).to_numpy() for c in columns), np.zeros(len(batch), np.int64))
+        number = np.cumsum(sizes) // most
+        for n in np.unique(number):
+            yield batch[number == n]
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that the table does not have yet: ``name`` with underscores in front."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer's file, or ``name`` itself if it is a path."""
     if os.path.sep in name:

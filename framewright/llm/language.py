@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.llm.common import prepare, text_slices, unit_hash
+from framewright.llm.common import prepare, text_slices, unit_hash, unused
 
 BUCKETS = 4096
 #: Characters of texts turned into vectors at a time.
@@ -244,6 +244,7 @@ def identify_languages(
             out.loc[part.index, "rejected"] = rejected
         return out
 
-    told = kept.withColumn("_told", predict(F.col(text_column)))
-    return told.select(*kept.columns, *[F.col(f"_told.{n[len(prefix):]}").alias(n) for n in names])
+    result = unused("_told", kept.columns)
+    told = kept.withColumn(result, predict(F.col(text_column)))
+    return told.select(*kept.columns, *[F.col(result).getField(n[len(prefix) :]).alias(n) for n in names])
 

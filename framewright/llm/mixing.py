@@ -193,25 +193,27 @@ def mixed_documents(
     of which nothing is taken go. The edge cases are those of ``mix_sources``.
     """
     prepare(docs.sparkSession)
-    narrow = _keyed(docs, [source_column], id_column, text_column, seed)
-    plan = _plan(materialize(narrow, "sizes"), weights, share, max_epochs, source_column)
-    columns = docs.columns
+    # The document travels as one struct, so that its columns may have any names.
+    size, key = word_count(F.col(text_column)).alias("_size"), seeded_key(id_column, seed).alias("_key")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    narrow = docs.select(F.col(source_column).alias("_source"), size, key)
+    plan = _plan(materialize(narrow, "sizes"), weights, share, max_epochs, "_source")
     rows = (
-        _keyed(docs, columns, id_column, text_column, seed)
-        .join(plan, F.col(source_column).eqNullSafe(F.col("_from")))
+        docs.select(whole, F.col(source_column).alias("_source"), size, key)
+        .join(plan, F.col("_source").eqNullSafe(F.col("_from")))
         .withColumn("_taken", _taken())
         .where("_taken > 0")
     )
     full = F.floor(F.col("_taken") / F.col("_size")).cast("int")
     rest = (F.col("_taken") % F.col("_size")).cast("int")
     turns = F.concat(F.array_repeat(F.lit(0), full), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    rows = rows.withColumn("_first_words", F.explode(turns))
-    words = F.slice(F.regexp_extract_all(F.col(text_column), F.lit(WORD), F.lit(0)), 1, F.col("_first_words"))
-    text = F.when(F.col("_first_words") > 0, F.array_join(words, " ")).otherwise(F.col(text_column))
-    rows = rows.withColumn(text_column, text)
+    rows = rows.select("_doc", F.explode(turns).alias("_first_words"))
+    field = F.col("_doc").getField
+    in_part = F.col("_first_words") > 0
+    words = F.slice(F.regexp_extract_all(field(text_column), F.lit(WORD), F.lit(0)), 1, F.col("_first_words"))
+    text = F.when(in_part, F.array_join(words, " ")).otherwise(field(text_column))
+    replaced = {text_column: text}
     if length_column is not None:
-        length = F.char_length(text_column).cast(docs.schema[length_column].dataType)
-        rows = rows.withColumn(
-            length_column, F.when(F.col("_first_words") > 0, length).otherwise(F.col(length_column))
-        )
-    return rows.select(*columns)
+        length = F.char_length(text).cast(docs.schema[length_column].dataType)
+        replaced[length_column] = F.when(in_part, length).otherwise(field(length_column))
+    return rows.select(*[replaced.get(c, field(c)).alias(c) for c in docs.columns])

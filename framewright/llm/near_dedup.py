@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from framewright.llm.common import prepare, text_slices
+from framewright.llm.common import byte_slices, prepare, text_slices
 from framewright.session import materialize
 
 SHINGLE = 5
@@ -44,8 +44,8 @@ MORE_LEADERS = 16
 RARE = 8
 #: Equal places of two texts that are listed, and columns of the table that is used beyond them.
 MOST_PLACES, BLOCK_BITS = 10_000_000, 1 << 14
-SLICE_CHARS = 400_000
-CACHED_WORDS = 300_000
+SLICE_CHARS, SLICE_BYTES = 400_000, 1 << 20
+CACHED_WORDS = 100_000
 _WORD = re.compile(r"\w+")
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -296,7 +296,7 @@ def _similar(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose alignment reaches ``least``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in byte_slices(batches, ["words_a", "words_b"], SLICE_BYTES):
             keep = [
                 similar(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), least)
                 for x, y in zip(batch["words_a"], batch["words_b"], strict=True)
@@ -378,7 +378,7 @@ def _shingle_rows(words: DataFrame) -> DataFrame:
     """(shingle, node) of all nodes, equal shingles of a node told apart."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in byte_slices(batches, ["words"], SLICE_BYTES):
             found = [labelled(np.frombuffer(w, np.uint16)) for w in batch["words"]]
             keys = np.concatenate(found) if found else np.zeros(0, np.uint64)
             nodes = np.repeat(batch["node"].to_numpy(), [len(x) for x in found])

@@ -29,7 +29,7 @@ _MARKS = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 #: How the tokenizer cuts a word; fixed values of its file.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Words kept with their ids by one worker; beyond this the memory starts anew.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 200_000
 #: Token ids sent in one Arrow batch.
 BATCH_TOKENS = 1_000_000
 

@@ -57,3 +57,30 @@ def test_empty_tables(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHES = ["target", "source_size", "_size", "_key", "_whole", "_doc", "_rejected", "_lang_pred", "_score", "score", "_told", "_quality"]
+
+
+def test_clashing_columns_nulls_ties_and_long_texts(spark, tmp_path):
+    """Every stage keeps all columns and their values, whatever they are called."""
+    sample = spark.read.parquet(f"{SF}/documents.parquet").limit(120).collect()
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in sample]
+    rows += [rows[3], rows[3], (None, rows[4][1], None, None, 5), (900, None, "en", None, None), (901, "", None, "a", 0)]
+    rows += [(902, rows[5][1] * 200, "en", "a", 9), (903, "!!", "de", "b", 2)]
+    schema = ODD + "".join(f", {c} string" for c in CLASHES)
+    spark.createDataFrame([(*r, *[f"{c}{r[0]}" for c in CLASHES]) for r in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(
+        [(r[0], i % 2, 0) for i, r in enumerate(rows)] + [(None, 1, 0), (1, None, None)], "doc_id long, quality int, toxic int"
+    ).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = materialize(stage(spark, docs, str(tmp_path)), name)
+        assert after.columns == docs.columns
+        for r in after.collect():
+            assert all(r[c] == f"{c}{r['doc_id']}" for c in CLASHES)
+            assert name == "mixing" or (r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) in rows
+        docs = after
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sum(r["start"] == 0 for r in packed) == docs.count()
