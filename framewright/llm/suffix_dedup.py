@@ -31,6 +31,9 @@ GRAM = 64
 #: Pieces of one core that are sorted together at most, and symbols of one suffix array.
 GROUP_PIECES, SORT_SYMBOLS = 2000, 1 << 17
 
+#: Pieces that a task sorts, some seconds of work.
+TASK_PIECES = 20_000
+
 #: Windows of a piece at first.
 SPAN = 64
 
@@ -361,7 +364,9 @@ def repeated_in_pieces(pieces: DataFrame) -> DataFrame:
         cores = pieces.groupBy("core").agg(F.count(F.lit(1)).alias("in_core")).where("in_core > 1")
         met = materialize(pieces.join(cores, "core"), "pieces")
         small = met.where(F.col("in_core") <= GROUP_PIECES).drop("in_core")
-        sorted_by_core = small.repartition("core").sortWithinPartitions("core")
+        # The number of tasks is that of the work: sorting takes far longer than its bytes tell.
+        tasks = max(small.sparkSession.sparkContext.defaultParallelism, -(-small.count() // TASK_PIECES))
+        sorted_by_core = small.repartition(tasks, "core").sortWithinPartitions("core")
         found.append(sorted_by_core.mapInPandas(sort_pieces, WINDOWS))
         large = met.where(F.col("in_core") > GROUP_PIECES).drop("in_core")
         if large.isEmpty():
