@@ -19,7 +19,7 @@ from framewright.operators import ordering
 from framewright.session import scratch_path
 from framewright.sources import index, providers
 from framewright.sources.images import image_signals, list_files, read_image_files
-from framewright.sources.manifest import Manifest, known_hashes
+from framewright.sources.manifest import Manifest, PartitionedManifest, known_hashes
 from framewright.streaming.ingest import incremental_ingest
 
 # The label index: parts are classes, orders are images, line items are labels.
@@ -565,15 +565,16 @@ def manifest_hashes(spark, sf_dir):
     return known_hashes(hashed.unionByName(missing))
 
 
-@check(
-    f"""
+UPSERTED = f"""
 WITH {RECORDS}, b AS (
   SELECT r.ordinal FROM rec r JOIN labels l ON l.doc_id = r.ordinal)
 SELECT id, CASE WHEN b.ordinal IS NULL THEN description ELSE 'updated' END AS description,
   CASE WHEN b.ordinal IS NULL THEN r.ordinal
     ELSE (SELECT max(ordinal) + 1 FROM rec) + r.ordinal - (SELECT min(ordinal) FROM b) END AS ordinal
 FROM rec r LEFT JOIN b ON b.ordinal = r.ordinal"""
-)
+
+
+@check(UPSERTED)
 def manifest_upsert(spark, sf_dir):
     """Labelled documents come a second time; the later row replaces and moves to the end."""
     manifest = Manifest(spark, scratch_path(spark, "manifest"))
@@ -585,6 +586,21 @@ def manifest_upsert(spark, sf_dir):
     return manifest.read().select("id", "description", "ordinal")
 
 
+@check(
+    f"""
+SELECT * FROM ({UPSERTED}) WHERE id NOT IN (SELECT 'doc-' || doc_id FROM documents WHERE lang = 'fr')"""
+)
+def manifest_partitions(spark, sf_dir):
+    """The same upsert in partitions by id, and then all French documents go."""
+    manifest = PartitionedManifest(spark, scratch_path(spark, "manifest"), 16)
+    everything = records(spark, sf_dir)
+    manifest.upsert(everything)
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ordinal"))
+    manifest.upsert(everything.join(labelled, "ordinal", "left_semi").withColumn("description", F.lit("updated")))
+    manifest.remove_many(everything.where(F.col("query") == "fr"))
+    return manifest.read().select("id", "description", "ordinal")
+
+
 @check(
     f"""
 WITH {RECORDS} SELECT id, (SELECT count(*) FROM labels) AS n_removed FROM rec

@@ -1,14 +1,15 @@
 """The manifest: a Parquet table of records, kept as whole versions.
 
 A write never touches the version that is being read. Rows are written to a folder
-of their own, which becomes the next version once its number is claimed, so a failed
-or repeated job leaves no half table and two writers never take one number. A change
-that another writer has overtaken is made again from the newer version.
+of their own, which a rename makes the next version, so a failed or repeated job leaves no
+half table and two writers never take one number. A change that another writer has
+overtaken is made again from the newer version. A large table with small changes and one
+writer is better kept as a ``PartitionedManifest``, which rewrites only what changes.
 """
 
 from __future__ import annotations
 
-import time
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -22,10 +23,6 @@ from framewright.schema import MANIFEST, ORDINAL
 from framewright.session import hadoop_path, materialize
 
 
-#: How long a claimed version may take to appear before its writer counts as dead.
-CLAIM_SECONDS = 60
-
-
 class Manifest:
     """Upsert by id, look-up by source and (source, source_id)."""
 
@@ -73,26 +70,24 @@ class Manifest:
     def _commit(self, staged: str, base: int) -> bool:
         """Make a staged folder the version after ``base``; false if another writer has it.
 
-        Creating the claim is the one step that a single writer can win. A claim without
-        its version stands for a writer that is about to rename its folder, or died there.
+        The one step that a single writer can win is a rename that fails where the version is there already.
+        What a dead writer left under the number, without its rows' ``_SUCCESS``, goes first.
         """
-        number = base + 1
-        fs, claim = hadoop_path(self.spark, f"{self.path}/claim-{number:08d}")
+        fs, folder = hadoop_path(self.spark, f"{self.path}/v{base + 1:08d}")
+        if fs.exists(folder) and base + 1 not in self.versions():
+            fs.delete(folder, True)
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            folder.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()
+        )
+        source = hadoop_path(self.spark, staged)[1]
         try:
-            fs.create(claim, False).close()
+            context.rename(source, folder, gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
         except Py4JJavaError as error:
-            if not fs.exists(claim):
-                raise error
-            for _ in range(CLAIM_SECONDS):
-                if self._latest() > base:
-                    return False
-                time.sleep(1)
-            # The writer that claimed this version is dead: its claim is taken back.
-            fs.delete(claim, False)
-            return False
-        folder = hadoop_path(self.spark, f"{self.path}/v{number:08d}")[1]
-        fs.delete(folder, True)
-        return bool(fs.rename(hadoop_path(self.spark, staged)[1], folder))
+            if base + 1 in self.versions():
+                return False
+            raise error
+        return True
 
     def _replace(self, change) -> None:
         """Write ``change(table)`` as the next version, again from the newer table on a conflict."""
@@ -158,6 +153,70 @@ class Manifest:
         return removed
 
 
+class PartitionedManifest:
+    """The manifest in partitions by a hash of the id: a change rewrites the partitions of its ids only.
+
+    Spark's own dynamic partition overwrite replaces them, so there are no versions, and one writer at a time. A
+    job that fails before it commits changes nothing; after one that died while committing, the
+    same batch is given again, which writes the same rows. The number of partitions is that of the first write.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, partitions: int = 256):
+        self.spark, self.path = spark, path.rstrip("/")
+        fs, root = hadoop_path(spark, self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        told = [m for m in (re.fullmatch(r"part_of_(\d+)=\d+", name) for name in names) if m]
+        self.partitions = int(told[0][1]) if told else partitions
+        self.column = f"part_of_{self.partitions}"
+        self.empty = not told
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn(self.column, F.pmod(F.xxhash64("id"), F.lit(self.partitions)).cast("int"))
+
+    def _table(self) -> DataFrame:
+        if self.empty:
+            return self._placed(self.spark.createDataFrame([], MANIFEST))
+        placed = self._placed(self.spark.createDataFrame([], MANIFEST))
+        return self.spark.read.schema(placed.schema).parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self._table().drop(self.column)
+
+    def _rewrite(self, ids: DataFrame, added: DataFrame | None) -> None:
+        """Take rows with the given ids out of their partitions, and put rows in."""
+        touched = [r[0] for r in self._placed(ids.select("id")).select(self.column).distinct().collect()]
+        table = self._table()
+        rest = table.where(F.col(self.column).isin(touched)).join(ids.select("id"), "id", "left_anti")
+        rows = rest.select(table.columns)
+        if added is not None:
+            rows = rows.unionByName(self._placed(added).select(table.columns))
+        rows = rows.repartition(F.col(self.column)).sortWithinPartitions(self.column, "source", "source_id")
+        # What leaves a partition without rows is not overwritten: its folder goes.
+        left = materialize(rows, "partitions")
+        filled = {r[0] for r in left.select(self.column).distinct().collect()}
+        writer = left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(self.column).parquet(self.path)
+        for number in set(touched) - filled:
+            fs, folder = hadoop_path(self.spark, f"{self.path}/{self.column}={number}")
+            fs.delete(folder, True)
+        self.empty = self.empty and not filled
+
+    def upsert(self, batch: DataFrame) -> None:
+        """Insert or replace by id. Written rows go to the end of the order."""
+        newest = materialize(last_wins(batch.select(*MANIFEST.names)), "batch")
+        low = newest.agg(F.min(ORDINAL)).first()[0] or 0
+        top = self._table().agg(F.coalesce(F.max(ORDINAL) + 1, F.lit(0))).first()[0]
+        self._rewrite(newest, newest.withColumn(ORDINAL, F.col(ORDINAL) + (top - low)))
+
+    def remove_many(self, ids: DataFrame) -> int:
+        """Delete by id; returns how many rows went."""
+        ids = materialize(ids.select("id").distinct(), "ids")
+        removed = removed_count(self.read(), ids)
+        if removed:
+            self._rewrite(ids, None)
+        return removed
+
+
 def known_hashes(records: DataFrame) -> DataFrame:
     return records.where("phash is not null").select("phash")
 

@@ -9,9 +9,10 @@ from framewright import session
 from framewright.operators.ordering import resolve_name_collision, split_sizes
 from framewright.plans.curate import curate
 from framewright.plans.maintain import merge_datasets, merge_records, refilter_marks
+from framewright.session import materialize
 from framewright.sinks import layouts
 from framewright.sources import index
-from framewright.sources.manifest import Manifest
+from framewright.sources.manifest import Manifest, PartitionedManifest
 
 
 def test_merge_keeps_records_that_share_ids(spark, frame, tmp_path):
@@ -132,13 +133,41 @@ def test_two_writers_keep_both_batches(spark, frame, tmp_path):
     assert sorted(r.ordinal for r in manifest.read().collect()) == [0, 1, 2]
 
 
-def test_dead_claim_is_taken_back(spark, frame, tmp_path, monkeypatch):
-    monkeypatch.setattr("framewright.sources.manifest.CLAIM_SECONDS", 1)
+def test_what_a_dead_writer_left_does_no_harm(spark, frame, tmp_path):
     manifest = Manifest(spark, f"{tmp_path}/m")
-    os.makedirs(manifest.path)
+    os.makedirs(f"{manifest.path}/v00000001")
     open(f"{manifest.path}/claim-00000001", "w").close()
+    open(f"{manifest.path}/v00000001/part-0.parquet", "w").close()
     manifest.write(frame({"id": "a"}))
-    assert manifest.count() == 1
+    assert manifest.count() == 1 and manifest.versions() == [1]
+
+
+def files_of(path):
+    return {os.path.join(d, n) for d, _, names in os.walk(path) for n in names if n.endswith(".parquet")}
+
+
+def test_few_changed_ids_rewrite_few_partitions(spark, frame, tmp_path):
+    table = PartitionedManifest(spark, f"{tmp_path}/p", 16)
+    assert table.read().count() == 0 and table.remove_many(frame({"id": "x"})) == 0
+    table.upsert(frame(*[{"id": str(i), "source_id": str(i), "ordinal": i} for i in range(400)]))
+    before = files_of(tmp_path / "p")
+    assert len({os.path.dirname(f) for f in before}) == 16
+    again = PartitionedManifest(spark, f"{tmp_path}/p", 99)  # the first number of partitions holds
+    again.upsert(frame({"id": "7", "source_id": "7", "description": "new", "ordinal": 3}, {"id": "new", "source_id": "n", "ordinal": 5}))
+    after = files_of(tmp_path / "p")
+    changed = {os.path.dirname(f) for f in before ^ after}
+    assert 1 <= len(changed) <= 2
+    assert sum(os.path.getsize(f) for f in after - before) < 0.3 * sum(map(os.path.getsize, after))
+    rows = {r.id: r for r in again.read().collect()}
+    assert len(rows) == 401 and rows["7"].description == "new" and (rows["7"].ordinal, rows["new"].ordinal) == (400, 402)
+    # Repeating a batch that may have been committed in part gives the same rows.
+    again.upsert(frame({"id": "7", "source_id": "7", "description": "new"}))
+    assert again.read().count() == 401
+    assert again.remove_many(frame({"id": "7"}, {"id": "none"}, {"id": "8"})) == 2 and again.read().count() == 399
+    everything = materialize(again.read().select("id"), "ids")
+    assert again.remove_many(everything) == 399 and again.read().count() == 0
+    again.upsert(frame({"id": "1"}, {"id": "1", "ordinal": 4, "description": "last"}))
+    assert [r.description for r in PartitionedManifest(spark, f"{tmp_path}/p").read().collect()] == ["last"]
 
 
 def test_label_search_reads_its_folders_only(spark, tmp_path):
