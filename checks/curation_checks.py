@@ -698,6 +698,36 @@ def refilter_dataset(spark, sf_dir):
     return manifest.read().select("id")
 
 
+@check(
+    f"""
+WITH RECURSIVE {SIGNALS}, {RECORDS}, passed AS (
+  SELECT ordinal, bits FROM hashes JOIN sharp USING (ordinal) JOIN documents ON doc_id = ordinal
+  WHERE lang <> 'de' AND n_chars * 40 >= 10240 AND blur_score >= 1000.0),
+{greedy('passed')}
+SELECT id FROM rec JOIN kept USING (ordinal)"""
+)
+def refilter_many(spark, sf_dir):
+    """The same with limits that many records pass; German records have no file."""
+    manifest = Manifest(spark, scratch_path(spark, "manifest"))
+    manifest.write(
+        records(spark, sf_dir).withColumn("local_path", F.concat(F.lit("raster/"), "source_id", F.lit(".png")))
+    )
+    landed = table(spark, sf_dir, "documents").where("lang <> 'de'").select(F.col("doc_id").alias("ordinal"))
+    decoded = [F.col(c) for c in ("height", "width", "nChannels", "data")]
+    listing = (
+        images(spark, sf_dir)
+        .join(landed, "ordinal", "left_semi")
+        .select(
+            "path", (F.col("length") * 40).alias("length"), "width", "height",
+            pixels.blur_score(*decoded).alias("blur_score"), pixels.phash(*decoded).alias("phash"),
+        )
+    )
+    refilter(
+        manifest, listing, min_width=32, min_height=32, min_sharpness=1000.0, dedup_threshold=10
+    )
+    return manifest.read().select("id")
+
+
 @check(
     f"""
 WITH RECURSIVE {PHASH}, {RECORDS}, both_sets AS (
