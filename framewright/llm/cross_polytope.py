@@ -2,10 +2,10 @@
 
 A unit vector is turned by a pseudo-rotation (three rounds of random signs and a
 fast Hadamard transform) and hashed to the nearest signed axis. Several tables
-use rotations of their own; in large indexes a second, shorter rotation splits
-each axis further, so that buckets stay about the same size. A query looks into the
-buckets of its nearest axes in every table, and every candidate found there is
-ranked by its exact cosine.
+use rotations of their own; a second, shorter rotation splits
+each axis into cells, the more the larger the index, so that cells stay about the same size. A query looks into
+the cells nearest to it over all tables together, those that miss the nearest cell of their table by the
+smallest margin, and every candidate found there is ranked by its exact cosine.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from framewright.session import materialize
 
 #: Rows of a bucket that one task compares with the bucket's queries at a time.
 PART_ROWS = 4096
+#: Queries whose distances to all cells are held at once.
+QUERY_ROWS = 32
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -58,15 +60,26 @@ class Hashes:
         z = self._turned(x, table, 1)[:, : self.fine // 2]
         return (axes[:, :, None] + np.concatenate([z, -z], axis=1)[:, None, :]).reshape(len(x), -1)
 
+    def places(self, x: np.ndarray) -> np.ndarray:
+        """The nearest bucket of each row in every table: (rows, tables)."""
+        x = np.pad(x, ((0, 0), (0, self.width - self.dims)))
+        out = np.empty((len(x), len(self.signs)), np.int64)
+        for table in range(len(self.signs)):
+            y = self._turned(x, table, 0)
+            out[:, table] = np.concatenate([y, -y], axis=1).argmax(axis=1)
+            if self.fine > 1:
+                z = self._turned(x, table, 1)[:, : self.fine // 2]
+                out[:, table] = out[:, table] * self.fine + np.concatenate([z, -z], axis=1).argmax(axis=1)
+        return out
+
     def probes(self, x: np.ndarray, count: int) -> np.ndarray:
-        """Buckets of each row in every table, the nearest ``count``: (rows, tables, count)."""
-        out = np.empty((len(x), len(self.signs), count), np.int32)
+        """The ``count`` buckets of all tables, as table * buckets + bucket, that miss their table's nearest least."""
+        behind = []
         for table in range(len(self.signs)):
             near = self.closeness(x, table)
-            some = np.argpartition(-near, min(count, near.shape[1] - 1), axis=1)[:, :count]
-            order = np.argsort(-np.take_along_axis(near, some, axis=1), axis=1, kind="stable")
-            out[:, table] = np.take_along_axis(some, order, axis=1)
-        return out
+            behind.append(near.max(axis=1, keepdims=True) - near)
+        behind = np.concatenate(behind, axis=1)
+        return np.argpartition(behind, min(count, behind.shape[1]) - 1, axis=1)[:, :count]
 
 
 def fine_buckets(rows: int, dims: int, bucket_rows: int) -> int:
@@ -80,9 +93,9 @@ def nearest_neighbours(
     index: DataFrame,
     queries: DataFrame,
     k: int = 5,
-    tables: int = 24,
-    probes: int = 6,
-    bucket_rows: int = 4096,
+    tables: int = 16,
+    probes: int = 7,
+    bucket_rows: int = 8,
     seed: int = 3,
     id_column: str = "vec_id",
     vector_column: str = "embedding",
@@ -95,8 +108,10 @@ def nearest_neighbours(
     no part. Equal vectors are one entry that keeps the k + 1 smallest ids, which is
     all that can be returned of them; so copies fill no bucket. An id that occurs twice is
     two candidates with one id, of which the nearer is returned; as a query it is answered for its
-    first vector. Buckets are cut into parts of about ``PART_ROWS`` rows, and every query of a bucket meets every
-    part, so that no bucket is capped. Other columns play no part; empty tables give no rows.
+    first vector. Cells hold about ``bucket_rows`` rows, and a query looks into ``probes`` cells a table on average, times
+    the root of the number of cells that an axis is split into. The cells of an axis are one group, cut into parts of
+    about ``PART_ROWS`` rows, and every query of a group meets every part, so that no cell is
+    capped. Other columns play no part; empty tables give no rows.
     """
     spark = index.sparkSession
     prepare(spark)
@@ -124,63 +139,83 @@ def nearest_neighbours(
     if not n:
         return empty
     dims = entries.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()["d"]
-    hashes = Hashes(dims, tables, fine_buckets(n, dims, bucket_rows), seed)
-
-    def hashed(df: DataFrame, names: str, count: int) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                x = np.stack(batch["v"].to_numpy()).astype(float) if len(batch) else np.zeros((0, dims))
-                scale = np.abs(x).max(axis=1, keepdims=True)
-                x = x / scale
-                x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-                yield batch.assign(buckets=list(hashes.probes(x, count).reshape(len(x), -1)))
-
-        wide = df.where(F.size("v") == dims).mapInPandas(run, f"{names}, buckets array<int>")
-        named = [f.split()[0] for f in names.split(", ")]
-        return wide.select(*named, F.posexplode("buckets").alias("at", "bucket")).select(
-            *named, F.floor(F.col("at") / count).cast("int").alias("table"), "bucket"
-        )
+    fine = fine_buckets(n, dims, bucket_rows)
+    hashes = Hashes(dims, tables, fine, seed)
+    axes = 2 * hashes.width
+    looks = min(round(tables * probes * fine**0.5), tables * axes * fine)
 
-    placed = hashed(entries, f"v array<{kind}>, ids array<bigint>", 1)
-    sizes = placed.groupBy("table", "bucket").count()
-    parts = materialize(
-        sizes.select("table", "bucket", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("parts")), "parts"
+    def unit(batch: pd.DataFrame) -> np.ndarray:
+        return unit_rows(np.stack(batch["v"].to_numpy()).astype(float)) if len(batch) else np.zeros((0, dims))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(places=list(hashes.places(unit(batch))))
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row for each group of cells that a query looks into."""
+        for batch in batches:
+            for begin in range(0, len(batch), QUERY_ROWS):
+                some = batch.iloc[begin : begin + QUERY_ROWS]
+                found = np.sort(hashes.probes(unit(some), looks), axis=1)
+                of = np.repeat(np.arange(len(some)), found.shape[1])
+                groups, cells = found.ravel() // fine, (found.ravel() % fine).astype(np.int32)
+                cuts = np.flatnonzero((of[1:] != of[:-1]) | (groups[1:] != groups[:-1])) + 1
+                firsts = np.concatenate([[0], cuts])
+                yield pd.DataFrame(
+                    {
+                        "v": some["v"].to_numpy()[of[firsts]],
+                        "id": some["id"].to_numpy()[of[firsts]],
+                        "bucket": groups[firsts],
+                        "cells": np.split(cells, cuts),
+                    }
+                )
+
+    of_size = F.size("v") == dims
+    placed = (
+        entries.where(of_size)
+        .mapInPandas(place, f"v array<{kind}>, ids array<bigint>, places array<bigint>")
+        .select("v", "ids", F.posexplode("places").alias("table", "place"))
+        .select(
+            "v",
+            "ids",
+            (F.col("table") * axes + F.floor(F.col("place") / fine)).alias("bucket"),
+            (F.col("place") % fine).cast("int").alias("cell"),
+        )
     )
+    sizes = placed.groupBy("bucket").count()
+    parts = materialize(sizes.select("bucket", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("parts")), "parts")
     asked = usable(queries).select("id", flat.alias("v")).groupBy("v").agg(F.min("id").alias("some"))
     asked = materialize(asked.select("v", F.col("some").alias("id")), "queries")
     probing = (
-        hashed(asked, f"v array<{kind}>, id bigint", probes)
-        .join(parts, ["table", "bucket"])
+        asked.where(of_size)
+        .mapInPandas(look, f"v array<{kind}>, id bigint, bucket bigint, cells array<int>")
+        .join(parts, "bucket")
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .drop("parts")
     )
-    filled = placed.join(parts.toDF("table", "bucket", "pieces"), ["table", "bucket"]).withColumn(
+    filled = placed.join(parts.withColumnRenamed("parts", "pieces"), "bucket").withColumn(
         "part", F.pmod(F.xxhash64("v"), F.col("pieces")).cast("int")
     )
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = {"asked": "int64", "v": "object", "score": "float64"}
         if not len(left) or not len(right):
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in columns.items()} | {"ids": pd.Series(dtype="object")})
+            return pd.DataFrame({"asked": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "score": pd.Series(dtype=float)})
+        left = left.sort_values("cell", kind="stable")
         x = np.stack(left["v"].to_numpy()).astype(float)
         q = np.stack(right["v"].to_numpy()).astype(float)
-        found = []
-        for begin in range(0, len(q), 256):
-            scores = cosines(q[begin : begin + 256], x)
-            take = min(k + 1, len(x))
-            limit = np.partition(scores, len(x) - take, axis=1)[:, len(x) - take]
-            for row, least in zip(range(len(scores)), limit, strict=True):
-                near = np.flatnonzero(scores[row] >= least - 1e-9)
-                exact = exact_cosines(q[begin + row], x[near])
-                found.append(
-                    pd.DataFrame(
-                        {"asked": right["id"].iloc[begin + row], "ids": left["ids"].iloc[near].to_numpy(), "score": exact}
-                    )
-                )
-        return pd.concat(found)
+        ours, theirs, scores = candidates(q, right["cells"].tolist(), x, left["cell"].to_numpy())
+        kept = best_of_each(ours, scores, k + 1)
+        ours, theirs = ours[kept], theirs[kept]
+        return pd.DataFrame(
+            {
+                "asked": right["id"].to_numpy()[ours],
+                "ids": left["ids"].to_numpy()[theirs],
+                "score": exact_cosines(q[ours], x[theirs]),
+            }
+        )
 
-    met = filled.groupBy("table", "bucket", "part").cogroup(probing.groupBy("table", "bucket", "part")).applyInPandas(
-        lambda left, right: meet(left, right)[["asked", "ids", "score"]], "asked long, ids array<bigint>, score double"
+    met = filled.groupBy("bucket", "part").cogroup(probing.groupBy("bucket", "part")).applyInPandas(
+        meet, "asked long, ids array<bigint>, score double"
     )
     near = met.withColumn("id", F.explode("ids")).groupBy("asked", "id").agg(F.max("score").alias("score"))
     order = W.partitionBy("asked").orderBy(F.desc("score"), "id")
@@ -198,14 +233,54 @@ def nearest_neighbours(
     )
 
 
-def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Cosines by matrix product, right to about 1e-12."""
-    scale_q, scale_x = np.abs(q).max(axis=1, keepdims=True), np.abs(x).max(axis=1, keepdims=True)
-    q, x = q / scale_q, x / scale_x
-    return (q / np.sqrt((q * q).sum(axis=1, keepdims=True))) @ (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).T
+def candidates(
+    q: np.ndarray, cells: list[np.ndarray], x: np.ndarray, cell: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, cosine) of the rows in the cells that each query looks into; ``cell`` rises."""
+    of = np.repeat(np.arange(len(q)), [len(c) for c in cells])
+    wanted = np.concatenate(cells)
+    order = np.argsort(wanted, kind="stable")
+    of, wanted = of[order], wanted[order]
+    names, firsts = np.unique(wanted, return_index=True)
+    lasts = np.append(firsts[1:], len(wanted))
+    ours, theirs, scores = [], [], []
+    q, x = unit_rows(q), unit_rows(x)
+    begins, ends = np.searchsorted(cell, names), np.searchsorted(cell, names, "right")
+    for first, last, begin, end in zip(firsts, lasts, begins, ends, strict=True):
+        if begin < end:
+            some = of[first:last]
+            scores.append((q[some] @ x[begin:end].T).ravel())
+            ours.append(np.repeat(some, end - begin))
+            theirs.append(np.tile(np.arange(begin, end), len(some)))
+    none = np.zeros(0, np.int64)
+    return (
+        np.concatenate(ours) if ours else none,
+        np.concatenate(theirs) if theirs else none,
+        np.concatenate(scores) if scores else np.zeros(0),
+    )
+
+
+def best_of_each(of: np.ndarray, scores: np.ndarray, count: int) -> np.ndarray:
+    """Places of each query's ``count`` best scores, and of those that rounding could put among them."""
+    order = np.lexsort((-scores, of))
+    of, scores = of[order], scores[order]
+    firsts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(firsts, len(of)))
+    limit = scores[firsts + np.minimum(sizes, count) - 1] if len(of) else scores
+    return order[scores >= np.repeat(limit, sizes) - 1e-9]
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which changes no digit of a cosine, so that no square overflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=1e-300))[1])
 
 
 def exact_cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Cosines in double precision, each by sums of its own vectors in one order."""
-    products, own, theirs = (x * q).sum(axis=1), np.sqrt((q * q).sum()), np.sqrt((x * x).sum(axis=1))
-    return products / (own * theirs)
+    """Cosines of rows in double precision, each by sums of its own two vectors in one order."""
+    q, x = _scaled(q), _scaled(x)
+    return (x * q).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1)))

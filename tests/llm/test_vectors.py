@@ -83,15 +83,42 @@ def test_hadamard_is_orthogonal():
 def test_hash_is_the_nearest_axis():
     hashes = Hashes(6, 3, 4, 1)
     x = np.random.default_rng(0).normal(size=(50, 6))
-    probes = hashes.probes(x, 5)
-    for table in range(3):
-        near = hashes.closeness(x, table)
-        assert near.shape == (50, 2 * 8 * 4)
-        want = -np.sort(-near, axis=1)[:, :5]
-        assert np.allclose(np.take_along_axis(near, probes[:, table], axis=1), want)
+    near = np.stack([hashes.closeness(x, table) for table in range(3)], axis=1)
+    assert near.shape == (50, 3, 2 * 8 * 4)
+    assert (hashes.places(x) == near.argmax(axis=2)).all()
+    behind = (near.max(axis=2, keepdims=True) - near).reshape(50, -1)
+    probes = hashes.probes(x, 9)
+    assert np.allclose(np.sort(np.take_along_axis(behind, probes, axis=1)), np.sort(behind, axis=1)[:, :9])
     assert fine_buckets(1000, 64, 4096) == 1 and fine_buckets(10**8, 64, 4096) > 100
 
 
+def test_large_components(spark):
+    rows = [(i, [x * 1e200 for x in v]) for i, v in enumerate(vectors(60, 6, 8).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest_neighbours(df, df.where("vec_id % 50 = 0"), 5).collect()
+    want = plain_cosines([(i, [x / 1e200 for x in v]) for i, v in rows], lambda q: q % 50 == 0, 5)
+    assert got and all(-1 <= r["score"] <= 1.0000001 for r in got)
+    assert sum(r["vec_id"] in {i for _, i in want[r["query_id"]]} for r in got) >= 9
+
+
+def test_pruning_and_recall_on_twenty_thousand_rows():
+    """Nearly random vectors, as the driver's: few rows are scored, and nearly all neighbours found."""
+    x = np.random.default_rng(5).normal(size=(20_000, 64))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    fine = fine_buckets(len(x), 64, 8)
+    hashes = Hashes(64, 16, fine, 3)
+    own = np.concatenate([hashes.places(x[i : i + 2000]) for i in range(0, len(x), 2000)])
+    found = looked = 0
+    for q in range(100):
+        probes = hashes.probes(x[q : q + 1], round(16 * 7 * fine**0.5))[0]
+        hit = np.stack([np.isin(own[:, t], probes[probes // (128 * fine) == t] % (128 * fine)) for t in range(16)], axis=1)
+        looked += hit.sum()
+        cosines = x @ x[q]
+        cosines[q] = -2
+        found += hit[np.argsort(-cosines)[:5]].any(axis=1).sum()
+    assert found >= 0.9 * 500 and looked <= 0.3 * 100 * len(x)
+
+
 def plain_cosines(rows, asked, k):
     dims = len(rows[0][1])
     good = [(i, np.asarray(v, np.float64)) for i, v in rows if i is not None and v is not None and len(v) == dims
