@@ -18,8 +18,8 @@ from pyspark.sql import Window as W
 from framewright.llm.common import prepare
 from framewright.session import materialize
 
-#: Rows of one block of the index, and queries of one block.
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 256
+#: Rows of one block of the index, and most queries of one block.
+BLOCK_ROWS, BLOCK_QUERIES = 8192, 4096
 
 
 def quantised(vector: Column, scale: int) -> Column:
@@ -43,6 +43,18 @@ class Slices:
         self.bits = np.stack([pack((padded >> np.uint64(b)) & np.uint64(1)) for b in range(self.depth)], axis=1)
         self.inverse = ~self.bits
 
+    def stored(self) -> dict[str, bytes | int]:
+        """The index of the block as columns of a table."""
+        return {"size": self.rows, "depth": self.depth, "low": self.low.tobytes(), "bits": self.bits.tobytes()}
+
+    @classmethod
+    def loaded(cls, size: int, depth: int, low: bytes, bits: bytes) -> Slices:
+        block = cls.__new__(cls)
+        block.rows, block.depth, block.low = size, depth, np.frombuffer(low, np.int64)
+        block.bits = np.frombuffer(bits, np.uint64).reshape(len(block.low), depth, -1)
+        block.inverse = ~block.bits
+        return block
+
     def scores(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Slices of the inner product, least digit first, and the constant to add.
 
@@ -167,8 +179,8 @@ def top_k_products(
     go to the smaller id. Null vectors and such with null, NaN or infinite components, null
     ids and vectors of another length than the most usual one take no part; an id that occurs twice is two
     candidates, and as a query it is answered once for each distinct vector. Empty tables give
-    no rows. Each block of queries meets each block of rows once; only k rows of each
-    meeting are shuffled. Other columns play no part.
+    no rows. The bitmaps of a block of rows are built once; each block of queries meets each of them once, and only k
+    rows of each meeting are shuffled. Components beyond 2^57 in size have no defined score. Other columns play no part.
     """
     spark = index.sparkSession
     prepare(spark)
@@ -183,25 +195,45 @@ def top_k_products(
     if not n or not m:
         return spark.createDataFrame([], f"query_id long, rank int, {id_column} long, score long")
     dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()["d"]
-    row_blocks, query_blocks = -(-n // BLOCK_ROWS), -(-m // BLOCK_QUERIES)
+    row_blocks, cores = -(-n // BLOCK_ROWS), spark.sparkContext.defaultParallelism
+    # Few blocks of rows leave cores idle: then the queries are cut further.
+    query_blocks = max(-(-m // BLOCK_QUERIES), min(-(-2 * cores // row_blocks), -(-m // 64)))
     of = lambda blocks: F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")
-    blocked = rows.where(F.size("v") == dims).select(
-        "id", "v", of(row_blocks).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb")
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        slices = Slices(np.stack(rows["v"].to_numpy()).astype(np.int64))
+        return pd.DataFrame([{"rb": rows["rb"].iloc[0], "ids": rows["id"].to_numpy(np.int64).tobytes()} | slices.stored()])
+
+    # Each block's bitmaps are built once and stored; a component takes as many bits as its digits.
+    blocked = rows.where(F.size("v") == dims).select("id", "v", of(row_blocks).alias("rb"))
+    columns = "rb int, ids binary, size long, depth int, low binary, bits binary"
+    blocks = materialize(blocked.groupBy("rb").applyInPandas(build, columns), "slices").withColumn(
+        "qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
     )
     asked = asked.where(F.size("v") == dims).select(
         "id", "v", of(query_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb")
     )
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ids, found = left["id"].to_numpy(), []
+        found = []
         if len(left) and len(right):
-            slices = Slices(np.stack(left["v"].to_numpy()).astype(np.int64))
+            block = left.iloc[0]
+            slices = Slices.loaded(block["size"], block["depth"], block["low"], block["bits"])
+            ids = np.frombuffer(block["ids"], np.int64)
             for own, query in zip(right["id"], right["v"], strict=True):
                 best, scores = block_top(slices, ids, np.asarray(query, np.int64), own, k)
-                found.append(pd.DataFrame({"query_id": own, "query": hash(tuple(query)), "id": best, "score": scores}))
-        return pd.concat(found) if found else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "query", "id", "score")})
-
-    parts = blocked.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInPandas(
+                found.append((own, hash(tuple(query)), best, scores))
+        sizes = [len(best) for *_, best, _ in found]
+        return pd.DataFrame(
+            {
+                "query_id": np.repeat(np.array([f[0] for f in found], np.int64), sizes),
+                "query": np.repeat(np.array([f[1] for f in found], np.int64), sizes),
+                "id": np.concatenate([f[2] for f in found]) if found else np.zeros(0, np.int64),
+                "score": np.concatenate([f[3] for f in found]) if found else np.zeros(0, np.int64),
+            }
+        )
+
+    parts = blocks.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInPandas(
         meet, "query_id long, query long, id long, score long"
     )
     best = W.partitionBy("query_id", "query").orderBy(F.desc("score"), "id")
