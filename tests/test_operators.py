@@ -245,3 +245,12 @@ def test_repeats_that_cross_no_cut_do_no_harm(spark):
     rows = ordering.assign_split(df, 0.1, 0.1).collect()
     assert sorted((r.ordinal, r.split) for r in rows)[-2:] == [(8, "val"), (9, "test")]
     assert sum(r.split == "train" for r in rows) == 8
+
+
+def test_image_ids_need_an_order(spark):
+    df = spark.createDataFrame([(5, "a", "x"), (9, "b", "x"), (2, "a", "y")], "ordinal bigint, split string, name string")
+    rows = {(r.ordinal, r.image_id, r.name) for r in ordering.coco_image_id(df).collect()}
+    assert rows == {(2, 1, "y"), (5, 2, "x"), (9, 1, "x")}
+    for wrong in (5, None):
+        with pytest.raises(ValueError, match="nulls or repeated"):
+            ordering.coco_image_id(df.union(spark.createDataFrame([(wrong, "a", "z")], df.schema)))
