@@ -56,3 +56,16 @@ def test_empty_table_and_other_names(spark):
     assert pack_documents(docs, id_column="key", text_column="body").count() == 0
     with pytest.raises(ValueError):
         pack_documents(docs, max_tokens=1000, id_column="key", text_column="body")
+
+
+def test_forgotten_words_are_learned_again(monkeypatch):
+    from framewright.llm import packing
+
+    monkeypatch.setattr(packing, "CACHED_WORDS", 5)
+    words = packing.WordEncoder(tokenizer_path("word_bpe_49k.json"))
+    plain = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    texts = [f"the word{i % 11} of it, and number {i % 7}." for i in range(60)]
+    for i in range(0, 60, 3):
+        for text, ids in zip(texts[i : i + 3], words.encode(texts[i : i + 3]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert len(words.words) <= 5 + 40
