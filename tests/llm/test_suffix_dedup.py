@@ -119,3 +119,13 @@ def test_leftmost_least():
     values = np.random.default_rng(1).integers(0, 4, 500, dtype=np.uint64) << np.uint64(40)
     want = [i + int(np.argmin(values[i : i + 37])) for i in range(500 - 36)]
     assert leftmost_least(values, 37).tolist() == want
+
+
+def test_documents_table(spark):
+    from framewright.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows = QUERIES["op12_suffix_dedup"](spark, sf).collect()
+    assert sorted((tuple(r) for r in rows), key=repr) == brute(docs, 400)
+    assert sum(r["n_removed"] > 0 for r in rows) > 10
