@@ -30,7 +30,7 @@ _MARKS = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Words kept with their ids by one worker, twice: the words of late, and those of before, which are forgotten
 #: unless they occur again.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 400_000
 #: Token ids sent in one Arrow batch.
 BATCH_TOKENS = 1_000_000
 
@@ -57,15 +57,12 @@ class WordEncoder:
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [None if _is_odd(text) else text.lower().split() for text in texts]
         if len(self.words) > CACHED_WORDS:
             self.before, self.words = self.words, {}
-        if len(self.parts) > CACHED_WORDS:
-            self.parts.clear()
         fresh = set().union(*filter(None, split)).difference(self.words)
         known = fresh.intersection(self.before)
         self.words.update((word, self.before[word]) for word in known)
@@ -76,7 +73,11 @@ class WordEncoder:
 
     def _learn(self, fresh: set[str]) -> None:
         cut = {word: _PARTS.findall(word) for word in fresh}
-        parts = list({part for found in cut.values() for part in found}.difference(self.parts))
+        # Most words are one part, and most parts of the others are words that are known.
+        of: dict[str, bytes] = {}
+        for part in {part for found in cut.values() for part in found}:
+            of[part] = self.words.get(part) or self.before.get(part) or b""
+        parts = [part for part, ids in of.items() if not ids]
         for first in range(0, len(parts), 1024):
             some = parts[first : first + 1024]
             ids = np.asarray(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
@@ -84,12 +85,11 @@ class WordEncoder:
             if len(at) == len(some):
                 raw, start = ids.tobytes(), 0
                 for part, end in zip(some, (4 * at).tolist(), strict=True):
-                    self.parts[part] = raw[start:end]
+                    of[part] = raw[start:end]
                     start = end
             else:
-                self.parts.update(zip(some, self._whole(some), strict=True))
-        of = self.parts.__getitem__
-        self.words.update((word, b"".join(map(of, found))) for word, found in cut.items())
+                of.update(zip(some, self._whole(some), strict=True))
+        self.words.update((word, b"".join([of[part] for part in found])) for word, found in cut.items())
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
