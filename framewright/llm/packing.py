@@ -28,9 +28,8 @@ _ODD = re.compile("[^\x00-\x84\x86-\x9f\xa1-\u024f]")
 _MARKS = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 #: How the tokenizer cuts a word; fixed values of its file.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: Words kept with their ids by one worker, twice: the words of late, and those of before, which are forgotten
-#: unless they occur again.
-CACHED_WORDS = 500_000
+#: Words kept with their ids by one worker; beyond this the memory starts anew.
+CACHED_WORDS = 1_000_000
 #: Token ids sent in one Arrow batch.
 BATCH_TOKENS = 1_000_000
 
@@ -56,17 +55,13 @@ class WordEncoder:
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [None if _is_odd(text) else text.lower().split() for text in texts]
         if len(self.words) > CACHED_WORDS:
-            self.before, self.words = self.words, {}
-        fresh = set().union(*filter(None, split)).difference(self.words)
-        known = fresh.intersection(self.before)
-        self.words.update((word, self.before[word]) for word in known)
-        self._learn(fresh - known)
+            self.words.clear()
+        self._learn(set().union(*filter(None, split)).difference(self.words))
         of = self.words.__getitem__
         odd = iter(self._whole([t for t, words in zip(texts, split, strict=True) if words is None]))
         return [next(odd) if words is None else b"".join(map(of, words)) for words in split]
@@ -76,7 +71,7 @@ class WordEncoder:
         # Most words are one part, and most parts of the others are words that are known.
         of: dict[str, bytes] = {}
         for part in {part for found in cut.values() for part in found}:
-            of[part] = self.words.get(part) or self.before.get(part) or b""
+            of[part] = self.words.get(part) or b""
         parts = [part for part, ids in of.items() if not ids]
         for first in range(0, len(parts), 4096):
             some = parts[first : first + 4096]
