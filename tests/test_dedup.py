@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions.hashing import covering_masks, deep_cover, light_cover
 from framewright.operators import dedup
-from framewright.operators.dedup import duplicate_ordinals, first_near, mark_duplicates, near_dedup, near_pairs
+from framewright.operators.dedup import duplicate_ordinals, first_near, mark_duplicates, near_dedup, near_links, near_pairs
 
 SCHEMA = "ordinal bigint, phash string"
 
@@ -215,3 +215,36 @@ def test_first_near(spark, threshold, options, monkeypatch):
 def test_first_near_of_nothing(spark):
     assert first_near(spark.createDataFrame([], SCHEMA)).count() == 0
     assert first_near(spark.createDataFrame([(1, H), (2, None)], SCHEMA), 30).count() == 0
+
+
+def test_links_of_each_record(spark):
+    """A row per record: quadratic numbers of pairs are counted, block against block, and not listed."""
+    data = clusters(300, 4, 6, 17) + [(5000, None), (5001, "zz"), (5002, H), (5003, H)]
+    valid = sorted((o, int(h, 16)) for o, h in data if h and len(h) == 16)
+    firsts = {}
+    for ordinal, value in valid:
+        firsts.setdefault(value, ordinal)
+    expected = [
+        (o, firsts[v], sum(0 < bin(v ^ other).count("1") <= 10 for other in firsts)) for o, v in valid
+    ]
+    df = spark.createDataFrame(data, SCHEMA)
+    for block_rows in (None, 50):
+        assert sorted(tuple(r) for r in near_links(df, block_rows=block_rows).collect()) == expected
+
+
+@pytest.mark.parametrize("scan_pairs", [0, 8e12])
+def test_crowds_are_scanned_up_to_a_size(spark, scan_pairs, monkeypatch):
+    """Crowded tables are decided by scans, in several blocks; larger ones by covers and prefixes."""
+    monkeypatch.setattr(dedup, "SCAN_PAIRS", scan_pairs)
+    monkeypatch.setattr(dedup, "WIDE_ROWS", 60)
+    calls = []
+    scan = dedup._wide_survivors
+    monkeypatch.setattr(dedup, "_wide_survivors", lambda *args: calls.append(1) or scan(*args))
+    options = {"bucket_rows": 8, "min_comparisons": 2000, "comparisons_per_row": 1}
+    data = clusters(300, 6, 8, 23)
+    seeds = [h for _, h in data[::31]]
+    assert dropped(spark, data, 10, **options) == greedy(data, 10)
+    assert dropped(spark, data, 10, seeds, **options) == greedy(data, 10, seeds)
+    assert bool(calls) == (scan_pairs > 0)
+    found = first_near(spark.createDataFrame(data, SCHEMA), 10, **options)
+    assert sorted(tuple(r) for r in found.collect()) == first_neighbour(data, 10)
