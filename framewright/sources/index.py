@@ -9,9 +9,12 @@ from framewright.functions.licenses import license_from_url
 from framewright.operators.aggregates import with_record_defaults
 from framewright.operators.ordering import first_wins
 from framewright.schema import CLASSES
+from framewright.session import materialize
 from framewright.sources.quoted_csv import read_quoted_csv
 
 BUCKET, LABEL_BUCKETS = "label_bucket", 64
+# Images or hits that one task of a search sorts.
+_ROWS_PER_TASK = 250_000
 
 # Column names of the image table's CSV and ours.
 IMAGE_COLUMNS = {
@@ -87,6 +90,15 @@ def class_search(classes: DataFrame, text: str) -> DataFrame:
     return classes.where(F.lower("display_name").like(pattern))
 
 
+def _select(images: DataFrame, hits: DataFrame, rows: int) -> DataFrame:
+    """The images with a hit. Runs of ids compress so well that adaptive execution, which goes by
+    bytes, would sort too many of them in one task: large tables are dealt out by their rows."""
+    tasks = -(-rows // _ROWS_PER_TASK)
+    if tasks > images.sparkSession.sparkContext.defaultParallelism:
+        images, hits = images.repartition(tasks, "image_id"), hits.repartition(tasks, "image_id")
+    return images.join(hits, "image_id", "left_semi")
+
+
 def search_index(
     classes: DataFrame,
     images: DataFrame,
@@ -98,12 +110,15 @@ def search_index(
 
     Two semi-joins, no DISTINCT over wide rows: matched classes thin out the
     label pairs, which then select images. Neither side is hinted; the matched
-    classes are broadcast while they are small.
+    classes are written first, and broadcast while they are small.
     """
     keys = [c for c in (BUCKET, "label_name") if c in image_labels.columns and c in classes.columns]
     matched = class_search(classes, text).select(*keys)
+    if BUCKET not in keys:
+        # Classes of unknown size would shuffle the labels by class, a frequent one into one task.
+        matched = materialize(matched, "classes")
     hits = image_labels.join(matched, keys, "left_semi").select("image_id")
-    found = images.where(F.col("original_url") != "").join(hits, "image_id", "left_semi")
+    found = _select(images.where(F.col("original_url") != ""), hits, max(hits.count(), images.count()))
     return found if count is None else found.orderBy("image_id").limit(count)
 
 

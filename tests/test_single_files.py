@@ -32,3 +32,18 @@ def test_coco_object(spark, frame, tmp_path):
     for split, count in (("train", 20), ("val", 5)):
         with open(tmp_path / "annotations" / f"{split}.json", encoding="utf-8") as file:
             assert len(json.load(file)["images"]) == count
+
+
+def test_a_large_search_is_dealt_out_by_rows(spark, monkeypatch):
+    """Ids that compress well do not end in a few tasks."""
+    from pyspark.sql import functions as F
+
+    from framewright.sources import index
+
+    monkeypatch.setattr(index, "_ROWS_PER_TASK", 100)
+    images = spark.range(8000).select(F.col("id").alias("image_id"), F.lit("u").alias("original_url"))
+    labels = images.select("image_id", F.when(F.col("image_id") % 4 == 0, "R").otherwise("N").alias("label_name"))
+    classes = spark.createDataFrame([("R", "Returned"), ("N", "New")], "label_name string, display_name string")
+    found = index.search_index(classes, images, labels.unionByName(labels), "return")
+    assert found.rdd.getNumPartitions() == 80
+    assert sorted(r.image_id for r in found.collect()) == list(range(0, 8000, 4))
