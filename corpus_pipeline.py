@@ -22,6 +22,10 @@ from framewright.llm.quality import score_quality, train_quality
 from framewright.session import materialize
 
 
+#: Words that a packing worker remembers: the models of the stages before are in memory too.
+PACKING_WORDS = 200_000
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents near enough to a centroid of some language; null texts and such without a letter go.
 
@@ -60,7 +64,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of power-of-two lengths; null and empty texts give their closing id alone."""
-    return pack_documents(docs)
+    return pack_documents(docs, most_words=PACKING_WORDS)
 
 
 STAGES = [

@@ -47,9 +47,10 @@ class WordEncoder:
     the tokenizer whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_words: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
+        self.most_words = most_words
         self.tokenizer = Tokenizer.from_file(path)
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, bool)
@@ -59,7 +60,7 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [None if _is_odd(text) else text.lower().split() for text in texts]
-        if len(self.words) > CACHED_WORDS:
+        if len(self.words) > self.most_words:
             self.words.clear()
         self._learn(set().union(*filter(None, split)).difference(self.words))
         of = self.words.__getitem__
@@ -93,8 +94,8 @@ class WordEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str, most_words: int) -> WordEncoder:
+    return WordEncoder(path, most_words)
 
 
 def piece_lengths(tokens: int, longest: int) -> list[int]:
@@ -111,6 +112,7 @@ def pack_documents(
     max_tokens: int = 2048,
     id_column: str = "doc_id",
     text_column: str = "text",
+    most_words: int = CACHED_WORDS,
 ) -> DataFrame:
     """One row per piece, which is a sequence: id, start, length, ids, doc_tokens, …
 
@@ -122,7 +124,8 @@ def pack_documents(
 
     Null and empty texts give the closing id alone. Null ids stay null, repeated
     rows are packed each for itself, other columns are left out, and an empty
-    table gives no rows. Texts of any length are taken whole.
+    table gives no rows. Texts of any length are taken whole. A worker remembers the ids of
+    ``most_words`` words or little more: fewer take less memory and more time.
     """
     if max_tokens < 1 or max_tokens & (max_tokens - 1):
         raise ValueError("max_tokens has to be a power of two")
@@ -158,12 +161,12 @@ def pack_documents(
         )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(path)
+        words = encoder(path, most_words)
         for batch in batches:
-            names, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            rows, found, tokens = [], [], 0
-            for first in range(0, len(texts), 256):
-                for place, ids in enumerate(words.encode(texts[first : first + 256]), first):
+            names, rows, found, tokens = batch.column(0), [], [], 0
+            for first in range(0, batch.num_rows, 256):
+                texts = [t or "" for t in batch.column(1).slice(first, 256).to_pylist()]
+                for place, ids in enumerate(words.encode(texts), first):
                     ids += end
                     total, start = len(ids) // 4, 0
                     for length in piece_lengths(total, max_tokens):

@@ -69,3 +69,16 @@ def test_forgotten_words_are_learned_again(monkeypatch):
         for text, ids in zip(texts[i : i + 3], words.encode(texts[i : i + 3]), strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
         assert len(words.words) <= 5 + 40
+
+
+def test_a_small_memory_of_words_changes_no_row(spark):
+    """A pipeline's workers hold other models too: their memory of words is bounded by its caller."""
+    texts = [" ".join(f"w{chr(97 + i % 26)}{j}" for j in range(i * 40, i * 40 + 60)) for i in range(600)]
+    words = WordEncoder(PATH, 500)
+    for first in range(0, 600, 20):
+        words.encode(texts[first : first + 20])
+        assert len(words.words) <= 500 + 20 * 60
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    columns = ["doc_id", "start", "ids_crc32", "doc_tokens"]
+    few, many = (sorted(pack_documents(docs, **kw).select(*columns).collect()) for kw in ({"most_words": 500}, {}))
+    assert few == many
