@@ -248,3 +248,12 @@ def test_crowds_are_scanned_up_to_a_size(spark, scan_pairs, monkeypatch):
     assert bool(calls) == (scan_pairs > 0)
     found = first_near(spark.createDataFrame(data, SCHEMA), 10, **options)
     assert sorted(tuple(r) for r in found.collect()) == first_neighbour(data, 10)
+
+
+def test_records_without_a_place_pass_a_scanned_crowd(spark):
+    data = clusters(300, 3, 9, 11)
+    df = spark.createDataFrame([*data, (None, H)], SCHEMA)
+    kept = near_dedup(df, bucket_rows=8, min_comparisons=2000, comparisons_per_row=1)
+    gone = set(greedy(data, 10))
+    assert sorted(r[0] for r in kept.where("ordinal is not null").select("ordinal").collect()) == sorted({o for o, _ in data} - gone)
+    assert kept.where("ordinal is null").count() == 1
