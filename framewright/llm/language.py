@@ -44,6 +44,20 @@ def term_counts(texts: list[str]) -> np.ndarray:
     return counts
 
 
+def packed(row: np.ndarray) -> bytes:
+    """A row of counts without its zeros: the numbers of the terms (16 bits), then their counts."""
+    terms = np.flatnonzero(row)
+    return terms.astype("<u2").tobytes() + row[terms].astype("<f4").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    """The row of counts that ``packed`` was given."""
+    n = len(raw) // 6
+    row = np.zeros(BUCKETS, np.float32)
+    row[np.frombuffer(raw, "<u2", n)] = np.frombuffer(raw, "<f4", n, 2 * n)
+    return row
+
+
 def bands_of(counts: np.ndarray) -> np.ndarray:
     """Place of each row's number of n-grams among ``BANDS``."""
     return np.searchsorted(BANDS, counts.sum(axis=1), "right") - 1
@@ -142,7 +156,7 @@ def train_languages(
 
     Document frequencies count every labelled row. The clusters are fitted on a
     seeded sample of about ``per_language`` rows of each language (all of a rare one), the only
-    rows that reach the driver, as vectors of ``BUCKETS`` numbers. Every third row of the sample is left out of
+    rows that reach the driver, as their counts without zeros (``packed``). Every third row of the sample is left out of
     the clusters; cut to the shortest length of each of ``BANDS``, these rows set the least cosine of a language
     between its own low ones and those of the other languages' rows (``_limits``). The shortest texts, which
     show too little, need ``slack`` times the first percentile of the whole rows.
@@ -169,7 +183,7 @@ def train_languages(
         for part in text_slices(batches, "text", SLICE_CHARS):
             whole = term_counts(part["text"].tolist())
             held = part["held"].astype(bool)
-            out = [(lang, -2 if h else -1, row.tobytes()) for lang, h, row in zip(part["lang"], held, whole, strict=True)]
+            out = [(lang, -2 if h else -1, packed(row)) for lang, h, row in zip(part["lang"], held, whole, strict=True)]
             for lang, text in part.loc[held, ["lang", "text"]].itertuples(index=False):
                 raw = text.encode("utf-8", "replace")
                 for band in range(1, len(BANDS)):
@@ -177,32 +191,48 @@ def train_languages(
                     piece = raw[: BANDS[band] // 2 + 2].decode("utf-8", "ignore")
                     counts = term_counts([piece])
                     if bands_of(counts)[0] == band:
-                        out.append((lang, band, counts[0].tobytes()))
+                        out.append((lang, band, packed(counts[0])))
             yield pd.DataFrame(out, columns=["lang", "band", "v"])
 
     found = sample.mapInPandas(vectors, "lang string, band int, v binary").collect() if sizes else []
-    # rows come in any order: sort, so that the model is the same each time
-    found = sorted((r["lang"], r["band"], bytes(r["v"])) for r in found)
-    languages = tuple(sorted({lang for lang, _, _ in found}))
-    vector: dict[tuple[str, int], np.ndarray] = {}
-    for language in languages:
-        for band in (-2, -1, *range(1, len(BANDS))):
-            rows_of = [np.frombuffer(v, np.float32) for lang, b, v in found if lang == language and b == band]
-            vector[language, band] = unit_rows(np.log1p(np.stack(rows_of)) * idf) if rows_of else np.empty((0, BUCKETS), np.float32)
-    centroids, of, least = [], [], []
+    languages = tuple(sorted({r["lang"] for r in found}))
+    rows_of: dict[tuple[str, int], list[bytes]] = {}
+    while found:
+        r = found.pop()
+        rows_of.setdefault((r["lang"], r["band"]), []).append(bytes(r["v"]))
+
+    def vector(language: str, band: int) -> np.ndarray:
+        """Unit vectors of one language and band, the only ones that are unpacked at a time."""
+        if (language, band) not in rows_of:
+            return np.empty((0, BUCKETS), np.float32)
+        counts = np.stack([unpacked(v) for v in rows_of[language, band]])
+        # rows come in any order: sort, so that the model is the same each time
+        order = sorted(range(len(counts)), key=lambda i: counts[i].tobytes())
+        return unit_rows(np.log1p(counts[order]) * idf)
+
+    centroids, of, least, few, loose = [], [], [], [], []
     for place, language in enumerate(languages):
-        fitted, held = vector[language, -1], vector[language, -2]
-        few = len(fitted) < clusters
-        own = _clusters(np.concatenate([fitted, held]) if few else fitted, clusters)
-        nearest = lambda x: (x @ own.T).max(axis=1)  # noqa: B023, E731
-        loose = slack * np.quantile(nearest(np.concatenate([fitted, held])), 0.01)
-        mine, theirs = [np.empty(0)], [np.empty(0)]
-        for band in range(1, len(BANDS)):
-            mine.append(nearest(vector[language, band][: 0 if few else None]))
-            theirs.append(np.concatenate([nearest(vector[o, band]) for o in languages if o != language] or [np.empty(0)]))
-        least += [_limits(mine, theirs, loose)] * len(own)
+        fitted, held = vector(language, -1), vector(language, -2)
+        both = np.concatenate([fitted, held])
+        few.append(len(fitted) < clusters)
+        own = _clusters(both if few[-1] else fitted, clusters)
+        loose.append(slack * np.quantile((both @ own.T).max(axis=1), 0.01))
         centroids.append(own)
         of += [place] * len(own)
+    # Cosines per centroids' language, band and texts' language.
+    near: dict[tuple[int, int, int], np.ndarray] = {}
+    for band in range(1, len(BANDS)):
+        for other, language in enumerate(languages):
+            rows = vector(language, band)
+            for place, own in enumerate(centroids):
+                x = rows[: 0 if place == other and few[place] else None]
+                near[place, band, other] = (x @ own.T).max(axis=1)
+    for place, own in enumerate(centroids):
+        mine, theirs = [np.empty(0)], [np.empty(0)]
+        for band in range(1, len(BANDS)):
+            mine.append(near[place, band, place])
+            theirs.append(np.concatenate([near[place, band, o] for o in range(len(languages)) if o != place] or [np.empty(0)]))
+        least += [_limits(mine, theirs, loose[place])] * len(own)
     stacked = np.concatenate(centroids) if centroids else np.zeros((1, BUCKETS), np.float32)
     return LanguageModel(languages, np.asarray(of or [0]), stacked.astype(np.float32), idf, np.asarray(least or [np.full(len(BANDS), 2.0)]))
 

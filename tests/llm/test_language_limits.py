@@ -20,3 +20,13 @@ def test_a_language_left_out_and_noise_are_rejected(spark):
     told = {"own": share(taught.where(fold("doc_id", 4) == 2)), "es": share(docs.where("lang = 'es'")), "noise": share(noisy)}
     print(told)
     assert told["own"] <= 0.01 and told["es"] >= 0.9 and told["noise"] >= 0.95, told
+
+
+def test_sample_rows_reach_the_driver_without_their_zeros():
+    """A dense row of counts takes 16 KB, whatever the text's length; the driver got all of the sample's."""
+    from framewright.llm.language import BUCKETS, packed, term_counts, unpacked
+
+    rows = term_counts(["a short text", "", "x" * 70_000])
+    for row in rows:
+        assert (unpacked(packed(row)) == row).all() and unpacked(packed(row)).dtype == row.dtype
+        assert len(packed(row)) == 6 * (row > 0).sum() < 4 * BUCKETS / 10
