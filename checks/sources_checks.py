@@ -849,17 +849,14 @@ def incremental_ingest_order(spark, sf_dir):
     """Records enter in landing order; those whose file is gone are picked up again."""
     landing, state = scratch_path(spark, "landing"), scratch_path(spark, "state")
     manifest = Manifest(spark, scratch_path(spark, "manifest"))
-    pages = _broken_pages(spark, sf_dir).select("ordinal").join(
-        _unsplash_pages(spark, sf_dir).select(
-            F.regexp_extract("page", r'"id":"(\d+)"', 1).cast("bigint").alias("ordinal"), F.col("page").alias("value"), "query"
-        ),
-        "ordinal",
-    )
+    pages = _unsplash_pages(spark, sf_dir).select(
+        F.regexp_extract("page", r'"id":"(\d+)"', 1).cast("bigint").alias("ordinal"), F.col("page").alias("value"), "query"
+    ).where("ordinal is not null")
     files = table(spark, sf_dir, "documents").where("doc_id % 7 > 0").select(
         F.concat(F.lit("img/"), "doc_id", F.lit(".jpg")).alias("path")
     )
     for batch in (pages.where(F.col("query").isin("en", "de")), pages):
-        batch.orderBy("ordinal").select("value").write.mode("append").text(landing)
+        batch.orderBy("ordinal").select("value").write.mode("append").text(landing, compression="gzip")
         run = incremental_ingest(spark, landing, manifest, "unsplash", state, "q", files=lambda: files)
         run.awaitTermination()
         if batch is not pages:
@@ -880,6 +877,6 @@ def incremental_ingest_pages(spark, sf_dir):
     pages = _unsplash_pages(spark, sf_dir).withColumnRenamed("page", "value")
     first = pages.where(F.col("query").isin("en", "de")).select("value")
     for batch in (first, pages.select("value")):
-        batch.write.mode("append").text(landing)
+        batch.write.mode("append").text(landing, compression="gzip")
         incremental_ingest(spark, landing, manifest, "unsplash", state, "q").awaitTermination()
     return manifest.read().select("source", "source_id", "description", "query")

@@ -17,6 +17,9 @@ from framewright.functions.text import decoded_path, normalize_path
 from framewright.session import materialize
 from framewright.sinks.files import file_system, spread_files
 
+#: Files, and bytes of them, that a task of the scan reads.
+TASK_FILES, TASK_BYTES = 1024, 1 << 27
+
 
 def glob_pattern(pattern: str) -> str:
     """A file name pattern (``*``, ``?``, ``[ab]``, ``{a,b}``) as a regular expression."""
@@ -87,12 +90,20 @@ def file_heads(paths: pd.Series) -> pd.Series:
     return pd.Series(heads, dtype=object)
 
 
+def _scan_tasks(listed: DataFrame) -> int:
+    """Tasks of a scan of these files: as many as files or bytes ask for, and several per core for few files."""
+    files, size = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    cores = listed.sparkSession.sparkContext.defaultParallelism
+    return max(-(-files // TASK_FILES), -(-size // TASK_BYTES), 4 * cores)
+
+
 def read_image_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Every file with its size, first bytes and decoded pixels: path, length, head, height,
     width, nChannels, data. What cannot be decoded has null pixels.
 
     One scan: the size comes from the file metadata, so pixels are never joined. Spark's
-    readers leave out empty files; these come from the listing.
+    readers leave out empty files; these come from the listing. The scan counts every file as some
+    megabytes, which gives a task 32 small files at most; its parts are put together by the sizes listed.
     """
     files = (
         spark.read.format("image")
@@ -100,17 +111,17 @@ def read_image_files(spark: SparkSession, path: str, pattern: str = "*") -> Data
         .option("pathGlobFilter", pattern)
         .load(path)
     )
-    place = decoded_path(F.col("_metadata.file_path"))
+    listed = list_files(spark, path, pattern)
     scanned = files.select(
-        place.alias("path"),
+        decoded_path(F.col("_metadata.file_path")).alias("path"),
         F.col("_metadata.file_size").alias("length"),
-        file_heads(place).alias("head"),
         *[
             F.when(F.col("image.width") > 0, F.col(f"image.{c}")).alias(c)
             for c in ("height", "width", "nChannels", "data")
         ],
-    )
-    empty = list_files(spark, path, pattern).where("length = 0")
+    ).coalesce(_scan_tasks(listed))
+    scanned = scanned.select("path", "length", file_heads(F.col("path")).alias("head"), *scanned.columns[2:])
+    empty = listed.where("length = 0")
     nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in scanned.schema.fields[2:]]
     return scanned.unionByName(empty.select("path", "length", *nothing))
 

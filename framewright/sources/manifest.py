@@ -64,7 +64,8 @@ class Manifest:
         """Write rows to a folder of their own, clustered for look-ups by source and source_id."""
         staged = f"{self.path}/staged-{uuid.uuid4().hex}"
         clustered = records.repartitionByRange("source", "source_id", "id")
-        clustered.sortWithinPartitions("source", "source_id").write.parquet(staged)
+        sorted_rows = clustered.sortWithinPartitions("source", "source_id")
+        sorted_rows.write.option("compression", "zstd").parquet(staged)
         return staged
 
     def _commit(self, staged: str, base: int) -> bool:
@@ -132,16 +133,22 @@ class Manifest:
     def upsert(self, batch: DataFrame) -> None:
         """Insert or replace by id. Written rows go to the end of the order.
 
-        The table itself is not shuffled by a grouping: replaced ids leave it
-        through an anti-join, which broadcasts the ids of a small batch.
+        Whole records are not shuffled by a grouping or a join with the batch: rows are
+        grouped only where ids repeat, and only the ids that the table has already leave it, through
+        an anti-join, which broadcasts them where they are few.
         """
-        newest = materialize(last_wins(batch), "batch")
+        newest = materialize(batch, "batch", "zstd")
+        ids = newest.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.count(ORDINAL).alias("placed"))
+        if not ids.where("rows > 1 or placed = 0").isEmpty():
+            newest = materialize(last_wins(newest), "batch", "zstd")
         low = newest.agg(F.coalesce(F.min(ORDINAL), F.lit(0))).first()[0]
 
         def change(table: DataFrame) -> DataFrame:
             top = table.agg(F.coalesce(F.max(ORDINAL) + 1, F.lit(0))).first()[0]
-            moved = newest.withColumn(ORDINAL, F.col(ORDINAL) + (top - low))
-            return remove_many(table, newest).unionByName(moved.select(*table.columns))
+            moved = newest.withColumn(ORDINAL, F.col(ORDINAL) + (top - low)).select(*table.columns)
+            replaced = materialize(table.select("id").join(newest.select("id"), "id", "left_semi"), "replaced")
+            rest = table if replaced.isEmpty() else remove_many(table, replaced)
+            return rest.unionByName(moved)
 
         self._replace(change)
 

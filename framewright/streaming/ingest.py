@@ -25,7 +25,23 @@ def unseen(records: DataFrame, manifest: DataFrame, files: DataFrame | None = No
     once = first_wins(records, ["source", "source_id"])
     if files is None:
         return once.join(manifest.select("source", "source_id"), ["source", "source_id"], "left_anti")
-    return resume_join(once, manifest, files)[1]
+    # Whole rows of the manifest are not asked for.
+    return resume_join(once, manifest.select("source", "source_id", "local_path", ORDINAL), files)[1]
+
+
+def with_place(records: DataFrame, places: DataFrame) -> DataFrame:
+    """The records that ``places`` (place, rank_in_page, source, source_id, id, ordinal) names, with its id and ordinal."""
+    keys = ("rank_in_page", "source", "source_id")
+    line = lambda place: F.col(f"{place}.line")
+    named = places.select(
+        F.col("place").alias("__place"), F.col("id").alias("__id"), ORDINAL, *[F.col(k).alias(f"__{k}") for k in keys]
+    )
+    same = line("place") == line("__place")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"__{key}"))
+    return records.join(named, same).select(
+        *[F.col("__id").alias(c) if c == "id" else F.col(c) for c in records.columns if c != ORDINAL], ORDINAL
+    )
 
 
 def incremental_ingest(
@@ -55,16 +71,19 @@ def incremental_ingest(
 
     def add(batch: DataFrame, epoch: int) -> None:
         # What is lazy here is read several times: the lines are written once, with their places.
-        pages = checked_pages(materialize(landed_lines(batch), "lines"), source)
+        pages = checked_pages(materialize(landed_lines(batch), "lines", "zstd"), source)
         if rejects is not None:
             rejected(pages).write.mode("overwrite").parquet(f"{rejects}/batch={epoch}")
         named = pages.drop("page", "fault", "rescued_hits").withColumns(
             {"query": F.lit(query), "dataset_name": F.lit(dataset_name)}
         )
         records = read_records(named, source, **options)
-        ordered = with_ordinal(records, "place", "rank_in_page", "source_id", "id", name=ORDINAL)
+        # Which records are new, and their order, is told by keys; the whole records then move once.
+        keys = records.select("place", "rank_in_page", "source", "source_id", "id")
+        ordered = with_ordinal(keys, "place", "rank_in_page", "source_id", "id", name=ORDINAL)
         listing = None if files is None else files()
-        manifest.upsert(unseen(ordered, manifest.read(), listing))
+        fresh = materialize(unseen(ordered, manifest.read(), listing), "fresh")
+        manifest.upsert(with_place(records, fresh))
 
     return (
         lines.writeStream.foreachBatch(add)
