@@ -28,11 +28,13 @@ def resume_join(
         return manifest.limit(0), candidates
     known = manifest.join(candidates.select(*PAIR), list(PAIR), "left_semi")
     done = has_file(first_wins(known, PAIR), files)
+    # Which candidates are done is told by keys, without the manifest's whole rows.
+    keys = has_file(first_wins(known.select(*PAIR, "local_path", ORDINAL), PAIR), files).select(*PAIR)
     order = candidates.select(*PAIR, F.col(ORDINAL).alias("__ordinal"))
     existing = done.join(order, list(PAIR)).select(
         *[F.col(c) if c != ORDINAL else F.col("__ordinal").alias(ORDINAL) for c in manifest.columns]
     )
-    return existing, candidates.join(done.select(*PAIR), list(PAIR), "left_anti")
+    return existing, candidates.join(keys, list(PAIR), "left_anti")
 
 
 def remove_many(manifest: DataFrame, ids: DataFrame) -> DataFrame:

@@ -187,8 +187,8 @@ def curate(
         outcome = outcome.when(F.startswith(CODE, F.lit(f"{gate.kind}:")), gate.outcome)
     outcome = outcome.otherwise(FAILED_QUALITY)
     staged = staged.select(*columns, outcome.alias("outcome"), REASON)
-    # The pixels are read once; all that follows works on what is written here.
-    staged = materialize(staged, "signals")
+    # The pixels are read once; all that follows works on what is written here, and asks for whole records last.
+    staged = materialize(staged, "signals", "zstd")
     if dedup_threshold is not None:
         survivors = staged.where(F.col("outcome") == ACCEPTED)
         # A row that is fetched again is not a duplicate of itself.
@@ -206,7 +206,7 @@ def curate(
             ).otherwise(F.col(REASON)).alias(REASON),
         )
     if skip_existing:
-        staged = _resumed_in_run(materialize(staged, "outcomes"))
+        staged = _resumed_in_run(staged)
     resumed = existing.select(*columns, F.lit(SKIPPED).alias("outcome"), F.lit("").alias(REASON))
     return staged.unionByName(resumed)
 
@@ -227,7 +227,10 @@ def remove_rejected_files(outcomes: DataFrame) -> int:
 
 
 def _resumed_in_run(staged: DataFrame) -> DataFrame:
-    """Skip candidates whose (source, source_id) was accepted earlier in the run."""
+    """Skip candidates whose (source, source_id) was accepted earlier in the run.
+
+    ``staged`` is read twice, and the first time only its keys are: nothing that it costs may be lazy but joins.
+    """
     keys = ["source", "source_id"]
     firsts = (
         staged.where((F.col("outcome") == ACCEPTED) & F.col("source").isNotNull() & F.col("source_id").isNotNull())
