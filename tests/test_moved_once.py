@@ -2,8 +2,10 @@
 
 import json
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framewright.plans import curate as curate_module
 from framewright.schema import MANIFEST
 from framewright.sources import images as image_source
 from framewright.sources import manifest as manifest_module
@@ -64,3 +66,28 @@ def test_a_task_reads_many_small_images(spark):
     large = spark.range(640).selectExpr("cast(id as string) path", "64000000L length")
     assert image_source._scan_tasks(large) == -(-640 * 64_000_000 // (1 << 27))
     assert image_source._scan_tasks(listed.limit(3)) == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_a_run_writes_whole_records_once(spark, monkeypatch):
+    written = []
+
+    def materialize(df, name, *options, inner=curate_module.materialize):
+        written.append("description" in df.columns)
+        return inner(df, name, *options)
+
+    monkeypatch.setattr(curate_module, "materialize", materialize)
+    path = F.concat(F.lit("raster/"), "id", F.lit(".png"))
+    rows = _records(spark, [("a", "1", "x", 0), ("b", "1", "y", 1), ("c", "2", "z", 2), ("d", "3", "w", 3)])
+    candidates = rows.withColumn("local_path", path)
+    known = _records(spark, [("d", "3", "kept", 0)]).withColumn("local_path", path)
+    hashes = {"a": "0" * 16, "b": "0" * 8 + "f" * 8, "c": "0" * 15 + "1", "d": "f" * 8 + "0" * 8}
+    images = spark.createDataFrame(
+        [(f"raster/{i}.png", 5000, 64, 64, 9.0, h) for i, h in hashes.items()],
+        "path string, length long, width int, height int, blur_score double, phash string",
+    )
+    found = curate_module.curate(candidates, known, images, sources=["s"])
+    told = {r.id: (r.outcome, r.description) for r in found.collect()}
+    assert told == {
+        "a": ("accepted", "x"), "b": ("skipped_existing", "y"), "c": ("failed_dedup", "z"), "d": ("skipped_existing", "kept")
+    }
+    assert written.count(True) == 1
