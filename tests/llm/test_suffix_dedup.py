@@ -129,3 +129,29 @@ def test_documents_table(spark):
     rows = QUERIES["op12_suffix_dedup"](spark, sf).collect()
     assert sorted((tuple(r) for r in rows), key=repr) == brute(docs, 400)
     assert sum(r["n_removed"] > 0 for r in rows) > 10
+
+
+def test_equal_and_strange_pieces_are_not_sorted(monkeypatch):
+    """Copies of a piece are one entry of the suffix array, and pieces that share no half of a window none."""
+    rng = random.Random(7)
+    some = lambda n: bytes(rng.choice(b"ab") for _ in range(n))
+    pieces = []
+    for core in (b"x" * 16, b"y" * 16):
+        pieces += [(core, some(rng.randrange(8)), some(rng.randrange(8)), 8) for _ in range(150)]
+        pieces += [(core, b"ccccccc", b"ddddddd", 8)] + [(core, b"eeeeee", b"fffffff", 8)] * 40
+    # Pieces of another span, which are too short for a window or have one byte of it at most.
+    pieces += [(b"z" * 16, b"", b"", 2), (b"z" * 16, b"", b"", 2), (b"w" * 16, b"", b"", 1), (b"w" * 16, b"", b"", 1)]
+    counts = Counter()
+    windows = []
+    for core, left, right, span in pieces:
+        mine = {i: (core, left[len(left) - i :], right[: span - 1 - i]) for i in range(len(left) + 1) if 0 <= span - 1 - i <= len(right)}
+        windows.append(mine)
+        counts.update(mine.values())
+    want = [{i for i, w in mine.items() if counts[w] > 1} for mine in windows]
+    sorted_symbols = []
+    plain = suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda text: sorted_symbols.append(len(text)) or plain(text))
+    assert suffix_dedup.repeated_windows(pieces) == want
+    assert any(want) and not all(want)
+    different = {p for p in pieces if p[1] not in (b"ccccccc", b"eeeeee")}
+    assert sum(sorted_symbols) <= sum(len(p[1]) + len(p[2]) + 2 for p in different)
