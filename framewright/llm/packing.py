@@ -12,6 +12,7 @@ import functools
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ _ODD = re.compile("[^\x00-\x84\x86-\x9f\xa1-\u024f]")
 _MARKS = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 #: How the tokenizer cuts a word; fixed values of its file.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: Words kept with their ids by one worker; beyond this the memory starts anew.
+#: Words kept with their ids by one worker; beyond this the later half is forgotten.
 CACHED_WORDS = 1_000_000
 #: Token ids sent in one Arrow batch.
 BATCH_TOKENS = 1_000_000
@@ -61,31 +62,33 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [None if _is_odd(text) else text.lower().split() for text in texts]
         if len(self.words) > self.most_words:
-            self.words.clear()
-        self._learn(set().union(*filter(None, split)).difference(self.words))
+            # Frequent words are met early: those that were met first stay.
+            self.words = dict(islice(self.words.items(), self.most_words // 2))
+        self._learn(set(filterfalse(self.words.__contains__, chain.from_iterable(filter(None, split)))))
         of = self.words.__getitem__
         odd = iter(self._whole([t for t, words in zip(texts, split, strict=True) if words is None]))
         return [next(odd) if words is None else b"".join(map(of, words)) for words in split]
 
     def _learn(self, fresh: set[str]) -> None:
-        cut = {word: [word] if word.isalpha() else _PARTS.findall(word) for word in fresh}
         # Most words are one part, and most parts of the others are words that are known.
+        cut = {word: _PARTS.findall(word) for word in fresh if not word.isalpha()}
         of: dict[str, bytes] = {}
-        for part in {part for found in cut.values() for part in found}:
-            of[part] = self.words.get(part) or b""
-        parts = [part for part, ids in of.items() if not ids]
-        for first in range(0, len(parts), 4096):
-            some = parts[first : first + 4096]
+        fresh.difference_update(cut)
+        parts = fresh.union(*cut.values()) if cut else fresh
+        lacking = list(filterfalse(self.words.__contains__, parts))
+        for first in range(0, len(lacking), 4096):
+            some = lacking[first : first + 4096]
             # The way without character offsets, which nothing here needs.
             ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) == len(some):
-                raw, start = ids.tobytes(), 0
-                for part, end in zip(some, (4 * at).tolist(), strict=True):
-                    of[part] = raw[start:end]
-                    start = end
+                raw, ends = ids.tobytes(), (4 * at).tolist()
+                of.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
             else:
                 of.update(zip(some, self._whole(some), strict=True))
+        # A part that is no word of its own is not remembered.
+        of.update((part, self.words[part]) for part in parts if part not in of)
+        self.words.update((word, of[word]) for word in fresh)
         self.words.update((word, b"".join([of[part] for part in found])) for word, found in cut.items())
 
     def _whole(self, texts: list[str]) -> list[bytes]:

@@ -82,3 +82,19 @@ def test_a_small_memory_of_words_changes_no_row(spark):
     columns = ["doc_id", "start", "ids_crc32", "doc_tokens"]
     few, many = (sorted(pack_documents(docs, **kw).select(*columns).collect()) for kw in ({"most_words": 500}, {}))
     assert few == many
+
+
+def test_frequent_words_stay_when_the_memory_is_full(monkeypatch):
+    words = WordEncoder(PATH, most_words=40)
+    plain = Tokenizer.from_file(PATH)
+    asked = []
+    learn = WordEncoder._learn
+    monkeypatch.setattr(WordEncoder, "_learn", lambda self, fresh: asked.append(set(fresh)) or learn(self, fresh))
+    for i in range(30):
+        text = "the of, and " + " ".join(f"{chr(97 + i % 26)}{chr(97 + j)}x{'.' * (j % 2)}" for j in range(20))
+        (got,) = words.encode([text])
+        assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        if not i:
+            words.words = {w: words.words[w] for w in sorted(words.words, key=lambda w: w not in {"the", "of,", "and"})}
+        assert len(words.words) <= 40 + 23
+    assert sum("of," in fresh for fresh in asked) == 1
