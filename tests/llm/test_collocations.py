@@ -100,3 +100,17 @@ def test_empty(spark):
     assert mine_collocations(none).count() == 0
     rare = spark.createDataFrame([("one two three", "en"), (None, None)], "text string, lang string")
     assert mine_collocations(rare).count() == 0
+
+
+def test_stored_relation_joins_without_sort(spark):
+    docs = spark.createDataFrame([("en", i, "a b  c.\td e\x0b? f") for i in range(50)], "lang string, doc long, body string")
+    rows = collocations.occurrences(docs).withColumn("w1", F.xxhash64("word"))
+    with collocations.settings(spark, collocations.CO_LOCATED):
+        relation = collocations.Relation(rows.repartition(4, "doc").select("doc", "piece", "pos", "w1"), 4)
+        joined = adjoining(relation.read(), 1, relation.read_by_next())
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+        plain = adjoining(relation.read(), 1)
+        assert joined.count() == 150 and joined.exceptAll(plain).isEmpty() and plain.exceptAll(joined).isEmpty()
+        relation.forget()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("occurrences_")]
