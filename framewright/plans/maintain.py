@@ -83,8 +83,12 @@ def refilter(
     keep_files: bool = True,
     **options,
 ) -> dict[str, int]:
-    """Remove records that fail; a dry run only counts. Returns kept and removed."""
-    marks = materialize(refilter_marks(manifest.read(), images, **options), "marks")
+    """Remove records that fail; a dry run only counts. Returns kept and removed.
+
+    What is judged by is a few short columns; whole records are moved by the removal only.
+    """
+    judged = manifest.read().select("id", "local_path", "blur_score", "phash", ORDINAL)
+    marks = materialize(refilter_marks(judged, images, **options), "marks")
     counts = {r["kept"]: r["count"] for r in marks.groupBy("kept").count().collect()}
     if not dry_run and counts.get(False):
         rejected = marks.where("not kept")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewright.plans import curate as curate_module
+from framewright.plans import maintain as maintain_module
 from framewright.schema import MANIFEST
 from framewright.sources import images as image_source
 from framewright.sources import manifest as manifest_module
@@ -91,3 +92,31 @@ def test_a_run_writes_whole_records_once(spark, monkeypatch):
         "a": ("accepted", "x"), "b": ("skipped_existing", "y"), "c": ("failed_dedup", "z"), "d": ("skipped_existing", "kept")
     }
     assert written.count(True) == 1
+
+
+def test_a_refilter_judges_by_short_columns(spark, tmp_path, monkeypatch):
+    written = []
+
+    def materialize(df, name, *options, inner=maintain_module.materialize):
+        written.append((name, "description" in df.columns))
+        return inner(df, name, *options)
+
+    monkeypatch.setattr(maintain_module, "materialize", materialize)
+    hashes = {"a": "0" * 16, "b": "f" * 16, "c": "0" * 15 + "1", "e": "f" * 8 + "0" * 8}
+    images = spark.createDataFrame(
+        [(f"raster/{i}.png", 20_000, 640, 480, 1.0 if i == "b" else 900.0, h) for i, h in hashes.items()],
+        "path string, length long, width int, height int, blur_score double, phash string",
+    )
+    rows = [("a", "1", "x", 0), ("b", "2", "blurry", 1), ("c", "3", "near a", 2), ("d", "4", "no file", 3), ("e", "5", "y", 4)]
+    rows += [(None, "6", "no id", 5), ("e", "7", "no file, an id that is kept", 6)]
+    records = _records(spark, rows).withColumn("local_path", F.concat(F.lit("raster/"), "id", F.lit(".png")))
+    records = records.withColumn("local_path", F.when(F.col("ordinal") < 6, F.col("local_path")))
+    manifest = Manifest(spark, f"file://{tmp_path}/m")
+    manifest.write(records)
+    counts = {"kept": 2, "removed": 5}
+    assert maintain_module.refilter(manifest, images, dry_run=True, dedup_threshold=10) == counts
+    assert maintain_module.refilter(manifest, images, dedup_threshold=10) == counts
+    # Removal is by id: of two records of one id both go, and what has no id stays.
+    left = [(r.id, r.description, r.phash) for r in manifest.read().orderBy("ordinal").collect()]
+    assert left == [("a", "x", None), (None, "no id", None)]
+    assert {name for name, _ in written} == {"marks", "dropped"} and not any(whole for _, whole in written)
